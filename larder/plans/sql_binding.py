@@ -89,6 +89,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(dayofyear(l_shipdate) % 10 = 0 AS INTEGER) AS is_holiday,
                l_orderkey AS order_id, l_linenumber AS line_no, l_suppkey AS supplier_id
         FROM lineitem JOIN part ON l_partkey = p_partkey"""),
+    "b_signups": ((), """
+        SELECT user_id, ts AS created_at, event_id FROM events WHERE event_type = 'signup'"""),
     "b_messages": ((), """
         SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'"""),
 }

@@ -253,6 +253,12 @@ class Marketplace:
                     F.col("l_suppkey").alias("supplier_id"),
                 ))
 
+    @cached_property
+    def signups(self) -> DataFrame:
+        """Sign-up events as user registrations (user_id, created_at)."""
+        e = self.raw("events").where(F.col("event_type") == "signup")
+        return e.select("user_id", F.col("ts").alias("created_at"), F.col("event_id"))
+
     @cached_property
     def messages(self) -> DataFrame:
         c = self.raw("conversations").where(F.col("role") == "user")
