@@ -20,7 +20,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE 'Pending' END AS status,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'Pending Verification'
                     WHEN o_orderpriority = '2-HIGH' THEN 'Rejected'
-                    ELSE 'Approved' END AS payment_status
+                    ELSE 'Approved' END AS payment_status,
+               CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'net30'
+                    WHEN o_orderpriority = '1-URGENT' THEN 'bank' ELSE 'card' END AS payment_method
         FROM orders"""),
     "b_items": ((), """
         SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id,
@@ -78,7 +80,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                o_totalprice AS amount,
                CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Unpaid' ELSE 'Overdue' END AS status,
                CAST(o_orderdate AS DATE) AS issue_date,
-               CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS due_date_ts
+               CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS due_date
         FROM orders"""),
     "b_demand": ((), """
         SELECT CAST(l_shipdate AS DATE) AS date, l_partkey AS product_id, p_name AS product_name,
@@ -91,6 +93,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey"""),
     "b_signups": ((), """
         SELECT user_id, ts AS created_at, event_id FROM events WHERE event_type = 'signup'"""),
+    "b_payment_requests": ((), """
+        SELECT event_id AS request_id, event_id AS invoice_id, user_id, ts AS requested_at
+        FROM events WHERE event_type = 'click'"""),
+    "b_credit_requests": ((), """
+        SELECT event_id AS request_id, user_id, ts AS requested_at,
+               CAST(1000000.0 AS DOUBLE) + value * CAST(10000.0 AS DOUBLE) AS target
+        FROM events WHERE event_type = 'error'"""),
     "b_messages": ((), """
         SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'"""),
 }

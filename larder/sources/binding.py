@@ -48,6 +48,11 @@ def payment_status(priority: Column) -> Column:
             .otherwise("Approved"))
 
 
+def payment_method(priority: Column) -> Column:
+    return (F.when(priority == "3-MEDIUM", "net30")
+            .when(priority == "1-URGENT", "bank").otherwise("card"))
+
+
 def entry_status(linestatus: Column, returnflag: Column) -> Column:
     return (F.when(linestatus == "F", "Delivered")
             .when(returnflag == "R", "Cancelled")
@@ -77,6 +82,7 @@ class Marketplace:
             F.col("o_totalprice").alias("total"),
             order_status(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("status"),
             payment_status(F.col("o_orderpriority")).alias("payment_status"),
+            payment_method(F.col("o_orderpriority")).alias("payment_method"),
         )
 
     @cached_property
@@ -259,6 +265,21 @@ class Marketplace:
         e = self.raw("events").where(F.col("event_type") == "signup")
         return e.select("user_id", F.col("ts").alias("created_at"), F.col("event_id"))
 
+    @cached_property
+    def payment_requests(self) -> DataFrame:
+        """Invoice payment attempts: click events (payer = user, invoice = event id)."""
+        e = self.raw("events").where(F.col("event_type") == "click")
+        return e.select(F.col("event_id").alias("request_id"), F.col("event_id").alias("invoice_id"),
+                        "user_id", F.col("ts").alias("requested_at"))
+
+    @cached_property
+    def credit_requests(self) -> DataFrame:
+        """Credit-limit requests: error events, target = 1,000,000 + value x 10,000."""
+        e = self.raw("events").where(F.col("event_type") == "error")
+        return e.select(F.col("event_id").alias("request_id"), "user_id",
+                        F.col("ts").alias("requested_at"),
+                        (F.lit(1000000.0) + F.col("value") * F.lit(10000.0)).alias("target"))
+
     @cached_property
     def messages(self) -> DataFrame:
         c = self.raw("conversations").where(F.col("role") == "user")
