@@ -1 +1,255 @@
-"""Queries (filled in below)."""
+"""Time-series feature queries: F11, W1-W4, W6-W23, A23, A24, M19, M20.
+
+Floating-point window statistics are rounded to 6 decimals in the
+published output (both here and in the oracle): window sums are evaluated
+in different orders by different engines, so raw doubles can differ in the
+last bit.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.functions.columns import round_half_up
+from larder.operators import features as fe
+from larder.plans import series
+from larder.plans.registry import register
+from larder.plans.sql_binding import with_views
+from larder.plans.sqlfrag import rnd
+from larder.sources.binding import Marketplace
+
+R6 = ["rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14"]
+
+
+def _round(df, cols, digits=6):
+    return df.select(*[round_half_up(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+PRODUCT_FEATURES_SQL = series.PRODUCT_DAY_SQL + f"""
+, f AS (
+    SELECT *,
+           CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week_of_year,
+           CAST(day(date) AS INTEGER) AS day_of_month, CAST(quarter(date) AS INTEGER) AS quarter,
+           CAST(isodow(date) - 1 AS INTEGER) AS day_of_week_num,
+           CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
+           LAG(quantity_sold, 1) OVER w AS lag_1, LAG(quantity_sold, 7) OVER w AS lag_7,
+           LAG(quantity_sold, 14) OVER w AS lag_14,
+           CASE WHEN COUNT(quantity_sold) OVER w7 >= 3 THEN AVG(quantity_sold) OVER w7 END AS rolling_mean_7,
+           CASE WHEN COUNT(quantity_sold) OVER w7 >= 3 THEN STDDEV_SAMP(quantity_sold) OVER w7 END AS rolling_std_7,
+           CASE WHEN COUNT(quantity_sold) OVER w14 >= 7 THEN AVG(quantity_sold) OVER w14 END AS rolling_mean_14,
+           CASE WHEN COUNT(quantity_sold) OVER w14 >= 7 THEN STDDEV_SAMP(quantity_sold) OVER w14 END AS rolling_std_14
+    FROM pd
+    WINDOW w AS (PARTITION BY product_id ORDER BY date),
+           w7 AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+           w14 AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+SELECT product_id, category, date, quantity_sold, orders_count, price_mean, month, week_of_year,
+       day_of_month, quarter, day_of_week_num, is_weekend, lag_1, lag_7, lag_14,
+       {rnd('rolling_mean_7', 6)} AS rolling_mean_7, {rnd('rolling_std_7', 6)} AS rolling_std_7,
+       {rnd('rolling_mean_14', 6)} AS rolling_mean_14, {rnd('rolling_std_14', 6)} AS rolling_std_14
+FROM f
+WHERE lag_1 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL
+  AND rolling_mean_7 IS NOT NULL AND rolling_mean_14 IS NOT NULL AND rolling_std_7 IS NOT NULL
+"""
+
+
+def product_features(mk: Marketplace):
+    """Time, lag and rolling features per product-day; rows without
+    the required history are dropped (W18; rolling_std_14 not required)."""
+    pd_ = fe.time_features(series.product_day(mk))
+    w = fe.series_window("product_id", "date")
+    out = pd_.select("*", *fe.lag_features("quantity_sold", [1, 7, 14], w),
+                     *fe.rolling_features("quantity_sold", [7, 14], w, std="samp"))
+    return out.na.drop(subset=["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_mean_14",
+                               "rolling_std_7"])
+
+
+@register("product_daily_features", covers=("M20", "F11", "W1", "W2", "W18", "A23"),
+          sql=PRODUCT_FEATURES_SQL)
+def product_daily_features(spark, sf_dir):
+    return _round(product_features(Marketplace(spark, sf_dir)), R6)
+
+
+GRID_SQL = series.GRID_SQL + """
+SELECT category, date, demand, orders_count, price_mean, weather_condition, is_holiday FROM grid
+"""
+
+
+@register("category_daily_grid", covers=("W16", "W15", "A24", "J9", "F18"), sql=GRID_SQL)
+def category_daily_grid(spark, sf_dir):
+    return series.category_grid(Marketplace(spark, sf_dir))
+
+
+H_COLS = ["rolling_mean_7", "rolling_std_7", "rolling_min_7", "rolling_max_7", "price_std_7",
+          "rainy_pct_last_7", "sunny_pct_last_7", "cloudy_pct_last_7", "holiday_proximity", "price_change"]
+
+HYBRID_SQL = series.GRID_SQL + f"""
+, g AS (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY date) AS rn,
+           CASE WHEN weather_condition = LAG(weather_condition) OVER (PARTITION BY category ORDER BY date)
+                THEN 0 ELSE 1 END AS chg
+    FROM grid)
+, g2 AS (
+    SELECT *, SUM(chg) OVER (PARTITION BY category ORDER BY date
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl
+    FROM g)
+, h AS (
+    SELECT category, date, demand, price_mean, weather_condition, is_holiday,
+           CASE WHEN rn > 7 THEN AVG(demand) OVER p7 END AS rolling_mean_7,
+           CASE WHEN rn > 7 THEN STDDEV_POP(demand) OVER p7 END AS rolling_std_7,
+           CASE WHEN rn > 7 THEN MIN(demand) OVER p7 END AS rolling_min_7,
+           CASE WHEN rn > 7 THEN MAX(demand) OVER p7 END AS rolling_max_7,
+           CASE WHEN rn > 7 THEN STDDEV_POP(price_mean) OVER p7 END AS price_std_7,
+           ROW_NUMBER() OVER (PARTITION BY category, isl ORDER BY date) AS weather_streak,
+           SUM(CAST(weather_condition = 'Rainy' AS INTEGER)) OVER c7 AS rainy_days_last_7,
+           SUM(is_holiday) OVER c7 AS holidays_last_7,
+           AVG(CAST(weather_condition = 'Rainy' AS DOUBLE)) OVER c7 AS rainy_pct_last_7,
+           AVG(CAST(weather_condition = 'Sunny' AS DOUBLE)) OVER c7 AS sunny_pct_last_7,
+           AVG(CAST(weather_condition = 'Cloudy' AS DOUBLE)) OVER c7 AS cloudy_pct_last_7,
+           COALESCE(rn - LAST_VALUE(CASE WHEN is_holiday = 1 THEN rn END IGNORE NULLS) OVER upto, 999)
+               AS days_since_holiday,
+           COALESCE(FIRST_VALUE(CASE WHEN is_holiday = 1 THEN rn END IGNORE NULLS) OVER from_now - rn, 999)
+               AS days_until_holiday,
+           COALESCE(price_mean - LAG(price_mean) OVER w, 0.0) AS price_change
+    FROM g2
+    WINDOW w AS (PARTITION BY category ORDER BY date),
+           p7 AS (PARTITION BY category ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+           c7 AS (PARTITION BY category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+           upto AS (PARTITION BY category ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           from_now AS (PARTITION BY category ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT category, date, demand, price_mean, weather_condition, is_holiday,
+       {", ".join(rnd(c, 6) + " AS " + c for c in H_COLS[:8])},
+       weather_streak, rainy_days_last_7, holidays_last_7, days_since_holiday, days_until_holiday,
+       {rnd('GREATEST(COALESCE(CASE WHEN days_since_holiday <= 3 THEN 1 - days_since_holiday / 4.0 END, 0.0), '
+            'COALESCE(CASE WHEN days_until_holiday <= 3 THEN 1 - days_until_holiday / 4.0 END, 0.0))', 6)}
+           AS holiday_proximity,
+       {rnd('price_change', 6)} AS price_change
+FROM h
+"""
+
+
+def hybrid_features(mk: Marketplace):
+    """M19 on the category grid: full-window demand stats (W3), price std
+    (W6), weather streak (W7), rolling counts and shares (W8, W9), holiday
+    distances and proximity (W10-W12), price change (W13)."""
+    g = series.category_grid(mk)
+    g = fe.run_length(g, "category", ["date"], "weather_condition", "weather_streak")
+    w = fe.series_window("category", "date")
+    rn = F.row_number().over(w)
+    wc = F.col("weather_condition")
+    since, until = fe.event_distance(F.col("is_holiday") == 1, w, rn)
+    out = g.select(
+        "category", "date", "demand", "price_mean", "weather_condition", "is_holiday",
+        *fe.full_window_stats("demand", 7, w),
+        fe.full_window_stats("price_mean", 7, w, prefix="price", stats=("std",))[0],
+        "weather_streak",
+        fe.rolling_count(wc == "Rainy", 7, w, "rainy_days_last_7"),
+        fe.rolling_count(F.col("is_holiday") == 1, 7, w, "holidays_last_7"),
+        fe.rolling_share(wc == "Rainy", 7, w, "rainy_pct_last_7"),
+        fe.rolling_share(wc == "Sunny", 7, w, "sunny_pct_last_7"),
+        fe.rolling_share(wc == "Cloudy", 7, w, "cloudy_pct_last_7"),
+        since.alias("days_since_holiday"), until.alias("days_until_holiday"),
+        fe.first_difference("price_mean", w).alias("price_change"))
+    return out.withColumn("holiday_proximity",
+                          fe.proximity(F.col("days_since_holiday"), F.col("days_until_holiday")))
+
+
+@register("category_hybrid_features",
+          covers=("M19", "W3", "W6", "W7", "W8", "W9", "W10", "W11", "W12", "W13"), sql=HYBRID_SQL)
+def category_hybrid_features(spark, sf_dir):
+    return _round(hybrid_features(Marketplace(spark, sf_dir)), H_COLS)
+
+
+PRICE_RATIO_SQL = with_views("b_demand") + f"""
+SELECT order_id, line_no, product_id, supplier_id, date, category, price,
+       {rnd('price / AVG(price) OVER (PARTITION BY date, category) - 1', 6)} AS price_vs_cat_avg
+FROM b_demand
+"""
+
+
+@register("price_vs_category_mean", covers=("W14", "J7"), sql=PRICE_RATIO_SQL)
+def price_vs_category_mean(spark, sf_dir):
+    d = Marketplace(spark, sf_dir).demand
+    out = d.select("order_id", "line_no", "product_id", "supplier_id", "date", "category", "price",
+                   fe.ratio_to_group_mean("price", ["date", "category"]).alias("price_vs_cat_avg"))
+    return _round(out, ["price_vs_cat_avg"])
+
+
+LATEST_SQL = with_views("b_demand") + series.CATEGORY_DAY_SQL[:series.CATEGORY_DAY_SQL.index(", bounds AS")] + """
+SELECT category,
+       arg_max(demand, date) FILTER (WHERE demand IS NOT NULL) AS demand,
+       arg_max(price_mean, date) FILTER (WHERE price_mean IS NOT NULL) AS price_mean
+FROM cd GROUP BY category
+"""
+
+
+@register("latest_category_values", covers=("W17",), sql=LATEST_SQL)
+def latest_category_values(spark, sf_dir):
+    return fe.latest_non_null(series.category_day(Marketplace(spark, sf_dir)), "category", "date",
+                              ["demand", "price_mean"])
+
+
+SPLIT_SQL = series.PRODUCT_DAY_SQL + """
+SELECT product_id, date, quantity_sold,
+       CASE WHEN ROW_NUMBER() OVER (ORDER BY date, product_id) <= floor(COUNT(*) OVER () * 0.8)
+            THEN 'train' ELSE 'test' END AS split
+FROM pd
+"""
+
+
+@register("time_split_rows", covers=("W19",), sql=SPLIT_SQL)
+def time_split_rows(spark, sf_dir):
+    pd_ = series.product_day(Marketplace(spark, sf_dir)).select("product_id", "date", "quantity_sold")
+    return fe.split_by_position(pd_, ["product_id"], 0.8)
+
+
+DATE_SPLIT_SQL = series.GRID_SQL + """
+, dates AS (SELECT DISTINCT date FROM grid)
+, cut AS (
+    SELECT date AS cut_date FROM (
+        SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS k FROM dates) t
+    WHERE i = CAST(floor(k * 0.8) AS BIGINT))
+SELECT category, date, demand, CASE WHEN date < cut_date THEN 'train' ELSE 'test' END AS split
+FROM grid, cut
+"""
+
+
+@register("date_split_rows", covers=("W20",), sql=DATE_SPLIT_SQL)
+def date_split_rows(spark, sf_dir):
+    g = series.category_grid(Marketplace(spark, sf_dir)).select("category", "date", "demand")
+    return fe.split_by_date_position(g, 0.8)
+
+
+FOLDS_SQL = series.PRODUCT_DAY_SQL + """
+, pos AS (
+    SELECT product_id, date, quantity_sold,
+           ROW_NUMBER() OVER (ORDER BY date, product_id) - 1 AS p, COUNT(*) OVER () AS n FROM pd)
+, f AS (SELECT *, n // 4 AS size, n - (n // 4) * 3 AS first FROM pos)
+SELECT product_id, date, quantity_sold, CAST(fold AS INTEGER) AS fold,
+       CASE WHEN p < first + fold * size THEN 'train' ELSE 'test' END AS role
+FROM f, range(0, 3) t(fold)
+WHERE p < first + fold * size + size
+"""
+
+
+@register("expanding_time_folds", covers=("W21",), sql=FOLDS_SQL)
+def expanding_time_folds(spark, sf_dir):
+    pd_ = series.product_day(Marketplace(spark, sf_dir)).select("product_id", "date", "quantity_sold")
+    return fe.expanding_folds(pd_, ["product_id"], 3).withColumn("fold", F.col("fold").cast("int"))
+
+
+@register("hash_folds", covers=("W22",))
+def hash_folds(spark, sf_dir):
+    pd_ = series.product_day(Marketplace(spark, sf_dir)).select("product_id", "date", "quantity_sold")
+    return fe.hash_folds(pd_, ["product_id", "date"], 5, 42)
+
+
+ALIGN_SQL = with_views("b_demand") + series.CATEGORY_DAY_SQL[:series.CATEGORY_DAY_SQL.index(", bounds AS")] + """
+SELECT category, CAST(date + to_days(CAST(DATE '2024-12-31' - (SELECT MAX(date) FROM cd) AS INTEGER)) AS DATE) AS date, demand
+FROM cd
+"""
+
+
+@register("aligned_category_days", covers=("W23",), sql=ALIGN_SQL)
+def aligned_category_days(spark, sf_dir):
+    cd = series.category_day(Marketplace(spark, sf_dir)).select("category", "date", "demand")
+    return fe.align_dates(cd, "2024-12-31")

@@ -86,6 +86,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(l_shipdate AS DATE) AS date, l_partkey AS product_id, p_name AS product_name,
                p_type AS category, l_quantity AS quantity_sold,
                l_extendedprice / l_quantity AS price,
+               (2 * CAST(round(l_extendedprice * 100) AS BIGINT) * 10000 + CAST(l_quantity AS BIGINT))
+                   // (2 * CAST(l_quantity AS BIGINT)) AS price_micros,
                CASE dayofyear(l_shipdate) % 3 WHEN 0 THEN 'Sunny' WHEN 1 THEN 'Rainy' ELSE 'Cloudy' END
                    AS weather_condition,
                CAST(dayofyear(l_shipdate) % 10 = 0 AS INTEGER) AS is_holiday,

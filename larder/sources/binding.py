@@ -60,6 +60,24 @@ def entry_status(linestatus: Column, returnflag: Column) -> Column:
             .otherwise("Pending"))
 
 
+def unit_price_micros(amount: str, qty: str) -> Column:
+    """Unit price in millionths, HALF_UP, by integer arithmetic only (exact
+    on every engine): (2 * cents * 10^4 + q) div (2 * q)."""
+    cents = f"CAST(round({amount} * 100) AS BIGINT)"
+    q = f"CAST({qty} AS BIGINT)"
+    return F.expr(f"(2 * {cents} * 10000 + {q}) div (2 * {q})")
+
+
+def weather_of(d: Column) -> Column:
+    doy = F.dayofyear(d)
+    return (F.when(F.pmod(doy, F.lit(3)) == 0, "Sunny")
+            .when(F.pmod(doy, F.lit(3)) == 1, "Rainy").otherwise("Cloudy"))
+
+
+def holiday_of(d: Column) -> Column:
+    return (F.pmod(F.dayofyear(d), F.lit(10)) == 0).cast("int")
+
+
 class Marketplace:
     """Canonical marketplace tables over one driver data folder."""
 
@@ -241,7 +259,6 @@ class Marketplace:
         li = self.raw("lineitem")
         p = self.raw("part").select("p_partkey", "p_type", "p_name")
         d = F.to_date("l_shipdate")
-        doy = F.dayofyear(d)
         return (li.join(p, li.l_partkey == p.p_partkey, "inner")
                 .select(
                     d.alias("date"),
@@ -250,10 +267,9 @@ class Marketplace:
                     F.col("p_type").alias("category"),
                     F.col("l_quantity").alias("quantity_sold"),
                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-                    F.when(F.pmod(doy, F.lit(3)) == 0, "Sunny")
-                     .when(F.pmod(doy, F.lit(3)) == 1, "Rainy").otherwise("Cloudy")
-                     .alias("weather_condition"),
-                    (F.pmod(doy, F.lit(10)) == 0).cast("int").alias("is_holiday"),
+                    unit_price_micros("l_extendedprice", "l_quantity").alias("price_micros"),
+                    weather_of(d).alias("weather_condition"),
+                    holiday_of(d).alias("is_holiday"),
                     F.col("l_orderkey").alias("order_id"),
                     F.col("l_linenumber").alias("line_no"),
                     F.col("l_suppkey").alias("supplier_id"),
