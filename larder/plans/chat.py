@@ -1 +1,106 @@
-"""Queries (filled in below)."""
+"""Chat queries: T1-T4 over user turns of ``conversations``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import chat as op
+from larder.plans.registry import register
+from larder.plans.sql_binding import with_views
+from larder.sources.binding import Marketplace
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _has(words, m="m") -> str:
+    return "(" + " OR ".join(f"contains({m}, {_q(w)})" for w in words) + ")"
+
+
+def _tail(phrases, m="m") -> str:
+    expr = "NULL"
+    for p in reversed(phrases):
+        pos = f"instr({m}, {_q(p)})"
+        tail = (f"regexp_replace(regexp_replace(regexp_replace(substring({m}, {pos} + {len(p)}, 1073741824), "
+                r"'^\s+|\s+$', '', 'g'), '[?.!,]', '', 'g'), '^\s+|\s+$', '', 'g')")
+        expr = f"CASE WHEN {pos} > 0 AND length({tail}) > 1 THEN {tail} ELSE {expr} END"
+    return expr
+
+
+def _hex(pattern: str, col="message") -> str:
+    x = f"regexp_extract({col}, '(^|[^A-Za-z0-9_])({pattern})([^A-Za-z0-9_]|$)', 2)"
+    return f"CASE WHEN {x} <> '' THEN {x} END"
+
+
+def _category(m="m") -> str:
+    expr = "NULL"
+    for c in reversed(op.CATEGORIES):
+        words = [c] + (op.VEG_FORMS if c == "vegetables" else [])
+        expr = f"CASE WHEN {_has(words, m)} THEN {_q(c)} ELSE {expr} END"
+    return expr
+
+
+def intents_sql() -> str:
+    cats = ", ".join(_q(c) for c in op.CATEGORIES)
+    skip = ", ".join(_q(w) for w in op.SKIP_WORDS)
+    oid = f"COALESCE({_hex(op.LONG_ID)}, CASE WHEN {_has(op.ORDER_ID_HINTS)} THEN {_hex(op.SHORT_ID)} END)"
+    names = op.INTENT_ORDER
+    s = [f"s{i}" for i in range(7)]
+    best = f"GREATEST({', '.join(s)})"
+    intent = _q(names[-1])
+    for i in reversed(range(7)):
+        intent = f"CASE WHEN {s[i]} = {best} THEN {_q(names[i])} ELSE {intent} END"
+    return with_views("b_messages") + rf"""
+, a AS (
+    SELECT conv_id, turn, message, lower(regexp_replace(message, '^\s+|\s+$', '', 'g')) AS m FROM b_messages)
+, b AS (
+    SELECT conv_id, turn, m, {oid} AS order_id, {_tail(op.PRICE_PHRASES)} AS price_tail,
+           {_tail(op.STOCK_PHRASES)} AS stock_tail, {_category()} AS category
+    FROM a)
+, c AS (
+    SELECT *,
+        CASE WHEN order_id IS NOT NULL THEN {op.S_ORDER_ID} WHEN {_has(op.ORDER_PHRASES)} THEN {op.S_ORDER_PHRASE}
+             WHEN {_has(op.ORDER_KEYWORDS)} THEN {op.S_KEYWORD} ELSE 0.0 END AS s0,
+        CASE WHEN price_tail IS NOT NULL THEN {op.S_PHRASE} WHEN {_has(op.PRICE_KEYWORDS)} THEN {op.S_KEYWORD}
+             ELSE 0.0 END AS s1,
+        CASE WHEN stock_tail IS NOT NULL AND stock_tail NOT IN ({cats}) THEN {op.S_PHRASE}
+             WHEN stock_tail IS NOT NULL THEN 0.0
+             WHEN {_has(op.STOCK_KEYWORDS)} THEN {op.S_KEYWORD} ELSE 0.0 END AS s2,
+        CASE WHEN category IS NULL THEN 0.0 WHEN {_has(op.BROWSE_KEYWORDS)} THEN {op.S_CAT_BROWSE}
+             ELSE {op.S_CAT_PLAIN} END AS s3,
+        CASE WHEN {_has(op.NOTIFICATION_KEYWORDS)} THEN {op.S_NOTIF} ELSE 0.0 END AS s4,
+        CASE WHEN {_has(op.REVIEW_KEYWORDS)} THEN {op.S_REVIEW} ELSE 0.0 END AS s5,
+        CASE WHEN {_has(op.HELP_KEYWORDS)} OR {_has(op.GREETING_KEYWORDS)} THEN {op.S_HELP} ELSE 0.0 END AS s6,
+        COALESCE(CASE WHEN stock_tail NOT IN ({cats}) THEN stock_tail END, price_tail) AS pn
+    FROM b)
+, d AS (
+    SELECT *, CASE WHEN {best} >= {op.THRESHOLD} THEN {intent} ELSE {_q(names[-1])} END AS intent,
+           CAST(CASE WHEN {best} >= {op.THRESHOLD} THEN {best} ELSE {op.FALLBACK_CONFIDENCE} END AS DOUBLE)
+               AS confidence
+    FROM c)
+SELECT conv_id, turn, intent, confidence, order_id, category,
+       CASE WHEN intent IN ('PRODUCT_PRICE', 'PRODUCT_STOCK') AND pn IS NULL THEN
+            CASE WHEN len(list_filter(string_split_regex(m, '\s+'), lambda w: length(w) > 2 AND NOT list_contains([{skip}], w))) > 0
+                 THEN array_to_string(list_filter(string_split_regex(m, '\s+'),
+                                                  lambda w: length(w) > 2 AND NOT list_contains([{skip}], w)), ' ') END
+            ELSE pn END AS product_name
+FROM d
+"""
+
+
+@register("message_intents", covers=("T1", "T2", "T3", "T4", "F1", "F3", "F4", "F13"), sql=intents_sql())
+def message_intents(spark, sf_dir):
+    msgs = Marketplace(spark, sf_dir).messages
+    return op.classify(msgs).select("conv_id", "turn", "intent", "confidence", "order_id", "category",
+                                    "product_name")
+
+
+INTENT_COUNTS_SQL = intents_sql().replace(
+    "SELECT conv_id, turn, intent, confidence, order_id, category,", "SELECT intent, COUNT(*) AS messages FROM (SELECT intent,", 1
+).rstrip() + ") z GROUP BY intent\n"
+
+
+@register("intent_counts", covers=("T1", "A2"), sql=INTENT_COUNTS_SQL)
+def intent_counts(spark, sf_dir):
+    return message_intents(spark, sf_dir).groupBy("intent").agg(F.count(F.lit(1)).alias("messages"))
