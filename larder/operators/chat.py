@@ -62,14 +62,12 @@ def js_trim(c: Column) -> Column:
 
 
 def contains_any(m: Column, words: list[str], whole_words: bool = False) -> Column:
+    """Substring test for any of ``words`` as ONE regex (quoted literals in
+    an alternation): compact for code generation and a single scan."""
+    alt = "|".join(r"\Q" + w + r"\E" for w in words)
     if whole_words:
-        import re
-        pat = "|".join(re.escape(w) for w in words)
-        return m.rlike(rf"(^|[^A-Za-z0-9_])({pat})([^A-Za-z0-9_]|$)")
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | m.contains(w)
-    return cond
+        return m.rlike(rf"(^|[^A-Za-z0-9_])({alt})([^A-Za-z0-9_]|$)")
+    return m.rlike(alt)
 
 
 def bounded_hex(text: Column, hex_pattern: str) -> Column:
@@ -83,65 +81,74 @@ def bounded_hex(text: Column, hex_pattern: str) -> Column:
 def phrase_tail(m: Column, phrases: list[str]) -> Column:
     """Text after the first occurrence of the first phrase (in list
     order) whose tail, without ?.!, and trimmed, is longer than 1 char."""
-    out = F.lit(None).cast("string")
-    for p in reversed(phrases):
+    cands = []
+    for p in phrases:
         pos = F.instr(m, p)
         after = F.substring(m, pos + len(p), F.lit(1 << 30))
         tail = js_trim(F.regexp_replace(js_trim(after), r"[?.!,]", ""))
-        out = F.when((pos > 0) & (F.length(tail) > 1), tail).otherwise(out)
-    return out
+        cands.append(F.when((pos > 0) & (F.length(tail) > 1), tail))
+    return F.coalesce(*cands)
 
 
 def classify(messages: DataFrame, text: str = "message", whole_words: bool = False) -> DataFrame:
-    """Add intent, confidence, order_id, product_name, category."""
-    raw = F.col(text)
-    m = F.lower(js_trim(raw))
+    """Add intent, confidence, order_id, product_name, category.
+
+    Built in stages so the normalised text, the phrase tails and each
+    keyword-group test are computed once per row and referenced by name
+    (one giant nested expression would repeat the regex work and overflow
+    code generation).
+    """
+    m = F.col("_m")
 
     def has(words):
         return contains_any(m, words, whole_words)
 
-    long_id = bounded_hex(raw, LONG_ID)
-    short_id = F.when(has(ORDER_ID_HINTS), bounded_hex(raw, SHORT_ID))
-    order_id = F.coalesce(long_id, short_id)
-    s_order = (F.when(order_id.isNotNull(), S_ORDER_ID)
-               .when(has(ORDER_PHRASES), S_ORDER_PHRASE)
-               .when(has(ORDER_KEYWORDS), S_KEYWORD).otherwise(0.0))
-
-    price_tail = phrase_tail(m, PRICE_PHRASES)
-    s_price = F.when(price_tail.isNotNull(), S_PHRASE).when(has(PRICE_KEYWORDS), S_KEYWORD).otherwise(0.0)
-
-    stock_tail = phrase_tail(m, STOCK_PHRASES)
-    stock_is_cat = stock_tail.isin(*CATEGORIES)
-    s_stock = (F.when(stock_tail.isNotNull() & ~stock_is_cat, S_PHRASE)
-               .when(stock_tail.isNotNull(), 0.0)
-               .when(has(STOCK_KEYWORDS), S_KEYWORD).otherwise(0.0))
-
-    category = F.lit(None).cast("string")
-    for cat in reversed(CATEGORIES):
-        hit = has([cat]) if cat != "vegetables" else has([cat] + VEG_FORMS)
-        category = F.when(hit, F.lit(cat)).otherwise(category)
-    s_cat = F.when(category.isNull(), 0.0).when(has(BROWSE_KEYWORDS), S_CAT_BROWSE).otherwise(S_CAT_PLAIN)
-
-    s_notif = F.when(has(NOTIFICATION_KEYWORDS), S_NOTIF).otherwise(0.0)
-    s_review = F.when(has(REVIEW_KEYWORDS), S_REVIEW).otherwise(0.0)
-    s_help = F.when(has(HELP_KEYWORDS) | has(GREETING_KEYWORDS), S_HELP).otherwise(0.0)
-
-    scores = [s_order, s_price, s_stock, s_cat, s_notif, s_review, s_help]
-    df = messages.select("*", *[s.alias(f"_s{i}") for i, s in enumerate(scores)],
-                         order_id.alias("order_id"), category.alias("category"),
-                         F.coalesce(F.when(~stock_is_cat, stock_tail), price_tail).alias("_pn"),
-                         m.alias("_m"))
-    best = F.greatest(*[F.col(f"_s{i}") for i in range(len(scores))])
-    intent = F.lit(INTENT_ORDER[-1])
-    for i in reversed(range(len(scores))):
-        intent = F.when(F.col(f"_s{i}") == best, F.lit(INTENT_ORDER[i])).otherwise(intent)
-    ok = best >= THRESHOLD
-    df = df.withColumn("intent", F.when(ok, intent).otherwise(INTENT_ORDER[-1])) \
-           .withColumn("confidence", F.when(ok, best).otherwise(F.lit(FALLBACK_CONFIDENCE)))
+    s1 = messages.withColumn("_m", F.lower(js_trim(F.col(text))))
+    cats = [(c, [c] + (VEG_FORMS if c == "vegetables" else [])) for c in CATEGORIES]
+    s2 = s1.select(
+        "*",
+        bounded_hex(F.col(text), LONG_ID).alias("_long"),
+        bounded_hex(F.col(text), SHORT_ID).alias("_short"),
+        has(ORDER_ID_HINTS).alias("_hint"),
+        has(ORDER_PHRASES).alias("_ord_ph"), has(ORDER_KEYWORDS).alias("_ord_kw"),
+        phrase_tail(m, PRICE_PHRASES).alias("_ptail"), has(PRICE_KEYWORDS).alias("_price_kw"),
+        phrase_tail(m, STOCK_PHRASES).alias("_stail"), has(STOCK_KEYWORDS).alias("_stock_kw"),
+        has(BROWSE_KEYWORDS).alias("_browse"),
+        has(NOTIFICATION_KEYWORDS).alias("_notif"), has(REVIEW_KEYWORDS).alias("_review"),
+        (has(HELP_KEYWORDS) | has(GREETING_KEYWORDS)).alias("_help"),
+        *[has(words).alias(f"_cat_{i}") for i, (_, words) in enumerate(cats)])
+    category = F.coalesce(*[F.when(F.col(f"_cat_{i}"), F.lit(c)) for i, (c, _) in enumerate(cats)])
+    order_id = F.coalesce(F.col("_long"), F.when(F.col("_hint"), F.col("_short")))
+    stock_name = F.when(~F.col("_stail").isin(*CATEGORIES), F.col("_stail"))
+    s3 = s2.select("*", order_id.alias("order_id"), category.alias("category"),
+                   stock_name.alias("_sname"))
+    scores = [
+        F.when(F.col("order_id").isNotNull(), S_ORDER_ID).when(F.col("_ord_ph"), S_ORDER_PHRASE)
+         .when(F.col("_ord_kw"), S_KEYWORD).otherwise(0.0),
+        F.when(F.col("_ptail").isNotNull(), S_PHRASE).when(F.col("_price_kw"), S_KEYWORD).otherwise(0.0),
+        F.when(F.col("_sname").isNotNull(), S_PHRASE).when(F.col("_stail").isNotNull(), 0.0)
+         .when(F.col("_stock_kw"), S_KEYWORD).otherwise(0.0),
+        F.when(F.col("category").isNull(), 0.0).when(F.col("_browse"), S_CAT_BROWSE).otherwise(S_CAT_PLAIN),
+        F.when(F.col("_notif"), S_NOTIF).otherwise(0.0),
+        F.when(F.col("_review"), S_REVIEW).otherwise(0.0),
+        F.when(F.col("_help"), S_HELP).otherwise(0.0),
+    ]
+    # Winner in one expression: the max of (score, -position) is the highest
+    # score and, among equal scores, the earliest intent (strictly-greater
+    # scan). Each score is referenced once, so plans stay linear in size.
+    top = F.array_max(F.array(*[F.struct(sc.alias("score"), F.lit(-i).alias("neg_pos"))
+                                for i, sc in enumerate(scores)]))
+    s4 = s3.select("*", top.alias("_top"),
+                   F.coalesce(F.col("_sname"), F.col("_ptail")).alias("_pn"))
+    names = F.array(*[F.lit(n) for n in INTENT_ORDER[:-1]])
+    ok = F.col("_top.score") >= THRESHOLD
+    s5 = s4.select("*",
+                   F.when(ok, F.element_at(names, 1 - F.col("_top.neg_pos")))
+                    .otherwise(F.lit(INTENT_ORDER[-1])).alias("intent"),
+                   F.when(ok, F.col("_top.score")).otherwise(F.lit(FALLBACK_CONFIDENCE)).alias("confidence"))
     # leftover words for price/stock intents without an extracted name
-    words = F.filter(F.split(F.col("_m"), r"\s+"),
-                     lambda w: (F.length(w) > 2) & ~w.isin(*SKIP_WORDS))
+    words = F.filter(F.split(m, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*SKIP_WORDS))
     leftover = F.when(F.size(words) > 0, F.array_join(words, " "))
     needs = F.col("intent").isin("PRODUCT_PRICE", "PRODUCT_STOCK") & F.col("_pn").isNull()
-    df = df.withColumn("product_name", F.when(needs, leftover).otherwise(F.col("_pn")))
-    return df.drop(*[f"_s{i}" for i in range(len(scores))], "_pn", "_m")
+    out = s5.withColumn("product_name", F.when(needs, leftover).otherwise(F.col("_pn")))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])

@@ -103,7 +103,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(1000000.0 AS DOUBLE) + value * CAST(10000.0 AS DOUBLE) AS target
         FROM events WHERE event_type = 'error'"""),
     "b_messages": ((), """
-        SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'"""),
+        SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'
+        UNION ALL
+        SELECT CAST(-1 AS BIGINT), CAST(i - 1 AS BIGINT), m
+        FROM (SELECT unnest(range(1, 10)) AS i,
+                     unnest(['Hello bot', 'help me please', 'price of salmon', 'is carrot in stock?',
+                             'show me fish products', 'do I have notifications?', 'what do clients say?',
+                             'status of order 6a2da135692b83529ff7e74c', 'xyz123random']) AS m) g"""),
 }
 
 

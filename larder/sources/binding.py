@@ -32,6 +32,10 @@ from larder.sources.tables import read_table
 AS_OF = "2001-08-01"          # "now" for every relative-date operator
 DEFAULT_CREDIT_LIMIT = 100000  # used when a limit is missing or zero
 SUPPLIER_PRICE_DIVISOR = 1.15  # supplier price = marketplace price / 1.15
+# The reference's chat test messages (fixed values), in their original order.
+GOLDEN_MESSAGES = ["Hello bot", "help me please", "price of salmon", "is carrot in stock?",
+                   "show me fish products", "do I have notifications?", "what do clients say?",
+                   "status of order 6a2da135692b83529ff7e74c", "xyz123random"]
 
 
 def order_status(orderstatus: Column, priority: Column) -> Column:
@@ -298,5 +302,10 @@ class Marketplace:
 
     @cached_property
     def messages(self) -> DataFrame:
+        """User turns of ``conversations`` plus the nine reference chat
+        cases (conv_id -1), which cover every intent."""
         c = self.raw("conversations").where(F.col("role") == "user")
-        return c.select("conv_id", "turn", F.col("text").alias("message"))
+        conv = c.select("conv_id", "turn", F.col("text").alias("message"))
+        gold = self.spark.createDataFrame(
+            [(-1, i, m) for i, m in enumerate(GOLDEN_MESSAGES)], "conv_id bigint, turn bigint, message string")
+        return conv.unionByName(gold)
