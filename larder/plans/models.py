@@ -1 +1,166 @@
-"""Queries (filled in below)."""
+"""Model queries: P12, S10, M1, M3-M6, M10, M11, M12, M14-M16.
+
+Learned models have no SQL oracle (rows-only check); their building blocks
+(features, splits, metrics) are oracle-checked in their own queries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import evaluation as ev
+from larder.operators import features as fe
+from larder.operators import models as md
+from larder.plans import series
+from larder.plans.features import product_features
+from larder.plans.registry import register
+from larder.plans.sql_binding import with_views
+from larder.sources.binding import Marketplace
+
+DAY_NAMES = "EEEE"
+
+
+def raw_requests(mk: Marketplace):
+    """Scoring requests as clients send them (mixed case, spaces, holiday
+    as text), one per demand row; labels kept for training."""
+    d = mk.demand
+    ln = F.col("line_no")
+    day = F.date_format("date", DAY_NAMES)
+    return d.select(
+        (F.col("order_id") * 1000 + ln).alias("request_id"), "order_id", "line_no", "product_id", "product_name",
+        F.when(F.pmod(ln, F.lit(2)) == 0, F.upper("category")).otherwise(F.concat(F.lit(" "), F.col("category")))
+         .alias("category"),
+        F.when(F.pmod(ln, F.lit(3)) == 0, F.lower(day)).otherwise(F.upper(day)).alias("day_of_week"),
+        F.when(F.pmod(ln, F.lit(4)) == 0, F.lit("true")).otherwise(F.col("is_holiday").cast("string"))
+         .alias("is_holiday"),
+        F.concat(F.col("weather_condition"), F.lit(" ")).alias("weather_condition"),
+        "quantity_sold", "price")
+
+
+NORMALISE_SQL = with_views("b_demand") + """
+, r AS (
+    SELECT order_id * 1000 + line_no AS request_id, product_name,
+           CASE WHEN line_no % 2 = 0 THEN upper(category) ELSE ' ' || category END AS category,
+           CASE WHEN line_no % 3 = 0 THEN lower(strftime(date, '%A')) ELSE upper(strftime(date, '%A')) END
+               AS day_of_week,
+           CASE WHEN line_no % 4 = 0 THEN 'true' ELSE CAST(is_holiday AS VARCHAR) END AS is_holiday,
+           weather_condition || ' ' AS weather_condition
+    FROM b_demand)
+SELECT request_id, product_name,
+       CASE lower(trim(category)) WHEN 'vegetables' THEN 'vegetable' WHEN 'vegetable' THEN 'vegetable'
+            WHEN 'fish' THEN 'fish' WHEN 'meat' THEN 'meat' WHEN 'grains' THEN 'grain' WHEN 'grain' THEN 'grain'
+            ELSE lower(trim(category)) END AS category,
+       upper(substring(trim(day_of_week), 1, 1)) || lower(substring(trim(day_of_week), 2)) AS day_of_week,
+       CASE WHEN COALESCE(TRY_CAST(trim(is_holiday) AS INTEGER),
+                          CASE lower(trim(is_holiday)) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END) > 0
+            THEN 1 ELSE 0 END AS is_holiday,
+       lower(trim(weather_condition)) AS weather_condition,
+       array_to_string(list_filter([
+           CASE WHEN product_name IS NULL OR trim(product_name) = '' THEN 'product_name' END,
+           CASE WHEN category IS NULL OR trim(category) = '' THEN 'category' END,
+           CASE WHEN day_of_week IS NULL OR trim(day_of_week) = '' THEN 'day_of_week' END,
+           CASE WHEN weather_condition IS NULL OR trim(weather_condition) = '' THEN 'weather_condition' END],
+           lambda x: x IS NOT NULL), ',') AS missing_fields
+FROM r
+"""
+
+
+@register("normalised_requests", covers=("P12", "F1", "F8", "F18"), sql=NORMALISE_SQL)
+def normalised_requests(spark, sf_dir):
+    return md.normalise_requests(raw_requests(Marketplace(spark, sf_dir)))
+
+
+CAT_COLS = ["category", "day_of_week", "weather_condition"]
+
+
+@register("request_model_predictions", covers=("S10", "M1", "M3", "M5", "M7", "W22"))
+def request_model_predictions(spark, sf_dir):
+    """Train one linear pipeline per target (quantity, price) on 80 % of
+    the normalised requests (hash folds 1-4) and score the rest."""
+    mk = Marketplace(spark, sf_dir)
+    raw = raw_requests(mk)
+    norm = md.normalise_requests(raw, keep=("quantity_sold", "price", "order_id", "line_no", "product_id"))
+    folded = fe.hash_folds(norm, ["order_id", "line_no", "product_id"], 5, 42)
+    train, test = folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0)
+    models = md.fit_multi_output(train, ["quantity_sold", "price"], CAT_COLS, ["is_holiday"], "linear")
+    return md.predict_all(models, test, ["request_id", "quantity_sold", "price"])
+
+
+def _product_split(mk):
+    pf = product_features(mk)
+    split = fe.split_by_date_position(pf, 0.8)
+    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+
+
+NUMS = ["month", "week_of_year", "day_of_month", "is_weekend", "lag_1", "lag_7", "lag_14",
+        "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "price_mean"]
+
+
+@register("ml_model_comparison", covers=("M3", "M4", "M10", "M16", "A26", "M18"))
+def ml_model_comparison(spark, sf_dir):
+    mk = Marketplace(spark, sf_dir)
+    train, test = _product_split(mk)
+    out = None
+    for name, kind, params in [("linear", "linear", {}),
+                               ("boosted", "gbt", {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1})]:
+        m = md.regression_pipeline(["category"], NUMS, "quantity_sold", kind, **params).fit(train)
+        p = m.transform(test).select(F.col("quantity_sold").alias("actual"),
+                                     F.col("pred_quantity_sold").alias("predicted"))
+        met = ev.error_metrics(p).withColumn("model", F.lit(name))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+@register("gbt_feature_importance", covers=("M15", "L7", "M4"))
+def gbt_feature_importance(spark, sf_dir):
+    mk = Marketplace(spark, sf_dir)
+    train, _ = _product_split(mk)
+    m = md.regression_pipeline(["category"], NUMS, "quantity_sold", "gbt", maxIter=20, maxDepth=4).fit(train)
+    return md.feature_importances(m, train).orderBy(F.desc("importance"), "feature")
+
+
+def _grid_split(mk):
+    g = series.category_grid(mk)
+    cut = fe.split_by_date_position(g.select("date").distinct(), 0.8) \
+            .where(F.col("split") == "test").select(F.min("date")).scalar()
+    return g, cut
+
+
+@register("seasonal_regression_forecast", covers=("M11", "M13", "J8"))
+def seasonal_regression_forecast(spark, sf_dir):
+    g, cut = _grid_split(Marketplace(spark, sf_dir))
+    return md.seasonal_regression(g.where(F.col("date") < cut), g.where(F.col("date") >= cut),
+                                  "category", "demand")
+
+
+@register("ar_forecast", covers=("M12",))
+def ar_forecast(spark, sf_dir):
+    g, cut = _grid_split(Marketplace(spark, sf_dir))
+    return md.ar2_forecast(g.select("category", "date", "demand"), "category", "demand", cut)
+
+
+@register("recursive_forecast", covers=("M14", "A24", "J14"))
+def recursive_forecast(spark, sf_dir):
+    """30 days forward per product (recursive MA(7)), summed by category;
+    horizons 7/14/30 are prefixes of the one 30-day run."""
+    mk = Marketplace(spark, sf_dir)
+    pd_ = series.product_day(mk)
+    fc = md.recursive_ma_forecast(pd_, "product_id", "quantity_sold", 30, 7)
+    cats = pd_.select("product_id", "category").distinct()
+    by_cat = fc.join(cats, "product_id").groupBy("category", "date", "step").agg(
+        F.sum("forecast").alias("quantity_sold"))
+    horizons = F.explode(F.filter(F.array(F.lit(7), F.lit(14), F.lit(30)), lambda h: F.col("step") <= h))
+    return by_cat.select("category", "date", "step", "quantity_sold", horizons.alias("horizon"))
+
+
+@register("tuned_linear_cv", covers=("M6", "W21"))
+def tuned_linear_cv(spark, sf_dir):
+    mk = Marketplace(spark, sf_dir)
+    train, _ = _product_split(mk)
+    pipe = md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear")
+    lr = pipe.getStages()[-1]
+    cvm = md.tune(train, pipe, lr, {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, draws=4,
+                  folds=3, label="quantity_sold")
+    rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(cvm.getEstimatorParamMaps(),
+                                                                               cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, cv_rmse double")
