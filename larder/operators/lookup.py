@@ -26,9 +26,9 @@ CATEGORY_PATTERNS = {"veg": "Vegetables", "vegetable": "Vegetables", "seafood":
                      "fish": "Fish|Seafood"}
 
 
-def name_grams(products: DataFrame, text: str = "name") -> DataFrame:
-    """(product_id, gram) for every distinct 1..3-gram of lower(text)."""
-    t = F.lower(F.col(text))
+def text_grams(texts: DataFrame) -> DataFrame:
+    """(text, gram) for every distinct 1..3-gram of each distinct text."""
+    t = F.col("text")
 
     def gram_at(k):  # one-argument lambda: transform passes (element[, index])
         return lambda i: F.substring(t, i, k)
@@ -36,24 +36,35 @@ def name_grams(products: DataFrame, text: str = "name") -> DataFrame:
     grams = F.flatten(F.array(*[
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), gram_at(k))
         for k in range(1, MAX_GRAM + 1)]))
-    return products.select("product_id", F.explode(F.array_distinct(grams)).alias("gram")) \
-                   .where(F.length("gram") > 0)
-
-
-def substring_matches(requests: DataFrame, req_key: list[str], req_text: str,
-                      products: DataFrame, grams: DataFrame, prod_text: str = "name") -> DataFrame:
-    """(request keys..., product columns) where lower(prod_text) contains
-    lower(req_text), found through the gram equi-join."""
-    r = requests.select(*req_key, F.lower(F.col(req_text)).alias("_needle")).where(F.length("_needle") > 0)
-    r = r.withColumn("gram", F.substring("_needle", 1, MAX_GRAM))
-    cand = r.join(grams, "gram").select(*req_key, "_needle", "product_id").distinct()
-    return (cand.join(products, "product_id")
-            .where(F.lower(F.col(prod_text)).contains(F.col("_needle"))))
-
-
-def first_by_id(df: DataFrame, key: list[str]) -> DataFrame:
-    """The lowest product id per key ("findOne" made deterministic)."""
-    return df.groupBy(*key).agg(F.min("product_id").alias("product_id"))
+    return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram")).where(F.length("gram") > 0)
+
+
+def needle_matches(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) for distinct needles and distinct texts (both lower
+    case) where text contains needle: gram equi-join, then the exact test.
+    Work grows with distinct values, not with rows."""
+    n = needles.select("needle").where(F.length("needle") > 0).distinct() \
+               .withColumn("gram", F.substring("needle", 1, MAX_GRAM))
+    t = texts.select("text").distinct()
+    return (n.join(text_grams(t), "gram").select("needle", "text").distinct()
+            .where(F.col("text").contains(F.col("needle"))))
+
+
+def top_ids_per_needle(needles: DataFrame, products: DataFrame, text_cols: list[str], k: int) -> DataFrame:
+    """(needle, product_id, r): the ``k`` lowest product ids whose text
+    (any of ``text_cols``, lower case) contains the needle. Each text keeps
+    only its own ``k`` lowest ids before the fan-out, which is exact: the
+    k lowest of a union lie among the k lowest of each part."""
+    parts = [products.select(F.lower(F.col(c)).alias("text"), "product_id") for c in text_cols]
+    by_text = parts[0]
+    for p in parts[1:]:
+        by_text = by_text.unionByName(p)
+    wt = Window.partitionBy("text").orderBy("product_id")
+    top_text = by_text.distinct().withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= k).drop("_r")
+    m = needle_matches(needles, top_text)
+    cand = m.join(top_text, "text").select("needle", "product_id").distinct()
+    wn = Window.partitionBy("needle").orderBy("product_id")
+    return cand.withColumn("r", F.row_number().over(wn)).where(F.col("r") <= k)
 
 
 def product_lookup(requests: DataFrame, products: DataFrame, key: list[str],
@@ -67,11 +78,12 @@ def product_lookup(requests: DataFrame, products: DataFrame, key: list[str],
     name, price, stock, category.
     """
     prods = products.select("product_id", "name", "price", "stock", "category")
-    grams = name_grams(prods)
-    exact = first_by_id(substring_matches(requests, key, text, prods, grams), key)
-    words = (requests.select(*key, F.explode(F.split(F.col(text), r"\s+")).alias("_w"))
-             .where(F.length("_w") > 2))
-    by_word = first_by_id(substring_matches(words, key, "_w", prods, grams), key)
+    req = requests.select(*key, F.lower(F.col(text)).alias("needle"))
+    words = (requests.select(*key, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("needle"))
+             .where(F.length("needle") > 2))
+    best = top_ids_per_needle(req.select("needle").unionByName(words.select("needle")), prods, ["name"], 1)
+    exact = req.join(best, "needle").groupBy(*key).agg(F.min("product_id").alias("product_id"))
+    by_word = words.join(best, "needle").groupBy(*key).agg(F.min("product_id").alias("product_id"))
     found = (requests.select(*key).join(exact, key, "left")
              .join(by_word.withColumnRenamed("product_id", "_pw"), key, "left")
              .select(*key, F.coalesce("product_id", "_pw").alias("product_id")))
@@ -144,14 +156,13 @@ def search_fallback(requests: DataFrame, products: DataFrame, key: list[str],
                     text: str = "message") -> DataFrame:
     """The first 5 in-stock products (by id) whose name or category
     contains any request word longer than 2 chars; no match -> the first 5
-    in-stock products."""
+    in-stock products. Matching runs on distinct words; each word keeps its
+    5 lowest ids, so a request gathers at most 5 per distinct word."""
     prods = products.where(F.col("stock") > 0).select("product_id", "name", "price", "stock", "category")
-    words = (requests.select(*key, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("_w"))
-             .where(F.length("_w") > 2).distinct())
-    by_name = substring_matches(words, key, "_w", prods, name_grams(prods, "name"), "name")
-    cat_grams = name_grams(prods.select("product_id", F.col("category").alias("name")), "name")
-    by_cat = substring_matches(words, key, "_w", prods, cat_grams, "category")
-    hits = by_name.select(*key, "product_id").unionByName(by_cat.select(*key, "product_id")).distinct()
+    words = (requests.select(*key, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("needle"))
+             .where(F.length("needle") > 2).distinct())
+    per_word = top_ids_per_needle(words.select("needle"), prods, ["name", "category"], SEARCH_RESULTS)
+    hits = words.join(per_word, "needle").select(*key, "product_id").distinct()
     w = Window.partitionBy(*key).orderBy("product_id")
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SEARCH_RESULTS)
     default = (prods.orderBy("product_id").limit(SEARCH_RESULTS)

@@ -15,6 +15,7 @@ from larder.plans import series
 from larder.plans.features import product_features
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
+from larder.session import checkpoint_dir
 from larder.sources.binding import Marketplace
 
 DAY_NAMES = "EEEE"
@@ -80,16 +81,22 @@ def request_model_predictions(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
     raw = raw_requests(mk)
     norm = md.normalise_requests(raw, keep=("quantity_sold", "price", "order_id", "line_no", "product_id"))
-    folded = fe.hash_folds(norm, ["order_id", "line_no", "product_id"], 5, 42)
+    folded = _materialise(fe.hash_folds(norm, ["order_id", "line_no", "product_id"], 5, 42))
     train, test = folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0)
     models = md.fit_multi_output(train, ["quantity_sold", "price"], CAT_COLS, ["is_holiday"], "linear")
     return md.predict_all(models, test, ["request_id", "quantity_sold", "price"])
 
 
+def _materialise(df):
+    """Training data is read many times (indexers, several fits, folds):
+    compute it once into the shared checkpoint folder (also cuts lineage)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _product_split(mk):
-    pf = product_features(mk)
-    split = fe.split_by_date_position(pf, 0.8)
-    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    pf = _materialise(fe.split_by_date_position(product_features(mk), 0.8))
+    return pf.where(F.col("split") == "train"), pf.where(F.col("split") == "test")
 
 
 NUMS = ["month", "week_of_year", "day_of_month", "is_weekend", "lag_1", "lag_7", "lag_14",
