@@ -270,3 +270,27 @@ FROM top t LEFT JOIN cnt c ON c.order_id = t.order_id WHERE t.rank <= 5
 def recent_orders(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
     return lk.recent_orders(mk.orders, mk.order_items, 5)
+
+
+ROUTE_SQL = _with_intents() + """
+SELECT conv_id, turn, CASE WHEN conv_id >= 0 AND conv_id % 2 = 0 THEN conv_id END AS user_id, intent,
+       CASE WHEN (conv_id < 0 OR conv_id % 2 = 1) AND intent IN ('ORDER_STATUS', 'NOTIFICATIONS') THEN 'login_required'
+            WHEN intent = 'ORDER_STATUS' AND order_id IS NULL THEN 'recent_orders'
+            WHEN intent = 'ORDER_STATUS' THEN 'order_details'
+            WHEN intent IN ('PRODUCT_PRICE', 'PRODUCT_STOCK') THEN 'product_info'
+            WHEN intent = 'CATEGORY_SEARCH' THEN 'category_products'
+            WHEN intent = 'NOTIFICATIONS' THEN 'notifications'
+            WHEN intent = 'REVIEWS' THEN 'reviews'
+            WHEN intent = 'GENERAL_HELP' THEN 'help' ELSE 'search_results' END AS response_type
+FROM i
+"""
+
+
+@register("chat_routing", covers=("T10",), sql=ROUTE_SQL)
+def chat_routing(spark, sf_dir):
+    """Even conversations belong to a signed-in buyer (user = conv id); odd
+    ones and the reference cases are guests."""
+    from larder.operators.quality import route
+    c = _intents(spark, sf_dir)
+    user = F.when((F.col("conv_id") >= 0) & (F.pmod("conv_id", F.lit(2)) == 0), F.col("conv_id"))
+    return route(c.withColumn("user_id", user))

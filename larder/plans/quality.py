@@ -322,3 +322,58 @@ def standardised_demand(spark, sf_dir):
     st = g.groupBy("category").agg(F.avg("demand").alias("_m"), F.stddev_pop("demand").alias("_s"))
     return g.join(st, "category").select(
         "category", "date", "demand", round_half_up((F.col("demand") - F.col("_m")) / F.col("_s"), 6).alias("demand_z"))
+
+
+SHORT_SQL = with_views("b_orders") + """
+, req AS (SELECT event_id AS request_id, user_id, right(CAST(event_id AS VARCHAR), 2) AS code
+          FROM events WHERE event_type = 'click')
+, cand AS (SELECT buyer_id AS user_id, order_id, created_at, upper(CAST(order_id AS VARCHAR)) AS oid FROM (
+             SELECT *, ROW_NUMBER() OVER (PARTITION BY buyer_id ORDER BY created_at DESC, order_id DESC) AS r
+             FROM b_orders) t WHERE r <= 50)
+SELECT request_id, user_id, code, order_id FROM (
+    SELECT r.request_id, r.user_id, r.code, c.order_id,
+           ROW_NUMBER() OVER (PARTITION BY r.request_id ORDER BY c.created_at DESC, c.order_id DESC) AS k
+    FROM req r JOIN cand c ON c.user_id = r.user_id
+    WHERE ends_with(c.oid, upper(trim(r.code))) OR starts_with(c.oid, upper(trim(r.code)))) t
+WHERE k = 1
+"""
+
+
+@register("short_id_matches", covers=("J11", "F2", "F3"), sql=SHORT_SQL)
+def short_id_matches(spark, sf_dir):
+    mk = Marketplace(spark, sf_dir)
+    e = mk.raw("events").where(F.col("event_type") == "click")
+    req = e.select(F.col("event_id").alias("request_id"), "user_id",
+                   F.substring(F.col("event_id").cast("string"), -2, 2).alias("code"))
+    return q.match_short_ids(req, mk.orders, 50)
+
+
+ELIGIBLE_SQL = with_views("b_orders", "b_reviews") + """
+, req AS (SELECT event_id AS request_id, user_id, event_id AS order_id, l_partkey AS product_id
+          FROM events JOIN lineitem ON l_orderkey = (events.event_id * 3) % (SELECT COUNT(*) FROM orders)
+               AND l_linenumber = 1
+          WHERE event_type = 'view')
+SELECT request_id, user_id, order_id, product_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM b_orders o WHERE o.order_id = req.order_id AND o.buyer_id = req.user_id
+                             AND o.status = 'Delivered') THEN 'order_not_delivered_or_not_own'
+            WHEN NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = req.order_id AND l.l_partkey = req.product_id)
+                 THEN 'product_not_in_order'
+            WHEN EXISTS (SELECT 1 FROM b_reviews r WHERE r.user_id = req.user_id AND r.product_id = req.product_id)
+                 THEN 'already_reviewed'
+            ELSE 'eligible' END AS outcome
+FROM req
+"""
+
+
+@register("review_eligibility", covers=("J6",), sql=ELIGIBLE_SQL)
+def review_eligibility(spark, sf_dir):
+    """Review submissions from view events: the user reviews line 1's
+    product of order (3 x event id) mod #orders, quoting order = event id."""
+    mk = Marketplace(spark, sf_dir)
+    n = mk.raw("orders").select(F.count(F.lit(1))).scalar()
+    e = mk.raw("events").where(F.col("event_type") == "view").select(
+        "event_id", "user_id", F.pmod(F.col("event_id") * 3, n).alias("l_orderkey"))
+    li = mk.raw("lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey")
+    req = e.join(li, "l_orderkey").select(F.col("event_id").alias("request_id"), "user_id",
+                                          F.col("event_id").alias("order_id"), F.col("l_partkey").alias("product_id"))
+    return q.review_eligibility(req, mk.orders, mk.order_items, mk.reviews)
