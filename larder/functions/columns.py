@@ -22,6 +22,24 @@ def money(c) -> Column:
     return col(c).cast(MONEY)
 
 
+def cents(c) -> Column:
+    """Exact money in integer cents (HALF_UP to the cent). Sums of cents are
+    exact and use fixed-width LONG buffers, so Spark hash-aggregates them
+    (a DECIMAL(28,2) sum buffer would force a sort-based aggregate)."""
+    return (money(c) * 100).cast("bigint")
+
+
+def from_cents(c) -> Column:
+    """Cents back to a DOUBLE amount (the correctly rounded value of the
+    exact decimal, identical to casting the decimal sum)."""
+    return col(c) / F.lit(100.0)
+
+
+def cents_to_money(c) -> Column:
+    """Cents as an exact DECIMAL(20,2) for further decimal arithmetic."""
+    return (col(c).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
+
+
 def round_half_up(c, digits: int = 2) -> Column:
     """Decimal HALF_UP rounding of a double/decimal, returned as DOUBLE."""
     return F.round(col(c).cast("decimal(38,10)"), digits).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.functions.columns import money, or_default
+from larder.functions.columns import cents, from_cents, money, or_default
 
 # Fixed values
 DEFAULT_CREDIT_LIMIT = 100000.0
@@ -22,13 +22,13 @@ def credit_position(invoices: DataFrame, buyers: DataFrame) -> DataFrame:
     available = max(0, limit - outstanding), earliest open due date."""
     is_open = F.col("status").isin(*OPEN)
     per = invoices.groupBy("buyer_id").agg(
-        F.sum(F.when(is_open, money("amount"))).alias("out"),
+        F.sum(F.when(is_open, cents("amount"))).alias("out_cents"),
         F.min(F.when(is_open, F.col("due_date"))).alias("next_due"),
         F.count(F.lit(1)).alias("invoice_count"))
     b = buyers.select(F.col("user_id").alias("buyer_id"),
                       or_default("credit_limit", DEFAULT_CREDIT_LIMIT).cast("double").alias("credit_limit"))
     r = b.join(per, "buyer_id", "left")
-    out = F.coalesce(F.col("out"), F.lit(0)).cast("double")
+    out = from_cents(F.coalesce(F.col("out_cents"), F.lit(0)))
     return r.select(
         "buyer_id", "credit_limit",
         out.alias("outstanding"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.columns import cents, from_cents
 from larder.operators.catalogue import DEFAULT_MARGIN, selling_price
 from larder.operators.supplier import line_value
 
@@ -106,14 +107,14 @@ def checkout_pricing(cart: DataFrame, products: DataFrame, carts: DataFrame,
     priced = lines.select("cart_id", "line_no", "product_id", "quantity",
                           F.coalesce("supplier_id", "p_supplier").alias("supplier_id"),
                           mp.alias("marketplace_price"), sp.alias("supplier_price"))
+    line = F.col("marketplace_price").cast("decimal(18,2)") * F.col("quantity").cast("decimal(18,4)")
     per = priced.groupBy("cart_id").agg(
-        F.sum((F.col("marketplace_price").cast("decimal(18,2)") * F.col("quantity").cast("decimal(18,4)")))
-         .alias("raw_total"),
+        F.sum(cents(line)).alias("total_cents"),
         F.count_distinct("supplier_id").alias("supplier_count"),
         F.count(F.lit(1)).alias("item_count"))
     status, pay = initial_statuses("payment_method")
     return (carts.join(per, "cart_id")
             .select("cart_id", "buyer_id", "payment_method",
-                    F.round("raw_total", 2).cast("double").alias("total"),
+                    from_cents("total_cents").alias("total"),
                     "supplier_count", "item_count",
                     status.alias("status"), pay.alias("payment_status")))

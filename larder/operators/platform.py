@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.columns import (company_or_name, js_round, money,
+from larder.functions.columns import (cents, company_or_name, from_cents, js_round, money,
                                       round_half_up, safe_ratio)
 from larder.operators.calendar import bucket_spine, day_spine, range_join_sum
 
@@ -103,9 +103,9 @@ def daily_revenue(spark, orders: DataFrame, as_of: str, days: int = 7,
     rev = (orders.where((F.col("status") != "Cancelled")
                         & (F.col("order_date") >= start) & (F.col("order_date") <= end))
            .groupBy(F.col("order_date").alias("date"))
-           .agg(F.sum(money("total")).alias("rev")))
+           .agg(F.sum(cents("total")).alias("rev_cents")))
     out = spine.join(rev, "date", "left")
-    revenue = F.coalesce(F.col("rev"), F.lit(0)).cast("double")
+    revenue = from_cents(F.coalesce(F.col("rev_cents"), F.lit(0)))
     return out.select(
         "date", F.date_format("date", "EEE").alias("label"),
         revenue.alias("revenue"),
@@ -118,7 +118,7 @@ def buyer_stats(orders: DataFrame, items: DataFrame, products: DataFrame,
     category by quantity (ties: alphabetically first), for every buyer."""
     live = F.col("status") != "Cancelled"
     per = orders.groupBy("buyer_id").agg(
-        F.coalesce(F.sum(F.when(live, money("total"))), F.lit(0)).cast("double").alias("total_purchases"),
+        from_cents(F.coalesce(F.sum(F.when(live, cents("total"))), F.lit(0))).alias("total_purchases"),
         F.count(F.lit(1)).alias("total_orders"))
     lines = (items.select("order_id", "product_id", "quantity")
              .join(orders.where(live).select("order_id", "buyer_id"), "order_id")

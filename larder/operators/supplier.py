@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.columns import money, round_half_up, safe_ratio, display_id
+from larder.functions.columns import (cents, cents_to_money, display_id, from_cents, money,
+                                      round_half_up, safe_ratio)
 
 FEE_RATE = 0.10  # platform commission on supplier earnings (fixed value)
+# Order / entry statuses (fixed values); entries are packed as rank*16+code
+STATUSES = ["Pending Payment Verification", "Pending", "In Transit", "Delivered", "Cancelled"]
 
 
 def line_value(price="price", supplier_price="supplier_price", quantity="quantity"):
@@ -25,31 +28,43 @@ def line_value(price="price", supplier_price="supplier_price", quantity="quantit
 
 def supplier_orders(items: DataFrame, orders: DataFrame,
                     statuses: DataFrame | None = None) -> DataFrame:
-    """(order_id, supplier_id, subtotal, status, payment_status, order_date,
-    effective_status).
+    """(order_id, supplier_id, subtotal, subtotal_cents, status,
+    payment_status, order_date, entry_status, effective_status).
 
     ``effective_status`` is the supplier's own status entry when one exists,
     else the order status (A9). Entries come either from per-line
-    ``entry_rank``/``entry_status`` columns of ``items`` (first line wins) or
-    from a separate ``statuses`` table keyed by (order_id, supplier_id).
+    ``entry_rank`` (bigint, lowest wins) / ``entry_status`` columns of
+    ``items`` or from a separate ``statuses`` table keyed by (order_id,
+    supplier_id). The first entry is found with ``min`` over
+    rank * 16 + status code, so every aggregate buffer is a LONG and Spark
+    hash-aggregates (no sort of the partial aggregates).
     """
     o = orders.select("order_id", "status", "payment_status", "order_date")
-    cols = ["order_id", "supplier_id", line_value().alias("line_value")]
+    cols = ["order_id", "supplier_id", cents(F.coalesce(F.col("supplier_price"), F.col("price"))
+                                             * F.col("quantity")).alias("line_cents")]
     per_line = statuses is None and "entry_status" in items.columns
+    names = F.array(*[F.lit(x) for x in STATUSES])
     if per_line:
-        cols += ["entry_rank", "entry_status"]
+        code = F.array_position(names, F.col("entry_status"))
+        cols.append(F.when(F.col("entry_status").isNotNull(), F.col("entry_rank") * 16 + code).alias("packed"))
     j = items.select(*cols).join(o, "order_id")
-    aggs = [F.sum("line_value").alias("subtotal")]
+    aggs = [F.sum("line_cents").alias("subtotal_cents")]
     if per_line:
-        aggs.append(F.min_by("entry_status", "entry_rank").alias("entry_status"))
+        aggs.append(F.min("packed").alias("packed"))
     g = j.groupBy("order_id", "supplier_id", "status", "payment_status", "order_date").agg(*aggs)
-    if not per_line:
-        if statuses is None:
-            g = g.withColumn("entry_status", F.lit(None).cast("string"))
-        else:
-            s = statuses.select("order_id", "supplier_id", F.col("status").alias("entry_status"))
-            g = g.join(s, ["order_id", "supplier_id"], "left")
-    return g.withColumn("effective_status", F.coalesce("entry_status", "status"))
+    if per_line:
+        # guard: element_at over a literal array with a NULL index is not NULL
+        # on this Spark version, so decode only present entries
+        g = g.withColumn("entry_status", F.when(F.col("packed").isNotNull(),
+                                                F.element_at(names, F.pmod("packed", F.lit(16)).cast("int")))) \
+             .drop("packed")
+    elif statuses is None:
+        g = g.withColumn("entry_status", F.lit(None).cast("string"))
+    else:
+        s = statuses.select("order_id", "supplier_id", F.col("status").alias("entry_status"))
+        g = g.join(s, ["order_id", "supplier_id"], "left")
+    return (g.withColumn("subtotal", cents_to_money("subtotal_cents"))
+             .withColumn("effective_status", F.coalesce("entry_status", "status")))
 
 
 def supplier_summary(pairs: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -59,8 +74,8 @@ def supplier_summary(pairs: DataFrame, products: DataFrame, suppliers: DataFrame
     stats = pairs.groupBy("supplier_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(delivered).alias("delivered_orders"),
-        F.sum(F.when(delivered, F.col("subtotal"))).alias("revenue"),
-        F.sum("subtotal").alias("value_sum"),
+        F.sum(F.when(delivered, F.col("subtotal_cents"))).alias("revenue_cents"),
+        F.sum("subtotal_cents").alias("value_cents"),
     )
     low = products.groupBy("supplier_id").agg(
         F.count_if((F.col("stock") > 0) & (F.col("stock") < 50)).alias("low_stock_count"))
@@ -69,11 +84,11 @@ def supplier_summary(pairs: DataFrame, products: DataFrame, suppliers: DataFrame
     total = F.coalesce(F.col("total_orders"), F.lit(0))
     return r.select(
         "supplier_id",
-        F.coalesce(F.col("revenue"), F.lit(0)).cast("double").alias("total_revenue"),
+        from_cents(F.coalesce(F.col("revenue_cents"), F.lit(0))).alias("total_revenue"),
         total.alias("total_orders"),
         F.coalesce(F.col("delivered_orders"), F.lit(0)).alias("delivered_orders"),
         safe_ratio("delivered_orders", total, 100.0, 1).alias("fulfillment_rate"),
-        safe_ratio(F.col("value_sum").cast("double"), total, 1.0, 2).alias("avg_order_value"),
+        safe_ratio(from_cents("value_cents"), total, 1.0, 2).alias("avg_order_value"),
         F.coalesce(F.col("low_stock_count"), F.lit(0)).alias("low_stock_count"),
     )
 
@@ -99,7 +114,7 @@ def supplier_monthly_chart(items: DataFrame, orders: DataFrame, as_of: str,
     d = pairs.where(F.col("effective_status") == "Delivered")
     return (d.groupBy("supplier_id", F.year("order_date").alias("year"),
                       F.month("order_date").alias("month_num"))
-            .agg(F.sum("subtotal").cast("double").alias("revenue"),
+            .agg(from_cents(F.sum("subtotal_cents")).alias("revenue"),
                  F.count(F.lit(1)).alias("orders"))
             .withColumn("month", F.date_format(F.make_date("year", "month_num", F.lit(1)), "MMM")))
 
@@ -139,10 +154,10 @@ def earnings_totals(earnings: DataFrame) -> DataFrame:
     """A11 totals per supplier: earned (paid + available), pending, available,
     completed."""
     st = F.col("earnings_status")
-    net = F.col("net").cast("decimal(18,2)")
+    net = cents("net")
 
     def total(cond):
-        return F.coalesce(F.sum(F.when(cond, net)), F.lit(0)).cast("double")
+        return from_cents(F.coalesce(F.sum(F.when(cond, net)), F.lit(0)))
 
     return earnings.groupBy("supplier_id").agg(
         total(st.isin("Paid", "Available")).alias("total_earned"),
@@ -158,7 +173,7 @@ def supplier_payouts(earnings: DataFrame) -> DataFrame:
     paid = earnings.where(F.col("earnings_status") == "Paid")
     g = paid.groupBy("supplier_id", F.year("order_date").alias("year"),
                      F.month("order_date").alias("month_num")).agg(
-        F.sum(F.col("net").cast("decimal(18,2)")).cast("double").alias("amount"),
+        from_cents(F.sum(cents("net"))).alias("amount"),
         F.max("order_date").alias("payout_date"))
     return g.select(
         "supplier_id",

@@ -126,7 +126,11 @@ class Marketplace:
             F.to_date("l_shipdate").alias("ship_date"),
             # The (order, supplier) status entry is the one of the first line;
             # carrying rank + status per line lets one aggregate pick it.
-            F.struct(F.col("l_linenumber"), F.col("l_linestatus"), F.col("l_returnflag"))
+            # rank of the line within its (order, supplier): line number,
+            # then (line status, return flag) in lexicographic order
+            (F.col("l_linenumber").cast("bigint") * 8
+             + F.when(F.col("l_linestatus") == "O", 3).otherwise(0)
+             + F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0))
              .alias("entry_rank"),
             F.when(F.pmod("l_suppkey", F.lit(10)) != 0,
                    entry_status(F.col("l_linestatus"), F.col("l_returnflag")))
