@@ -171,3 +171,25 @@ def tuned_linear_cv(spark, sf_dir):
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(cvm.getEstimatorParamMaps(),
                                                                                cvm.avgMetrics)]
     return spark.createDataFrame(rows, "params string, cv_rmse double")
+
+
+@register("stacked_model_metrics", covers=("M9", "M16", "A26"))
+def stacked_model_metrics(spark, sf_dir):
+    """M9 on product-day features: linear, ridge and small boosted base
+    models, out-of-fold over 5 hash folds, ridge meta model; test metrics
+    for every base model and the stack."""
+    mk = Marketplace(spark, sf_dir)
+    train, test = _product_split(mk)
+    train = _materialise(fe.hash_folds(train, ["product_id", "date"], 5, 42))
+    bases = {
+        "linear": md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear"),
+        "ridge": md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear", regParam=1.0),
+        "boosted": md.regression_pipeline(["category"], NUMS, "quantity_sold", "gbt", maxIter=5, maxDepth=3),
+    }
+    p = md.stack(train, test, bases, "quantity_sold", folds=5)
+    out = None
+    for name in list(bases) + ["pred_stack"]:
+        m = ev.error_metrics(p.select(F.col("quantity_sold").alias("actual"), F.col(name).alias("predicted")))
+        m = m.withColumn("model", F.lit(name.replace("pred_", "")))
+        out = m if out is None else out.unionByName(m)
+    return out
