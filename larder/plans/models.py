@@ -162,12 +162,16 @@ def recursive_forecast(spark, sf_dir):
 
 @register("tuned_linear_cv", covers=("M6", "W21"))
 def tuned_linear_cv(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
     mk = Marketplace(spark, sf_dir)
     train, _ = _product_split(mk)
-    pipe = md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear")
-    lr = pipe.getStages()[-1]
-    cvm = md.tune(train, pipe, lr, {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, draws=4,
-                  folds=3, label="quantity_sold")
+    # encode once; the cross validation refits only the estimator
+    feats = md.feature_stages(["category"], NUMS).fit(train)
+    train = _materialise(feats.transform(train).select("product_id", "date", "quantity_sold", "features"))
+    lr = LinearRegression(featuresCol="features", labelCol="quantity_sold", predictionCol="pred_quantity_sold")
+    cvm = md.tune(train, Pipeline(stages=[lr]), lr, {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
+                  draws=4, folds=3, label="quantity_sold")
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(cvm.getEstimatorParamMaps(),
                                                                                cvm.avgMetrics)]
     return spark.createDataFrame(rows, "params string, cv_rmse double")
@@ -178,13 +182,20 @@ def stacked_model_metrics(spark, sf_dir):
     """M9 on product-day features: linear, ridge and small boosted base
     models, out-of-fold over 5 hash folds, ridge meta model; test metrics
     for every base model and the stack."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
     mk = Marketplace(spark, sf_dir)
     train, test = _product_split(mk)
-    train = _materialise(fe.hash_folds(train, ["product_id", "date"], 5, 42))
+    # encode once, reuse the vectors for all 15 fold fits
+    feats = md.feature_stages(["category"], NUMS).fit(train)
+    keep = ["product_id", "date", "quantity_sold", "features"]
+    train = _materialise(fe.hash_folds(feats.transform(train).select(*keep), ["product_id", "date"], 5, 42))
+    test = _materialise(feats.transform(test).select(*keep))
+    lbl = dict(featuresCol="features", labelCol="quantity_sold")
     bases = {
-        "linear": md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear"),
-        "ridge": md.regression_pipeline(["category"], NUMS, "quantity_sold", "linear", regParam=1.0),
-        "boosted": md.regression_pipeline(["category"], NUMS, "quantity_sold", "gbt", maxIter=5, maxDepth=3),
+        "linear": Pipeline(stages=[LinearRegression(predictionCol="p_linear", **lbl)]),
+        "ridge": Pipeline(stages=[LinearRegression(predictionCol="p_ridge", regParam=1.0, **lbl)]),
+        "boosted": Pipeline(stages=[GBTRegressor(predictionCol="p_boosted", maxIter=5, maxDepth=3, seed=42, **lbl)]),
     }
     p = md.stack(train, test, bases, "quantity_sold", folds=5)
     out = None
