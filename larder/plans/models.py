@@ -232,3 +232,21 @@ def hybrid_forecast_metrics(spark, sf_dir):
         met = met.withColumn("model", F.lit(name))
         out = met if out is None else out.unionByName(met)
     return out
+
+
+@register("target_specific_predictions", covers=("M7", "M5", "S10"))
+def target_specific_predictions(spark, sf_dir):
+    """M7: a boosted model for quantity and a linear model for price, each
+    its own pipeline on the same normalised requests; predictions side by
+    side for the held-out fold."""
+    mk = Marketplace(spark, sf_dir)
+    raw = raw_requests(mk)
+    norm = md.normalise_requests(raw, keep=("quantity_sold", "price", "order_id", "line_no", "product_id"))
+    folded = _materialise(fe.hash_folds(norm, ["order_id", "line_no", "product_id"], 5, 42))
+    train, test = folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0)
+    models = {
+        "quantity_sold": md.regression_pipeline(CAT_COLS, ["is_holiday"], "quantity_sold", "gbt",
+                                                maxIter=20, maxDepth=4).fit(train),
+        "price": md.regression_pipeline(CAT_COLS, ["is_holiday"], "price", "linear").fit(train),
+    }
+    return md.predict_all(models, test, ["request_id", "quantity_sold", "price"])
