@@ -18,7 +18,7 @@ from larder.plans.sql_binding import with_views
 from larder.plans.sqlfrag import rnd
 from larder.sources.binding import Marketplace
 
-R6 = ["rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14"]
+R6 = ["rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", "price_change"]
 
 
 def _round(df, cols, digits=6):
@@ -37,7 +37,8 @@ PRODUCT_FEATURES_SQL = series.PRODUCT_DAY_SQL + f"""
            CASE WHEN COUNT(quantity_sold) OVER w7 >= 3 THEN AVG(quantity_sold) OVER w7 END AS rolling_mean_7,
            CASE WHEN COUNT(quantity_sold) OVER w7 >= 3 THEN STDDEV_SAMP(quantity_sold) OVER w7 END AS rolling_std_7,
            CASE WHEN COUNT(quantity_sold) OVER w14 >= 7 THEN AVG(quantity_sold) OVER w14 END AS rolling_mean_14,
-           CASE WHEN COUNT(quantity_sold) OVER w14 >= 7 THEN STDDEV_SAMP(quantity_sold) OVER w14 END AS rolling_std_14
+           CASE WHEN COUNT(quantity_sold) OVER w14 >= 7 THEN STDDEV_SAMP(quantity_sold) OVER w14 END AS rolling_std_14,
+           COALESCE(price_mean - LAG(price_mean, 1) OVER w, 0.0) AS price_change
     FROM pd
     WINDOW w AS (PARTITION BY product_id ORDER BY date),
            w7 AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
@@ -45,7 +46,8 @@ PRODUCT_FEATURES_SQL = series.PRODUCT_DAY_SQL + f"""
 SELECT product_id, category, date, quantity_sold, orders_count, price_mean, month, week_of_year,
        day_of_month, quarter, day_of_week_num, is_weekend, lag_1, lag_7, lag_14,
        {rnd('rolling_mean_7', 6)} AS rolling_mean_7, {rnd('rolling_std_7', 6)} AS rolling_std_7,
-       {rnd('rolling_mean_14', 6)} AS rolling_mean_14, {rnd('rolling_std_14', 6)} AS rolling_std_14
+       {rnd('rolling_mean_14', 6)} AS rolling_mean_14, {rnd('rolling_std_14', 6)} AS rolling_std_14,
+       {rnd('price_change', 6)} AS price_change
 FROM f
 WHERE lag_1 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL
   AND rolling_mean_7 IS NOT NULL AND rolling_mean_14 IS NOT NULL AND rolling_std_7 IS NOT NULL
@@ -58,12 +60,13 @@ def product_features(mk: Marketplace):
     pd_ = fe.time_features(series.product_day(mk))
     w = fe.series_window("product_id", "date")
     out = pd_.select("*", *fe.lag_features("quantity_sold", [1, 7, 14], w),
-                     *fe.rolling_features("quantity_sold", [7, 14], w, std="samp"))
+                     *fe.rolling_features("quantity_sold", [7, 14], w, std="samp"),
+                     fe.first_difference("price_mean", w).alias("price_change"))
     return out.na.drop(subset=["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_mean_14",
                                "rolling_std_7"])
 
 
-@register("product_daily_features", covers=("M20", "F11", "W1", "W2", "W18", "A23"),
+@register("product_daily_features", covers=("M20", "M18", "F11", "W1", "W2", "W13", "W18", "A23"),
           sql=PRODUCT_FEATURES_SQL)
 def product_daily_features(spark, sf_dir):
     return _round(product_features(Marketplace(spark, sf_dir)), R6)

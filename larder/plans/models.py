@@ -100,7 +100,7 @@ def _product_split(mk):
 
 
 NUMS = ["month", "week_of_year", "day_of_month", "is_weekend", "lag_1", "lag_7", "lag_14",
-        "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "price_mean"]
+        "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "price_mean", "price_change"]
 
 
 @register("ml_model_comparison", covers=("M3", "M4", "M10", "M16", "A26"))

@@ -22,7 +22,6 @@ TESTED = {
     "S8": "tests/test_units.py::test_order_history_csv_and_model_round_trip (save_model/load_model)",
 }
 OPEN = {
-    "M18": "partly: product features lack the price first difference (W13 exists separately)",
 }
 
 
