@@ -47,7 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Local runs (no setting) get a fresh folder under the system temp dir.
+    is; a cluster session without it is refused, because a machine-local folder
+    is not seen by other executors. Local runs (no setting) get a fresh folder
+    under the system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="larder-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
