@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, mixing, urls
+from larder.llm import decontam, mixing, token_counts, tokens, urls
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
@@ -11,6 +11,10 @@ def op3_decontamination(spark, sf_dir):
     return decontam.report(documents_of(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_files(spark, sf_dir):
+    return tokens.report(documents_of(spark, sf_dir))
+
+
 def op5_source_mix(spark, sf_dir):
     return mixing.mix_report(documents_of(spark, sf_dir))
 
@@ -19,10 +23,16 @@ def op6_url_filters(spark, sf_dir):
     return urls.filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.report(documents_of(spark, sf_dir))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_url_filters": op6_url_filters,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLE = {
