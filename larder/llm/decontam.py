@@ -8,9 +8,9 @@ carries the hashes of the windows that chose it; these extend the hit to the
 exact windows it stands for. Items shorter than the window are winnowed at
 their own length.
 
-Work per row is linear in the text. The join is an equi join that Catalyst
-broadcasts only if the benchmark side is measured to be small, and otherwise
-shuffles by fingerprint; its output is at most one row per document window and
+Work per row is linear in the text. The join is an equi join: distinct benchmark
+fingerprints are counted and broadcast up to ``BROADCAST_ROWS`` of them (12 MB),
+beyond it both sides are shuffled by fingerprint. Its output is at most one row per document window and
 never document x item pairs of a common phrase, because benchmark windows are
 distinct before the join. Items are attached to distinct (document, window)
 rows only.
@@ -36,6 +36,7 @@ WORD_BYTES = byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)]
 _ROW = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("width", pa.int32()),
                   ("print", pa.int64()), ("start", pa.int64()), ("windows", pa.list_(pa.int64()))])
 _ROW_SQL = "doc_id long, rk long, width int, print long, start long, windows array<long>"
+BROADCAST_ROWS = 1_000_000      # 12 bytes each; beyond it the join shuffles
 HEADER = 0                      # width of the row that carries a text's word count
 
 
@@ -120,7 +121,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     # lengths of short items: at most window - 1 values
     widths = sorted(r[0] for r in bench.where(F.col("width") < window).select("width").distinct().collect())
     wanted = bench.select(F.col("width").alias("_w"), F.col("print").alias("_p")).distinct()
-    wanted = wanted.unionAll(docs.sparkSession.createDataFrame([(HEADER, 0)], "_w int, _p long"))
+    wanted = stage(wanted.unionAll(docs.sparkSession.createDataFrame([(HEADER, 0)], "_w int, _p long")),
+                   "decontam-prints")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     rows = fingerprints(keyed(docs), widths, gram, window)
     rows = stage(rows.join(wanted, (F.col("width") == F.col("_w")) & (F.col("print") == F.col("_p")),
                            "left_semi"), "decontam-hits")
