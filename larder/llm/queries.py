@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, mixing, token_counts, tokens, urls
+from larder.llm import decontam, mixing, token_counts, tokens, toxicity, urls, vectors
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
@@ -27,16 +27,27 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.report(documents_of(spark, sf_dir))
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return vectors.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.report(documents_of(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
     "op3_decontamination": decontam.SQL,
     "op5_source_mix": mixing.SQL,
     "op6_url_filters": urls.SQL,
+    "op9_embedding_near_dedup": vectors.SQL,
 }
