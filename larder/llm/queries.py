@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, mixing, token_counts, tokens, toxicity, urls, vectors
+from larder.llm import decontam, mixing, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.find_secrets(documents_of(spark, sf_dir))
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(documents_of(spark, sf_dir))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontam.report(documents_of(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,8 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_source_mix": op5_source_mix,
