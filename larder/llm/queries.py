@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, mixing, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
+from larder.llm import decontam, jaccard, mixing, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
@@ -35,6 +35,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.report(documents_of(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark, sf_dir):
+    return jaccard.report(documents_of(spark, sf_dir))
+
+
 def op9_embedding_near_dedup(spark, sf_dir):
     return vectors.report(read_table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -59,5 +64,6 @@ ORACLE = {
     "op3_decontamination": decontam.SQL,
     "op5_source_mix": mixing.SQL,
     "op6_url_filters": urls.SQL,
+    "op8_ngram_jaccard": jaccard.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
 }
