@@ -165,8 +165,10 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
     bad = (contamination(docs, items, **options).where("contaminated")
            .select(F.col("doc_id").alias("_bad_id"), F.col("rk").alias("_bad_rk")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64(F.col("doc_id").cast("long"), F.col("text")) == F.col("_bad_rk")), "left_anti")
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"),
+                      F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_key"))
+    return own.join(bad, F.col("_doc").eqNullSafe(F.col("_bad_id")) & (F.col("_key") == F.col("_bad_rk")),
+                    "left_anti").select("_row.*")
 
 
 SQL = r"""

@@ -110,11 +110,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.col("_id").alias("_sid"), F.col("_rk").alias("_srk"), "finish",
         F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies"))
     s = s.where("_copies > 0").dropDuplicates(["_sid", "_srk"])
-    columns = docs.columns
-    own = docs.withColumns({"_mid": F.col("doc_id").cast("long"), "_mrk": F.xxhash64("doc_id", "text")})
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_mid"),
+                      F.xxhash64("doc_id", "text").alias("_mrk"))
     kept = own.join(s, F.col("_mid").eqNullSafe(F.col("_sid")) & (F.col("_mrk") == F.col("_srk")))
     return (kept.repartitionByRange(F.col("finish"), F.col("_mid")).sortWithinPartitions("finish", "_mid")
-            .withColumn("_epoch", F.explode(F.expr("sequence(1, _copies)"))).select(*columns))
+            .withColumn("_epoch", F.explode(F.expr("sequence(1, _copies)"))).select("_row.*"))
 
 
 SQL = r"""

@@ -176,7 +176,7 @@ def random_spans(scanned: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     n, p2, p3 = F.col("n"), r["p2"], r["p3"]
     expected = n + n * (n - 1) * p2
     variance = 2 * n * (n - 1) * (p2 - p2 * p2) + 4 * n * (n - 1) * (n - 2) * max(p3 - p2 * p2, 0.0)
-    z_even = (expected - F.col("squares")) / F.sqrt(variance)
+    z_even = (expected - F.col("squares")) / F.sqrt(F.greatest(variance, F.lit(1.0)))
     z_change = ((F.col("changes") - (n - 1) * r["change"]) / F.sqrt((n - 1) * r["change"] * (1 - r["change"])))
     z = (z_even + z_change) / F.sqrt(F.lit(2.0))
     band = sum((F.when(n >= b, 1).otherwise(0) for b in BANDS), F.lit(0))

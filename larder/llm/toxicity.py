@@ -351,7 +351,8 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` scored below one half, all columns kept."""
     model = train(docs, labels, **options)
-    bad = (_scan(docs.select(F.xxhash64("text").alias("doc_id"), F.lit(0).alias("toxic"),
+    bad = (_scan(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), F.lit(0).alias("toxic"),
                              F.coalesce("text", F.lit("")).alias("text")), model)
            .where(_probability(model) >= 0.5).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.xxhash64("text") == F.col("_bad"), "left_anti")
+    own = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
+    return own.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select("_row.*")
