@@ -16,7 +16,9 @@ and only classes are joined.
   prefix shared. The exact test runs on the texts; the links give components.
 * Then each cell that still holds several components packs its points, ordered by
   size, into boxes and compares box against box, then point against point; pairs
-  of one component need no test. Surviving pairs are tested exactly.
+  of one component need no test. The cells a pair survives in are counted: that
+  is the overlap of its prefixes, a second bound. Surviving pairs are tested
+  exactly.
 
 The result is exact: a pair of different components that shares a cell is either
 ruled out by its bound or tested. Large cells are cut into blocks of ``BLOCK`` points
@@ -42,7 +44,7 @@ from larder.llm.common import (RangeHash, as_long, byte_class, components, gram_
 WORD_BYTES = byte_class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])     # [^\x20\x09-\x0D]+
 SHINGLE = 5
 LINK = (80, 100)               # intersection / union
-GROUPS = 128
+GROUPS = 32
 SKETCH_BITS = 17
 BOX = 32                       # points of an R-tree leaf
 BLOCK = 256                    # points of a cell handled at once
@@ -105,10 +107,11 @@ def _sketch(texts: DataFrame) -> np.ndarray:
 def _levels(sketch: np.ndarray) -> np.ndarray:
     """Per slot: 0, or the doublings by which it exceeds twice the mean."""
     mean = max(sketch.mean(), 1.0)
-    return np.floor(np.log2(np.maximum(sketch / mean / 2, 1.0)) + (sketch > 2 * mean)).astype(np.uint64)
+    doublings = np.floor(np.log2(np.maximum(sketch / mean / 2, 1.0)) + (sketch > 2 * mean))
+    return np.minimum(doublings, 31).astype(np.uint64)
 
 
-_SET = "doc_id long, rk long, n long, sig1 long, sig2 long, prefix array<long>, point binary"
+_SET = "doc_id long, rk long, n long, sig1 long, sig2 long, prefix array<long>, last long, point binary"
 
 
 def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -129,6 +132,10 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             keep = np.where(n > 0, prefix_length(n), 0)
             place = np.arange(len(row)) - cut[row]
             prefix = value[order][place < keep[row]]
+            # place of the last prefix shingle in the common order
+            last = np.zeros(rows, np.uint64)
+            end = (cut[:-1] + keep - 1)[n > 0]
+            last[n > 0] = (levels[slot[order[end]]] << np.uint64(58)) | (value[order[end]] >> np.uint64(6))
             group = (mix64(value) % np.uint64(GROUPS)).astype(np.int64)
             points = np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
             points = points.astype("<u4")
@@ -137,8 +144,8 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                  pa.array(as_long(sigs[1])),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)),
                                           pa.array(as_long(prefix))),
-                 pa.array([p.tobytes() for p in points], pa.binary())],
-                names=["doc_id", "rk", "n", "sig1", "sig2", "prefix", "point"])
+                 pa.array(as_long(last)), pa.array([p.tobytes() for p in points], pa.binary())],
+                names=["doc_id", "rk", "n", "sig1", "sig2", "prefix", "last", "point"])
 
     return texts.select("doc_id", "rk", "text").mapInArrow(build, _SET)
 
@@ -205,17 +212,22 @@ def boxes(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.r_[cut, len(points)], np.maximum.reduceat(points, cut, axis=0), np.minimum.reduceat(sizes, cut)
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different label whose bound allows a link (indexes into the input)."""
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray,
+               side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different label whose bound allows a link (indexes into the input).
+
+    With ``side``, only pairs of different sides.
+    """
     order = np.argsort(sizes, kind="stable")
     p, n, c = points[order], sizes[order], label[order]
+    d = np.arange(len(order)) if side is None else side[order]
     cut, upper, least = boxes(p, n)
     left, right = [], []
     for i in range(len(upper)):
         most = np.minimum(upper[i][None, :], upper[i:]).sum(axis=1)
         for j in (i + np.flatnonzero(linked(most, least[i], least[i:]))).tolist():
             a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-            x, y = np.nonzero((c[a][:, None] != c[b][None, :])
+            x, y = np.nonzero((c[a][:, None] != c[b][None, :]) & (d[a][:, None] != d[b][None, :])
                               & linked(np.minimum(n[a][:, None], n[b][None, :]), n[a][:, None], n[b][None, :]))
             x, y = x + cut[i], y + cut[j]
             if i == j:
@@ -227,45 +239,58 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> tupl
     return (np.concatenate(left), np.concatenate(right)) if left else (z, z)
 
 
+_PAIR = "a long, b long, na long, nb long, la long, lb long, common long"
+
+
 def _cell_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the cells in ``rows`` (cell, part, uid, label, n, point).
+    """Candidate pairs of the cells in ``rows`` and in how many cells they were seen.
 
-    ``part`` numbers the block pair; rows come sorted by cell and part.
+    Columns cell, low, high, own, uid, label, n, last, point; ``low``/``high`` number
+    the two blocks joined and ``own`` the row's; rows come sorted by cell and blocks.
     """
+    hold = 16_384
 
     def pairs(batches):
         held: list[pa.RecordBatch] = []
 
         def flush():
             batch = pa.Table.from_batches(held).combine_chunks()
-            cell, part, uid, label, n = (batch.column(i).to_numpy() for i in range(5))
-            points = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+            cell, low, high, own, uid, label, n, last = (batch.column(i).to_numpy() for i in range(8))
+            points = np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             a, b = [], []
-            small = np.diff(np.r_[cut, len(cell)])
-            for at, size in zip(cut.tolist(), small.tolist(), strict=True):
-                s = slice(at, at + size)
-                if size > 1 and (label[s] != label[at]).any():
-                    x, y = tree_pairs(points[s], n[s], label[s])
-                    a.append(uid[s][x])
-                    b.append(uid[s][y])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)], strict=True):
+                s = slice(at, end)
+                if end - at > 1 and (label[s] != label[at]).any():
+                    x, y = tree_pairs(points[s], n[s], label[s], own[s] if low[at] != high[at] else None)
+                    a.append(x + at)
+                    b.append(y + at)
+            if not a:
+                return
+            a, b = np.concatenate(a), np.concatenate(b)
+            turn = uid[a] > uid[b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            order = np.lexsort((uid[b], uid[a]))
+            a, b = a[order], b[order]
+            head = np.flatnonzero(np.r_[True, (uid[a][1:] != uid[a][:-1]) | (uid[b][1:] != uid[b][:-1])] if len(a) else [])
+            seen = np.diff(np.r_[head, len(a)])
+            a, b = a[head], b[head]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (uid[a], uid[b], n[a], n[b], last[a], last[b], seen)],
+                names=["a", "b", "na", "nb", "la", "lb", "common"])
 
         size = 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                # whole cells of about 4096 points at a time
-                piece = batch.slice(at, 4096)
-                cell, part = piece.column(0).to_numpy(), piece.column(1).to_numpy()
-                if held:
-                    last = held[-1]
-                    same = (cell == last.column(0)[-1].as_py()) & (part == last.column(1)[-1].as_py())
-                    lead = int(np.argmin(same)) if not same.all() else len(same)
-                    if size >= 4096 and lead < len(same):
+                piece = batch.slice(at, hold)
+                if held and size >= hold:                # go on to the end of the open cell
+                    end = held[-1]
+                    same = np.ones(piece.num_rows, bool)
+                    for k in range(3):
+                        same &= piece.column(k).to_numpy() == end.column(k)[-1].as_py()
+                    lead = len(same) if same.all() else int(np.argmin(same))
+                    if lead < len(same):
                         if lead:
                             held.append(piece.slice(0, lead))
                         yield from flush()
@@ -278,7 +303,7 @@ def _cell_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(pairs, "a long, b long")
+    return rows.mapInArrow(pairs, _PAIR)
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,7 +324,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("df")).where("df > 1")
     cells = stage(rows.join(shared, F.col("cell") == F.col("_cell")).select("cell", "uid", "df"), "jaccard-cells")
     info = stage(heads.join(cells.groupBy("uid").agg(F.count("*").alias("held")), "uid")
-                 .select("uid", "doc_id", "rk", "n", "point", (F.col("held") / F.size("prefix")).alias("share")),
+                 .select("uid", "doc_id", "rk", "n", "last", "point", (F.col("held") / F.size("prefix")).alias("share")),
                  "jaccard-info")
     # hubs: the member with most of its prefix shared
     ranked = cells.join(info.select("uid", "share", F.col("n").alias("size")), "uid")
@@ -328,16 +353,24 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_cells = labelled.join(mixed, F.col("cell") == F.col("_cell")).select("cell", "uid", "label", "df")
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
-    part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("own", o) * F.col("blocks") + F.greatest("own", o))
-    placed = (open_cells.withColumn("blocks", blocks).withColumn("own", own)
-              .select("cell", F.explode(part).alias("part"), "uid", "label")
-              .join(info.select("uid", "n", "point"), "uid")
-              .select("cell", "part", "uid", "label", "n", "point")
-              .repartition("cell", "part").sortWithinPartitions("cell", "part"))
-    rest = stage(_cell_pairs(placed).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                                                     ["a", "b"], "left_anti"), "jaccard-rest")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = (open_cells.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
+              .join(info.select("uid", "n", "last", "point"), "uid")
+              .select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+                      "uid", "label", "n", "last", "point")
+              .repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high"))
+    # All shingles that two prefixes share up to the end of the one that ends first
+    # were seen; beyond it, the set of that one has only n - prefix length more.
+    ends_first = [F.col(f"n{x}") - F.expr(f"n{x} - ceil({LINK[0]} * n{x} / {LINK[1]}) + 1") for x in "ab"]
+    beyond = (F.when(F.col("la") < F.col("lb"), ends_first[0]).when(F.col("lb") < F.col("la"), ends_first[1])
+              .otherwise(F.greatest(*ends_first)))
+    rest = (_cell_pairs(placed).groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("common").alias("common"))
+            .where(linked(F.col("common") + beyond, F.col("na"), F.col("nb"))).select("a", "b"))
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
     more = verify(rest, packed)
-    return member, stage(found.unionAll(more), "jaccard-all-links")
+    parts = label.select(F.col("_uid").alias("a"), F.col("component_id").alias("b")).where("a != b")
+    return member, stage(parts.unionAll(more), "jaccard-all-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,14 +392,28 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component (that of the smallest doc_id), all columns kept.
 
-    Rows that repeat the kept doc_id stay only once; empty documents all stay.
+    Documents with an empty set all stay; of rows that repeat both doc_id and text
+    one stays.
     """
-    found = near_duplicates(docs)
-    drop = (found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).distinct())
+    member, edges = join(docs)
+    label = components(edges, "a", "b", "jaccard-components").withColumnRenamed("id", "_uid")
+    rows = (member.where("n > 0").join(label, F.col("uid") == F.col("_uid"), "left")
+            .select(F.coalesce("component_id", "uid").alias("root"),
+                    F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk").alias("row")))
+    rows = stage(rows.groupBy("root", "row").agg(F.count("*").alias("times")), "jaccard-rows")
+    first = rows.groupBy("root").agg(F.min("row").alias("kept"))
+    drop = (rows.join(first, "root").where("row != kept")
+            .select(F.col("row.doc_id").alias("_id"), F.col("row.rk").alias("_rk")))
+    again = (rows.join(first, "root").where("row = kept AND times > 1")
+             .select(F.col("row.doc_id").alias("_id"), F.col("row.rk").alias("_rk")))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    left = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_rk")), "left_anti")
-    return left
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk"))
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), key.alias("_key"))
+    left = own.join(drop, same, "left_anti")
+    if again.isEmpty():
+        return left.select("_row.*")
+    once = left.join(again, same, "left_semi").dropDuplicates(["_doc", "_key"])
+    return left.join(again, same, "left_anti").unionAll(once).select("_row.*")
 
 
 SQL = r"""

@@ -205,8 +205,8 @@ def _keys(contexts: DataFrame, width: int) -> DataFrame:
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """(_gram, _key) that occur more than once."""
-    return (rows.groupBy(F.col("gram").alias("_gram"), F.col(key).alias("_key"))
-            .agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    return stage(rows.groupBy(F.col("gram").alias("_gram"), F.col(key).alias("_key"))
+                 .agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeat-shared")
 
 
 def _on(key: str):
@@ -216,7 +216,9 @@ def _on(key: str):
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """doc_id, rk, first, last: starts of repeated windows, as inclusive intervals."""
     runs = _runs(texts)
-    grams = runs.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # counted keys are written first: a join of two plain shuffles can split a hot key
+    grams = stage(runs.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n"))
+                  .where("_n > 1").drop("_n"), "repeat-grams")
     runs = stage(runs.join(grams, F.col("gram") == F.col("_gram"), "left_semi"), "repeat-runs")
     kinds = stage(runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct(
         "doc_id", "rk", "first", "last", "anchor")).alias("one")), "repeat-kinds")
