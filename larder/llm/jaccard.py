@@ -44,8 +44,9 @@ from larder.llm.common import (RangeHash, as_long, byte_class, components, gram_
 WORD_BYTES = byte_class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])     # [^\x20\x09-\x0D]+
 SHINGLE = 5
 LINK = (80, 100)               # intersection / union
-GROUPS = 32
-SKETCH_BITS = 17
+GROUPS = 256                   # one byte each; 255 stands for any larger count
+SKETCH_BITS = 20               # 8 MB of counters
+SKETCH_PARTS = 64
 BOX = 32                       # points of an R-tree leaf
 BLOCK = 256                    # points of a cell handled at once
 HUB_ROWS = 1000                # members tested against one copy of a hub
@@ -87,28 +88,39 @@ def shingle_sets(block, width: int = SHINGLE):
 def _sketch(texts: DataFrame) -> np.ndarray:
     """Occurrences (documents) of shingles by hash slot, over all texts; bounded size."""
     slots = 1 << SKETCH_BITS
+    width = slots // SKETCH_PARTS
 
     def count(batches):
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.uint32)
         for block in text_blocks(batches):
             _, value = shingle_sets(block)
-            total += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=slots)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
-
-    rows = (texts.select("text").mapInArrow(count, "slot long, n long")
-            .groupBy("slot").agg(F.sum("n").alias("n")).collect())
-    out = np.zeros(slots, np.int64)
+            total += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
+                                 minlength=slots).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(SKETCH_PARTS)), pa.array([p.tobytes() for p in total.reshape(SKETCH_PARTS, width)], pa.binary())],
+            names=["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}                 # at most SKETCH_PARTS
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+                                         names=["part", "counts"])
+
+    rows = (texts.select("text").mapInArrow(count, "part long, counts binary").repartition("part")
+            .mapInArrow(add, "part long, counts binary").collect())
+    out = np.zeros((SKETCH_PARTS, width), np.int64)
     for r in rows:
-        out[r["slot"]] = r["n"]
-    return out
+        out[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
 
 
 def _levels(sketch: np.ndarray) -> np.ndarray:
     """Per slot: 0, or the doublings by which it exceeds twice the mean."""
     mean = max(sketch.mean(), 1.0)
     doublings = np.floor(np.log2(np.maximum(sketch / mean / 2, 1.0)) + (sketch > 2 * mean))
-    return np.minimum(doublings, 31).astype(np.uint64)
+    return np.minimum(doublings, 31).astype(np.uint8)
 
 
 _SET = "doc_id long, rk long, n long, sig1 long, sig2 long, prefix array<long>, last long, point binary"
@@ -135,10 +147,10 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             # place of the last prefix shingle in the common order
             last = np.zeros(rows, np.uint64)
             end = (cut[:-1] + keep - 1)[n > 0]
-            last[n > 0] = (levels[slot[order[end]]] << np.uint64(58)) | (value[order[end]] >> np.uint64(6))
+            last[n > 0] = (levels[slot[order[end]]].astype(np.uint64) << np.uint64(58)) | (value[order[end]] >> np.uint64(6))
             group = (mix64(value) % np.uint64(GROUPS)).astype(np.int64)
             points = np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
-            points = points.astype("<u4")
+            points = np.minimum(points, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [block.rows.column(0), block.rows.column(1), pa.array(n.astype(np.int64)), pa.array(as_long(sigs[0])),
                  pa.array(as_long(sigs[1])),
@@ -206,6 +218,15 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return rows.mapInArrow(test, "a long, b long")
 
 
+def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most overlap of sets at points ``a`` and ``b``: sum of the coordinate minima."""
+    least = np.minimum(a, b)
+    total = least.sum(axis=-1, dtype=np.int64)
+    if least.dtype == np.uint8:
+        total[(least == 255).any(axis=-1)] = np.iinfo(np.int32).max      # a count that may be larger
+    return total
+
+
 def boxes(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """R-tree leaves over points ordered by size: bounds, upper corners, least sizes."""
     cut = np.arange(0, len(points), BOX)
@@ -224,7 +245,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray,
     cut, upper, least = boxes(p, n)
     left, right = [], []
     for i in range(len(upper)):
-        most = np.minimum(upper[i][None, :], upper[i:]).sum(axis=1)
+        most = bound(upper[i][None, :], upper[i:])
         for j in (i + np.flatnonzero(linked(most, least[i], least[i:]))).tolist():
             a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
             x, y = np.nonzero((c[a][:, None] != c[b][None, :]) & (d[a][:, None] != d[b][None, :])
@@ -232,7 +253,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray,
             x, y = x + cut[i], y + cut[j]
             if i == j:
                 x, y = x[x < y], y[x < y]
-            good = linked(np.minimum(p[x], p[y]).sum(axis=1), n[x], n[y])
+            good = linked(bound(p[x], p[y]), n[x], n[y])
             left.append(order[x[good]])
             right.append(order[y[good]])
     z = np.zeros(0, np.int64)
@@ -256,7 +277,7 @@ def _cell_pairs(rows: DataFrame) -> DataFrame:
         def flush():
             batch = pa.Table.from_batches(held).combine_chunks()
             cell, low, high, own, uid, label, n, last = (batch.column(i).to_numpy() for i in range(8))
-            points = np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            points = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS)
             cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             a, b = [], []
             for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)], strict=True):
@@ -316,9 +337,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stage(classes, "jaccard-classes")
     member = (sets.select("doc_id", "rk", *same)
               .join(classes.select(*same, "uid"), same).select("doc_id", "rk", "n", "uid"))
-    # rows of a class beyond its first
-    copies = (sets.select(*same, F.col("uid").alias("other")).join(classes.where("copies > 1"), same)
-              .where("uid != other").select(F.col("other").alias("uid")))
+    # rows of a class beyond its first; written, so that their size is known to the joins
+    copies = stage(sets.select(*same, F.col("uid").alias("other")).join(classes.where("copies > 1"), same)
+                   .where("uid != other").select(F.col("other").alias("uid")), "jaccard-copies")
     heads = sets.where("n > 0").join(copies, "uid", "left_anti")
     rows = heads.select("uid", F.explode("prefix").alias("cell"))
     shared = rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("df")).where("df > 1")
@@ -341,8 +362,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                   .select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"),
                   "jaccard-stars")
     whom = info.select("uid", F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
+    # a repeated row only repeats its tests
     packed = stage(_pack(texts).join(whom, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
-                   .groupBy("uid").agg(F.first("packed").alias("packed")), "jaccard-texts")
+                   .select("uid", "packed"), "jaccard-texts")
     found = stage(verify(stars, packed), "jaccard-links")
     label = components(found, "a", "b", "jaccard-parts").withColumnRenamed("id", "_uid")
     labelled = (cells.join(label, F.col("uid") == F.col("_uid"), "left")
@@ -368,7 +390,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .where(linked(F.col("common") + beyond, F.col("na"), F.col("nb"))).select("a", "b"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = verify(rest, packed)
+    more = verify(rest, packed).distinct()
     parts = label.select(F.col("_uid").alias("a"), F.col("component_id").alias("b")).where("a != b")
     return member, stage(parts.unionAll(more), "jaccard-all-links")
 

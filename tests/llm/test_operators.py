@@ -355,11 +355,13 @@ def test_box_bound_loses_no_link():
     points = r.poisson(3, (200, jaccard.GROUPS)).astype(np.int64)
     points[100:] = points[:100] + (r.random((100, jaccard.GROUPS)) < 0.1)
     n = points.sum(axis=1)
-    a, b = jaccard.tree_pairs(points, n, np.arange(200))
+    a, b = jaccard.tree_pairs(points.astype(np.uint8), n, np.arange(200))
     got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(x, y) for x in range(200) for y in range(x + 1, 200)
             if jaccard.linked(np.minimum(points[x], points[y]).sum(), n[x], n[y])}
     assert got == want and len(want) >= 100
+    full = np.full((2, jaccard.GROUPS), 255, np.uint8)           # counts of 255 or more
+    assert len(jaccard.tree_pairs(full, np.array([70_000, 75_000]), np.arange(2))[0]) == 1
 
 
 def test_components(spark):
