@@ -45,7 +45,7 @@ WORD_BYTES = byte_class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])     # [^\x20
 SHINGLE = 5
 LINK = (80, 100)               # intersection / union
 GROUPS = 256                   # one byte each; 255 stands for any larger count
-SKETCH_BITS = 20               # 8 MB of counters
+SKETCH_BITS = 21               # 16 MB of counters
 SKETCH_PARTS = 64
 BOX = 32                       # points of an R-tree leaf
 BLOCK = 256                    # points of a cell handled at once
@@ -117,10 +117,9 @@ def _sketch(texts: DataFrame) -> np.ndarray:
 
 
 def _levels(sketch: np.ndarray) -> np.ndarray:
-    """Per slot: 0, or the doublings by which it exceeds twice the mean."""
+    """Per slot: half-doublings by which it exceeds 1.25 times the mean, at least 0."""
     mean = max(sketch.mean(), 1.0)
-    doublings = np.floor(np.log2(np.maximum(sketch / mean / 2, 1.0)) + (sketch > 2 * mean))
-    return np.minimum(doublings, 31).astype(np.uint8)
+    return np.minimum(np.floor(2 * np.log2(np.maximum(sketch / mean / 1.25, 1.0))), 31).astype(np.uint8)
 
 
 _SET = "doc_id long, rk long, n long, sig1 long, sig2 long, prefix array<long>, last long, point binary"
