@@ -54,16 +54,26 @@ def issue_invoices(accepted_orders: DataFrame) -> DataFrame:
 
 
 def pay_invoices(requests: DataFrame, invoices: DataFrame) -> DataFrame:
-    """K4: decision per payment request (request_id, invoice_id, user_id):
-    not_found / forbidden (not the buyer) / already_paid / paid."""
+    """K4: decision per payment request (request_id, invoice_id, user_id,
+    requested_at): not_found / forbidden (not the buyer) / already_paid / paid.
+    Of the buyer's own requests for one invoice only the earliest pays; later
+    ones find it paid."""
     inv = invoices.select(F.col("invoice_id").alias("inv_id"), "buyer_id", F.col("status").alias("inv_status"))
     j = requests.join(inv, requests.invoice_id == inv.inv_id, "left")
     outcome = (F.when(F.col("inv_id").isNull(), "not_found")
                .when(F.col("buyer_id") != F.col("user_id"), "forbidden")
-               .when(F.col("inv_status") == "Paid", "already_paid")
+               .when((F.col("inv_status") == "Paid") | (F.struct("requested_at", "request_id") > F.col("first_own")),
+                     "already_paid")
                .otherwise("paid"))
+    own = (F.col("inv_id").isNotNull()) & (F.col("buyer_id") == F.col("user_id"))
+    first = (j.where(own).groupBy(F.col("inv_id").alias("_inv"))
+             .agg(F.min(F.struct("requested_at", "request_id")).alias("first_own")))
+    j = j.join(first, F.col("inv_id") == F.col("_inv"), "left")
+    # a forbidden request sees the invoice as the buyer's earlier requests left it
+    paid_before = (F.col("inv_status") == "Paid") | (F.col("first_own") <= F.struct("requested_at", "request_id"))
     return j.select("request_id", "invoice_id", "user_id", outcome.alias("outcome"),
-                    F.when(outcome == "paid", "Paid").otherwise(F.col("inv_status")).alias("status_after"))
+                    F.when(F.col("inv_id").isNotNull() & F.coalesce(paid_before, F.lit(False)), "Paid")
+                    .otherwise(F.col("inv_status")).alias("status_after"))
 
 
 def credit_increases(requests: DataFrame, buyers: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def visible_products(products: DataFrame, suppliers: DataFrame, role: str | None
 
 
 def page(df: DataFrame, order_cols: list, page_no: int = 1, limit: int = 20,
-         cap: int | None = MAX_PAGE_SIZE) -> DataFrame:
+         cap: int | None = None) -> DataFrame:
     """L2: rows (page-1)*limit .. page*limit of the ordering (a bounded
     top-k: Spark plans sort + offset + limit as TakeOrderedAndProject)."""
     limit = min(limit, cap) if cap else limit
@@ -103,7 +103,7 @@ def page(df: DataFrame, order_cols: list, page_no: int = 1, limit: int = 20,
 
 
 def page_info(df: DataFrame, limit: int = 20, page_no: int = 1,
-              cap: int | None = MAX_PAGE_SIZE) -> DataFrame:
+              cap: int | None = None) -> DataFrame:
     """L2: total rows and page count ceil(total / limit) for a filter."""
     limit = min(limit, cap) if cap else limit
     return df.agg(F.count(F.lit(1)).alias("total")).select(

@@ -45,24 +45,38 @@ def rollup_status(entries: DataFrame, status: str = "status") -> DataFrame:
 
 def apply_overrides(status_events: DataFrame, overrides: DataFrame, pairs: DataFrame) -> DataFrame:
     """K7: an admin override (order_id, ts, seq, status) sets every
-    supplier entry of the order at that time (creating entries for all the
-    order's suppliers); later supplier events still apply after it."""
-    fan = overrides.join(pairs.select("order_id", "supplier_id").distinct(), "order_id")
+    supplier entry of the order that exists at that time; only when there is
+    none, entries are created for all the order's suppliers. Later supplier
+    events still apply after it."""
+    first = status_events.groupBy("order_id", "supplier_id").agg(F.min("ts").alias("_first"))
+    order_first = first.groupBy("order_id").agg(F.min("_first").alias("_order_first"))
+    fan = (overrides.join(pairs.select("order_id", "supplier_id").distinct(), "order_id")
+           .join(first, ["order_id", "supplier_id"], "left").join(order_first, "order_id", "left")
+           .where(F.col("_order_first").isNull() | (F.col("_order_first") > F.col("ts"))
+                  | (F.col("_first") <= F.col("ts"))))
     cols = ["order_id", "supplier_id", "ts", "seq", "status"]
     return status_events.select(*cols).unionByName(fan.select(*cols))
 
 
 def payment_fold(events: DataFrame) -> DataFrame:
-    """K8: the latest payment action per order decides the payment status
-    (approve -> Approved, reject -> Rejected, re-upload -> Pending
-    Verification); an approval also resets the order to Pending."""
-    last = latest(events, ["order_id"], ["ts", "seq"], ["action"])
+    """K8: per field, the latest event that sets it wins. Payment status:
+    approve -> Approved, reject -> Rejected, re-upload -> Pending
+    Verification. Order status: approve -> Pending, re-upload -> Pending
+    Payment Verification; a rejection leaves it. ``entries_reset_at`` is the
+    last approval, which resets the supplier entries to Pending."""
+    rank = F.struct("ts", "seq", "action")
     a = F.col("action")
+    sets_order = F.when(a != "reject", rank)
+    last = events.groupBy("order_id").agg(
+        F.max_by(a, rank).alias("action"), F.max_by(a, sets_order).alias("_order_action"),
+        F.max(F.when(a == "approve", F.col("ts"))).alias("entries_reset_at"))
+    o = F.col("_order_action")
     return last.select(
         "order_id", "action",
         F.when(a == "approve", "Approved").when(a == "reject", "Rejected")
          .otherwise("Pending Verification").alias("payment_status"),
-        F.when(a == "approve", "Pending").alias("order_status_reset"))
+        F.when(o == "approve", "Pending").when(o == "reupload", "Pending Payment Verification")
+         .alias("order_status_reset"), "entries_reset_at")
 
 
 def verification_history(events: DataFrame, users: DataFrame) -> DataFrame:

@@ -201,23 +201,3 @@ def align_dates(df: DataFrame, as_of: str, date_col: str = "date") -> DataFrame:
     """Shift all dates so the latest equals ``as_of``."""
     mx = df.select(F.max(date_col)).scalar()
     return df.withColumn(date_col, F.date_add(F.col(date_col), F.datediff(F.to_date(F.lit(as_of)), mx)))
-
-
-def one_hot(df: DataFrame, cols: Sequence[str], levels: dict[str, list] | None = None,
-            max_levels: int = 1000) -> DataFrame:
-    """M1 (SQL form): ``col_level`` 0/1 columns; unknown levels give all
-    zeros. Levels are fitted on ``df`` unless given (fit on train, apply to
-    test). Fitting reads the distinct levels, a set bounded by
-    ``max_levels`` per column (checked)."""
-    levels = dict(levels or {})
-    missing = [c for c in cols if c not in levels]
-    if missing:
-        row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in missing]).first()
-        for c in missing:
-            if len(row[c]) > max_levels:
-                raise ValueError(f"{c}: {len(row[c])} levels exceeds {max_levels}")
-            levels[c] = list(row[c])
-    out = [F.col(c) for c in df.columns if c not in cols]
-    for c in cols:
-        out += [(F.col(c) == F.lit(v)).cast("double").alias(f"{c}_{v}") for v in levels[c]]
-    return df.select(*out)

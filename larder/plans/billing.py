@@ -93,13 +93,19 @@ def net30_invoices(spark, sf_dir):
 
 
 PAY_SQL = with_views("b_invoices", "b_payment_requests") + """
-SELECT r.request_id, r.invoice_id, r.user_id,
-       CASE WHEN i.invoice_id IS NULL THEN 'not_found'
-            WHEN i.buyer_id <> r.user_id THEN 'forbidden'
-            WHEN i.status = 'Paid' THEN 'already_paid' ELSE 'paid' END AS outcome,
-       CASE WHEN i.invoice_id IS NOT NULL AND i.buyer_id = r.user_id AND i.status <> 'Paid' THEN 'Paid'
-            ELSE i.status END AS status_after
-FROM b_payment_requests r LEFT JOIN b_invoices i ON i.invoice_id = r.invoice_id
+, j AS (
+    SELECT r.request_id, r.invoice_id, r.user_id, i.invoice_id AS found, i.buyer_id, i.status,
+           COUNT(*) FILTER (WHERE i.buyer_id = r.user_id) OVER (
+               PARTITION BY r.invoice_id ORDER BY r.requested_at, r.request_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_before
+    FROM b_payment_requests r LEFT JOIN b_invoices i ON i.invoice_id = r.invoice_id)
+SELECT request_id, invoice_id, user_id,
+       CASE WHEN found IS NULL THEN 'not_found'
+            WHEN buyer_id <> user_id THEN 'forbidden'
+            WHEN status = 'Paid' OR own_before > 0 THEN 'already_paid' ELSE 'paid' END AS outcome,
+       CASE WHEN found IS NULL THEN NULL
+            WHEN buyer_id = user_id OR own_before > 0 THEN 'Paid' ELSE status END AS status_after
+FROM j
 """
 
 

@@ -91,8 +91,10 @@ OVERRIDE_SQL = "WITH dummy AS (SELECT 1)" + _EVENTS_SQL + """
     SELECT order_id, supplier_id, ts, seq, status FROM sev
     UNION ALL
     SELECT ov.order_id, p.supplier_id, ov.ts, ov.seq, ov.status
-    FROM ov JOIN (SELECT DISTINCT l_orderkey AS order_id, l_suppkey AS supplier_id FROM lineitem) p
-         ON p.order_id = ov.order_id)
+    FROM ov JOIN (SELECT order_id, supplier_id, MIN(ts) AS first_ts,
+                         MIN(MIN(ts)) OVER (PARTITION BY order_id) AS order_first
+                  FROM sev GROUP BY order_id, supplier_id) p
+         ON p.order_id = ov.order_id AND (p.first_ts <= ov.ts OR p.order_first > ov.ts))
 """ + _ROLLUP_SQL
 
 
@@ -120,25 +122,30 @@ PAYMENT_SQL = with_views("b_orders") + """
     SELECT l_orderkey AS order_id, l_shipdate AS ts, l_linenumber AS seq,
            CASE l_returnflag WHEN 'A' THEN 'approve' WHEN 'R' THEN 'reject' ELSE 'reupload' END AS action
     FROM lineitem WHERE l_orderkey IN (SELECT order_id FROM b_orders WHERE payment_method = 'bank'))
-SELECT order_id, action,
-       CASE action WHEN 'approve' THEN 'Approved' WHEN 'reject' THEN 'Rejected' ELSE 'Pending Verification' END
+, last AS (
+    SELECT order_id, action FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC, action DESC) AS rn FROM pe) t
+    WHERE rn = 1)
+, last_set AS (
+    SELECT order_id, action FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC, action DESC) AS rn
+        FROM pe WHERE action <> 'reject') t
+    WHERE rn = 1)
+, approved AS (SELECT order_id, MAX(ts) AS ts FROM pe WHERE action = 'approve' GROUP BY order_id)
+SELECT l.order_id, l.action,
+       CASE l.action WHEN 'approve' THEN 'Approved' WHEN 'reject' THEN 'Rejected' ELSE 'Pending Verification' END
            AS payment_status,
-       CASE WHEN action = 'approve' THEN 'Pending' END AS order_status_reset
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC, action DESC) AS rn FROM pe) t
-WHERE rn = 1
+       CASE s.action WHEN 'approve' THEN 'Pending' WHEN 'reupload' THEN 'Pending Payment Verification' END
+           AS order_status_reset,
+       a.ts AS entries_reset_at
+FROM last l LEFT JOIN last_set s ON s.order_id = l.order_id LEFT JOIN approved a ON a.order_id = l.order_id
 """
 
 
 @register("payment_status_fold", covers=("K8",), sql=PAYMENT_SQL)
 def payment_status_fold(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
-    last = ev.latest(payment_events(mk), ["order_id"], ["ts", "seq", "action"], ["action"])
-    a = F.col("action")
-    return last.select(
-        "order_id", "action",
-        F.when(a == "approve", "Approved").when(a == "reject", "Rejected")
-         .otherwise("Pending Verification").alias("payment_status"),
-        F.when(a == "approve", "Pending").alias("order_status_reset"))
+    return ev.payment_fold(payment_events(mk))
 
 
 def moderation_events(mk: Marketplace):

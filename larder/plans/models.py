@@ -217,11 +217,12 @@ def hybrid_forecast_metrics(spark, sf_dir):
     g, cut = _grid_split(mk)
     seas = md.seasonal_regression(g.where(F.col("date") < cut), g, "category", "demand")
     w = fe.series_window("category", "date")
-    x = (g.join(seas.select("category", "date", F.col("predicted").alias("seasonal")), ["category", "date"])
-         .select("category", "date", "demand", "is_holiday", "seasonal",
+    parts = ["trend", "weekly", "yearly"]
+    x = (g.join(seas.select("category", "date", F.col("predicted").alias("seasonal"), *parts), ["category", "date"])
+         .select("category", "date", "demand", "is_holiday", "seasonal", *parts,
                  *fe.lag_features("demand", [1, 7], w), *fe.rolling_features("demand", [7], w)))
     x = _materialise(x)
-    num = ["seasonal", "lag_1", "lag_7", "rolling_mean_7", "is_holiday"]
+    num = ["seasonal", *parts, "lag_1", "lag_7", "rolling_mean_7", "is_holiday"]
     train = x.where(F.col("date") < cut).na.drop(subset=num)
     test = x.where(F.col("date") >= cut)
     m = md.regression_pipeline(["category"], num, "demand", "gbt", maxIter=20, maxDepth=4).fit(train)

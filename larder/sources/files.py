@@ -6,6 +6,7 @@ DataFrame writer, so output is written in parallel by the executors.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,14 @@ def read_order_history(spark: SparkSession, path: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """S3: tolerant prediction file (actual, predicted, category, date):
-    the first line is a header, blank lines are skipped, lines with fewer
-    than 4 comma-separated fields are dropped, a bad number becomes 0 and
-    the date is trimmed. Read as text so naive comma splitting is exact."""
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"), F.monotonically_increasing_id().alias("_n"))
-    first = lines.select(F.min("_n")).scalar()
-    body = lines.where(F.col("_n") != first).where(F.trim("line") != "")
+    the first line of every file is a header, blank lines are skipped, lines
+    with fewer than 4 comma-separated fields are dropped, a bad number becomes
+    0 and the date is trimmed. The CSV reader only drops the headers and splits
+    files; with a separator that no line holds, a line stays one field and the
+    naive comma splitting is exact."""
+    body = (spark.read.schema("line STRING").option("header", True).option("enforceSchema", True)
+            .option("sep", "\u0001").option("quote", "").option("escape", "").csv(path)
+            .where(F.trim("line") != ""))
     parts = body.select(F.split(F.trim("line"), ",").alias("c")).where(F.size("c") >= 4)
     return parts.select(
         parse_float_or_zero(F.col("c")[0]).alias("actual"),
@@ -47,8 +49,10 @@ def read_margin(spark: SparkSession, path: str, default: float = DEFAULT_MARGIN)
     value is a job parameter, read once on the driver."""
     try:
         df = spark.read.option("mode", "PERMISSIVE").json(path)
-    except Exception:  # noqa: BLE001 - missing path
-        return default
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return default
+        raise
     if "margin" not in df.columns:
         return default
     row = df.select(F.max(F.col("margin").cast("string").try_cast("double")).alias("m")).first()

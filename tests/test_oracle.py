@@ -1,6 +1,8 @@
 """Every registered query with an oracle matches DuckDB on sf0.001; the
 rest run and return a stable schema."""
 
+import math
+
 import pytest
 
 import __spark_entry__ as se
@@ -23,10 +25,10 @@ def test_matches_oracle(spark, duck_small, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_oracle(spark, name):
     df = QUERIES[name](spark, SMALL)
-    schema = df.schema
     rows = df.collect()
-    assert df.schema == schema
-    assert len(rows) >= 0
+    assert rows, name
+    numbers = [f.name for f in df.schema if f.dataType.typeName() == "double"]
+    assert all(r[c] is None or math.isfinite(r[c]) for r in rows for c in numbers)
 
 
 def test_entry_smoke(spark):
