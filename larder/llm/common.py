@@ -90,7 +90,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    drop_staged(staged.sparkSession, staged.staged_path)
 
 
 # ------------------------------------------------------------ bytes and hashes

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import (RangeHash, as_long, byte_class, components, gram_hashes, keyed, mix64, stage,
-                               text_blocks, word_spans)
+                               text_blocks, unstage, word_spans)
 
 WORD_BYTES = byte_class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])     # [^\x20\x09-\x0D]+
 SHINGLE = 5
@@ -334,18 +334,21 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = ["sig1", "sig2", "n"]
     classes = sets.groupBy(*same).agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
     classes = stage(classes, "jaccard-classes")
-    member = (sets.select("doc_id", "rk", *same)
-              .join(classes.select(*same, "uid"), same).select("doc_id", "rk", "n", "uid"))
+    member = stage(sets.select("doc_id", "rk", *same)
+                   .join(classes.select(*same, "uid"), same).select("doc_id", "rk", "n", "uid"), "jaccard-member")
     # rows of a class beyond its first; written, so that their size is known to the joins
     copies = stage(sets.select(*same, F.col("uid").alias("other")).join(classes.where("copies > 1"), same)
                    .where("uid != other").select(F.col("other").alias("uid")), "jaccard-copies")
     heads = sets.where("n > 0").join(copies, "uid", "left_anti")
     rows = heads.select("uid", F.explode("prefix").alias("cell"))
-    shared = rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("df")).where("df > 1")
+    shared = stage(rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("df")).where("df > 1"),
+                   "jaccard-shared")
     cells = stage(rows.join(shared, F.col("cell") == F.col("_cell")).select("cell", "uid", "df"), "jaccard-cells")
     info = stage(heads.join(cells.groupBy("uid").agg(F.count("*").alias("held")), "uid")
                  .select("uid", "doc_id", "rk", "n", "last", "point", (F.col("held") / F.size("prefix")).alias("share")),
                  "jaccard-info")
+    unstage(sets)
+    unstage(shared)
     # hubs: the member with most of its prefix shared
     ranked = cells.join(info.select("uid", "share", F.col("n").alias("size")), "uid")
     hub = (ranked.groupBy(F.col("cell").alias("_cell"))
