@@ -85,7 +85,7 @@ PAGE_SQL = BUYER_SQL + "ORDER BY p.product_id DESC LIMIT 20 OFFSET 20\n"
 
 @register("catalogue_page", covers=("L2", "L1"), sql=PAGE_SQL)
 def catalogue_page(spark, sf_dir):
-    return cat.page(_visible(spark, sf_dir, role="buyer"), [F.desc("product_id")], 2, 20)
+    return cat.page(_visible(spark, sf_dir, role="buyer"), [F.desc("product_id")], 2, 20, cat.MAX_PAGE_SIZE)
 
 
 PAGE_INFO_SQL = f"""SELECT total, 2 AS page, CAST(ceil(total / 20.0) AS BIGINT) AS pages
@@ -95,7 +95,7 @@ FROM (SELECT COUNT(*) AS total FROM ({BUYER_SQL}) v) t
 
 @register("catalogue_page_info", covers=("L2",), sql=PAGE_INFO_SQL)
 def catalogue_page_info(spark, sf_dir):
-    return cat.page_info(_visible(spark, sf_dir, role="buyer"), 20, 2)
+    return cat.page_info(_visible(spark, sf_dir, role="buyer"), 20, 2, cat.MAX_PAGE_SIZE)
 
 
 CHEAP_SQL = with_views("b_products") + """

@@ -112,7 +112,8 @@ def test_paging(spark):
     page2 = [r[0] for r in catalogue.page(df, ["product_id"], 2, 20).collect()]
     info = catalogue.page_info(df, 20, 2).first()
     assert page2 == list(range(20, 40)) and (info.total, info.pages) == (45, 3)
-    assert catalogue.page(df, ["product_id"], 1, 500).count() == 45  # limit capped at 100
+    assert catalogue.page(df, ["product_id"], 1, 500, cap=10).count() == 10
+    assert catalogue.page(df, ["product_id"], 1, 500).count() == 45
 
 
 def test_prediction_csv_is_read_tolerantly(spark):
