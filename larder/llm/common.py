@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from larder.session import checkpoint_dir
 from larder.sources.tables import read_table
 
-BLOCK_BYTES = 1 << 20          # numpy work unit of a task
+BLOCK_BYTES = 1 << 19          # numpy work unit of a task
 NO_ID = -(1 << 63)             # stands for a null doc_id inside row keys
 
 
