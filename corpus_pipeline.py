@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 
 from larder.llm import decontam, jaccard, mixing, tokens, toxicity
-from larder.llm.common import staging_path
+from larder.llm.common import stage, unstage
 
 
 def _table(spark, sf_dir, name):
@@ -61,9 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = staging_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

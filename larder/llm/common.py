@@ -95,9 +95,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def unstage(staged: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    drop_staged(staged.sparkSession, staged.staged_path)
+def unstage(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in staged:
+        drop_staged(table.sparkSession, table.staged_path)
 
 
 # ------------------------------------------------------------ bytes and hashes
@@ -259,7 +260,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     aggregations with map-side minima and two equi joins against a side that
     has one row per node; rounds grow with the logarithm of the diameter. Only
     nodes with a link appear. Nothing but a row count and checksum per round
-    reaches the driver.
+    reaches the driver. The result is read from a staged table, which ``unstage``
+    of the result removes.
     """
     e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
               .where("u > v").distinct(), name)
@@ -272,16 +274,20 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
                  .select("u", F.col("low").alias("v")).where("u > v").distinct())
         first = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("low"))
         small = large.join(first, F.col("u") == F.col("x"))
+        last = e
         e = stage(small.select(F.explode(F.array(
             F.struct(F.col("u"), F.col("low").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("s"))
             .select("s.u", "s.v").where("u > v").distinct(), name)
+        unstage(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(roots)
+    label = e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(roots)
+    label.staged_path = e.staged_path
+    return label
 
 
 def running_sum(df: DataFrame, group: list[str], order: list, value: str, slot, out: str) -> DataFrame:

@@ -176,6 +176,14 @@ def _pack(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "rk", "text").mapInArrow(pack, "doc_id long, rk long, packed binary")
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame, whom: DataFrame) -> DataFrame:
+    """(uid, packed) of the classes in ``pairs``; a repeated row only repeats its tests."""
+    need = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct()
+    need = whom.join(need, "uid", "left_semi")
+    return stage(_pack(texts).join(need, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
+                 .select("uid", "packed"), "jaccard-texts")
+
+
 def _one_set(packed: bytes, expand) -> np.ndarray:
     batch = pa.RecordBatch.from_arrays([pa.array([expand(packed)], pa.binary())], names=["text"])
     return np.concatenate([shingle_sets(b)[1] for b in text_blocks([batch])])
@@ -344,11 +352,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stage(rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("df")).where("df > 1"),
                    "jaccard-shared")
     cells = stage(rows.join(shared, F.col("cell") == F.col("_cell")).select("cell", "uid", "df"), "jaccard-cells")
+    unstage(shared)
     info = stage(heads.join(cells.groupBy("uid").agg(F.count("*").alias("held")), "uid")
                  .select("uid", "doc_id", "rk", "n", "last", "point", (F.col("held") / F.size("prefix")).alias("share")),
                  "jaccard-info")
-    unstage(sets)
-    unstage(shared)
+    unstage(sets, classes, copies)
     # hubs: the member with most of its prefix shared
     ranked = cells.join(info.select("uid", "share", F.col("n").alias("size")), "uid")
     hub = (ranked.groupBy(F.col("cell").alias("_cell"))
@@ -364,14 +372,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                   .select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"),
                   "jaccard-stars")
     whom = info.select("uid", F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
-    # a repeated row only repeats its tests
-    packed = stage(_pack(texts).join(whom, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
-                   .select("uid", "packed"), "jaccard-texts")
+    packed = _texts_of(stars, texts, whom)
     found = stage(verify(stars, packed), "jaccard-links")
-    label = components(found, "a", "b", "jaccard-parts").withColumnRenamed("id", "_uid")
+    unstage(packed)
+    parted = components(found, "a", "b", "jaccard-parts")
+    label = parted.withColumnRenamed("id", "_uid")
     labelled = (cells.join(label, F.col("uid") == F.col("_uid"), "left")
                 .select("cell", "uid", "df", F.coalesce("component_id", "uid").alias("label")))
     labelled = stage(labelled, "jaccard-labelled")
+    unstage(cells, found)
     mixed = (labelled.groupBy(F.col("cell").alias("_cell"))
              .agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"))
     open_cells = labelled.join(mixed, F.col("cell") == F.col("_cell")).select("cell", "uid", "label", "df")
@@ -392,18 +401,24 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .where(linked(F.col("common") + beyond, F.col("na"), F.col("nb"))).select("a", "b"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
+    unstage(labelled, stars)
+    packed = _texts_of(rest, texts, whom)
     more = verify(rest, packed).distinct()
     parts = label.select(F.col("_uid").alias("a"), F.col("component_id").alias("b")).where("a != b")
-    return member, stage(parts.unionAll(more), "jaccard-all-links")
+    edges = stage(parts.unionAll(more), "jaccard-all-links")
+    unstage(packed, rest, info, parted)
+    return member, edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, rk, n_shingles, component_id and a flag for the one row kept of each component."""
     member, edges = join(docs)
-    label = components(edges, "a", "b", "jaccard-components").withColumnRenamed("id", "_uid")
+    parts = components(edges, "a", "b", "jaccard-components")
+    label = parts.withColumnRenamed("id", "_uid")
     rows = stage(member.join(label, F.col("uid") == F.col("_uid"), "left")
                  .select("doc_id", "rk", F.col("n").alias("n_shingles"),
                          F.coalesce("component_id", "uid").alias("root")), "jaccard-members")
+    unstage(member, edges, parts)
     least = rows.where("n_shingles > 0").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("low"))
     return (rows.join(least, (F.col("root") == F.col("_root")) & (F.col("n_shingles") > 0), "left")
             .select("doc_id", "rk", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")))
@@ -420,11 +435,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one stays.
     """
     member, edges = join(docs)
-    label = components(edges, "a", "b", "jaccard-components").withColumnRenamed("id", "_uid")
+    parts = components(edges, "a", "b", "jaccard-components")
+    label = parts.withColumnRenamed("id", "_uid")
     rows = (member.where("n > 0").join(label, F.col("uid") == F.col("_uid"), "left")
             .select(F.coalesce("component_id", "uid").alias("root"),
                     F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk").alias("row")))
     rows = stage(rows.groupBy("root", "row").agg(F.count("*").alias("times")), "jaccard-rows")
+    unstage(member, edges, parts)
     first = rows.groupBy("root").agg(F.min("row").alias("kept"))
     drop = (rows.join(first, "root").where("row != kept")
             .select(F.col("row.doc_id").alias("_id"), F.col("row.rk").alias("_rk")))
