@@ -105,10 +105,10 @@ def _admit_partition(batches):
         if pdf.empty:
             continue
         acc, after = [], []
-        for b, tot, lim in zip(pdf["buyer_id"].to_numpy(), pdf["total_cents"].to_numpy(),
-                               pdf["limit_cents"].to_numpy()):
+        for b, tot, lim, start in zip(pdf["buyer_id"].to_numpy(), pdf["total_cents"].to_numpy(),
+                                      pdf["limit_cents"].to_numpy(), pdf["start_cents"].to_numpy()):
             if b != cur_buyer:
-                cur_buyer, open_cents = b, 0
+                cur_buyer, open_cents = b, int(start)
             ok = open_cents + tot <= lim
             if ok:
                 open_cents += tot
@@ -120,13 +120,15 @@ def _admit_partition(batches):
             "accepted": acc, "outstanding_after": after})
 
 
-def credit_admission(orders: DataFrame, buyers: DataFrame) -> DataFrame:
+def credit_admission(orders: DataFrame, buyers: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
     """K2: sequential credit check of net-30 orders per buyer.
 
     Not a running sum (a refused order does not consume credit), so it is
     an ordered fold: hash-partition by buyer, sort within partitions by
     (buyer, time, id), and stream each partition through ``mapInPandas``.
-    Money is folded in integer cents, so the result is exact.
+    Money is folded in integer cents, so the result is exact. With ``invoices``,
+    a buyer starts at the unpaid and overdue ones of orders that are not replayed
+    here; without, at zero.
     """
     lim = or_default("credit_limit", DEFAULT_CREDIT_LIMIT)
     b = buyers.select(F.col("user_id").alias("buyer_id"),
@@ -134,6 +136,13 @@ def credit_admission(orders: DataFrame, buyers: DataFrame) -> DataFrame:
     o = orders.select("order_id", "buyer_id", "created_at",
                       (money("total") * 100).cast("long").alias("total_cents"))
     j = o.join(b, "buyer_id", "left").fillna({"limit_cents": int(DEFAULT_CREDIT_LIMIT * 100)})
+    if invoices is None:
+        j = j.withColumn("start_cents", F.lit(0).cast("long"))
+    else:
+        start = (invoices.where(F.col("status").isin("Unpaid", "Overdue"))
+                 .join(orders.select("order_id"), "order_id", "left_anti")
+                 .groupBy("buyer_id").agg(F.sum((money("amount") * 100).cast("long")).alias("start_cents")))
+        j = j.join(start, "buyer_id", "left").fillna({"start_cents": 0})
     n = int(j.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     srt = j.repartition(n, "buyer_id").sortWithinPartitions("buyer_id", "created_at", "order_id")
     return srt.mapInPandas(_admit_partition, ADMISSION_SCHEMA)

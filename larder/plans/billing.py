@@ -41,19 +41,26 @@ def _net30(mk: Marketplace):
     return mk.orders.where(F.col("payment_method") == "net30")
 
 
-ADMISSION_SQL = with_views("b_orders", "b_buyers") + """
+ADMISSION_SQL = with_views("b_orders", "b_buyers", "b_invoices") + """
+, already AS (
+    SELECT i.buyer_id, CAST(SUM(CAST(i.amount AS DECIMAL(18,2))) * 100 AS BIGINT) AS cents
+    FROM b_invoices i JOIN b_orders o ON o.order_id = i.order_id
+    WHERE i.status IN ('Unpaid', 'Overdue') AND o.payment_method <> 'net30'
+    GROUP BY i.buyer_id)
 , net AS (
     SELECT o.order_id, o.buyer_id, o.created_at,
            CAST(CAST(o.total AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents,
            CAST(CAST(CASE WHEN b.credit_limit IS NULL OR b.credit_limit = 0 THEN 100000.0
                           ELSE b.credit_limit END AS DECIMAL(18,2)) * 100 AS BIGINT) AS lim,
+           COALESCE(a.cents, 0) AS start_at,
            ROW_NUMBER() OVER (PARTITION BY o.buyer_id ORDER BY o.created_at, o.order_id) AS rn
     FROM b_orders o LEFT JOIN b_buyers b ON b.user_id = o.buyer_id
+    LEFT JOIN already a ON a.buyer_id = o.buyer_id
     WHERE o.payment_method = 'net30')
 , fold AS (
     SELECT buyer_id, rn, order_id, created_at, cents, lim,
-           cents <= lim AS accepted,
-           CASE WHEN cents <= lim THEN cents ELSE 0 END AS open_after
+           start_at + cents <= lim AS accepted,
+           CASE WHEN start_at + cents <= lim THEN start_at + cents ELSE start_at END AS open_after
     FROM net WHERE rn = 1
     UNION ALL
     SELECT n.buyer_id, n.rn, n.order_id, n.created_at, n.cents, n.lim,
@@ -71,7 +78,7 @@ ADMISSION_SQL = "WITH RECURSIVE " + ADMISSION_SQL[len("WITH "):]
 @register("credit_admission", covers=("K2", "K1"), sql=ADMISSION_SQL)
 def credit_admission(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
-    return op.credit_admission(_net30(mk), mk.buyers)
+    return op.credit_admission(_net30(mk), mk.buyers, mk.invoices)
 
 
 INVOICES_SQL = ADMISSION_SQL.replace("""SELECT order_id, buyer_id, created_at, CAST(cents AS DOUBLE) / 100.0 AS total,
@@ -87,7 +94,7 @@ WHERE f.accepted""")
 @register("net30_invoices", covers=("K3", "S9"), sql=INVOICES_SQL)
 def net30_invoices(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
-    adm = op.credit_admission(_net30(mk), mk.buyers).where("accepted").select("order_id")
+    adm = op.credit_admission(_net30(mk), mk.buyers, mk.invoices).where("accepted").select("order_id")
     accepted = mk.orders.join(adm, "order_id", "left_semi")
     return op.issue_invoices(accepted)
 

@@ -71,6 +71,19 @@ def test_credit_admission_brute_force(spark):
             assert open_c <= limit * 100  # never overspends
 
 
+def test_credit_admission_starts_at_open_invoices(spark):
+    when = datetime.datetime(2026, 1, 1)
+    orders = spark.createDataFrame([(1, 7, when, 30.0), (2, 7, when + datetime.timedelta(1), 10.0), (3, 8, when, 100.0)],
+                                   "order_id long, buyer_id long, created_at timestamp_ntz, total double")
+    buyers = spark.createDataFrame([(7, 100.0), (8, 100.0)], "user_id long, credit_limit double")
+    invoices = spark.createDataFrame(
+        [(50, 7, 60.5, "Unpaid"), (51, 7, 20.0, "Overdue"), (52, 7, 999.0, "Paid"), (1, 7, 30.0, "Unpaid"),
+         (3, 8, 100.0, "Unpaid")], "order_id long, buyer_id long, amount double, status string")
+    got = {r.order_id: (r.accepted, r.outstanding_after)
+           for r in billing.credit_admission(orders, buyers, invoices).collect()}
+    assert got == {1: (False, 80.5), 2: (True, 90.5), 3: (True, 100.0)}
+
+
 def test_recursive_forecast_matches_loop(spark):
     rng = np.random.default_rng(1)
     rows = [(k, datetime.date(2024, 1, 1) + datetime.timedelta(days=i), float(rng.integers(0, 100)))
