@@ -8,6 +8,7 @@
   byte range (polynomial prefix sums modulo 2^64, then a bit mixer).
 * ``stage``: a table written to the shared checkpoint folder and read back;
   it cuts lineage, survives lost executors and gives AQE real sizes.
+* ``small_batches``: bounds what a Python worker is handed at once.
 * ``components``: connected components by alternating star contraction.
 * ``running_sum``: a prefix sum over a total order without a single-task window.
 """
@@ -15,6 +16,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import uuid
@@ -28,6 +30,8 @@ from larder.session import checkpoint_dir
 from larder.sources.tables import read_table
 
 BLOCK_BYTES = 1 << 19          # numpy work unit of a task
+ARROW_ROWS = 1000              # whole texts handed to a Python worker at once
+ARROW_BYTES = 8 << 20
 NO_ID = -(1 << 63)             # stands for a null doc_id inside row keys
 
 
@@ -40,12 +44,35 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
 
     Rows that repeat both id and text share ``rk`` and get equal results.
     """
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rk"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes.
+
+    The default of 10,000 rows holds that many whole texts at once in the executor's
+    direct memory and in its Python workers. Smaller settings of the user stay.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back; the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:       # a C library without it
+        pass
+
+
 # ------------------------------------------------------------ staged tables
 
 _STAGED: list[tuple[SparkSession, str]] = []
@@ -185,8 +212,8 @@ class Block:
         return self.rows.column(self.rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
-    """Cut Arrow batches into blocks of whole texts of about ``limit`` bytes."""
+def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES, release: bool = True):
+    """Cut the Arrow batches of a task into blocks of whole texts of about ``limit`` bytes."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -203,6 +230,8 @@ def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             yield Block(batch.slice(at, end - at), whole[offsets[at]:offsets[end]],
                         offsets[at:end + 1] - offsets[at])
             at = end
+    if release:
+        release_memory()
 
 
 def byte_class(pairs: list[tuple[int, int]]) -> np.ndarray:

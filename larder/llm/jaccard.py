@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import (RangeHash, as_long, byte_class, components, gram_hashes, keyed, mix64, stage,
-                               text_blocks, unstage, word_spans)
+from larder.llm.common import (RangeHash, as_long, byte_class, components, gram_hashes, keyed, mix64,
+                               release_memory, stage, text_blocks, unstage, word_spans)
 
 WORD_BYTES = byte_class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])     # [^\x20\x09-\x0D]+
 SHINGLE = 5
@@ -186,7 +186,7 @@ def _texts_of(pairs: DataFrame, texts: DataFrame, whom: DataFrame) -> DataFrame:
 
 def _one_set(packed: bytes, expand) -> np.ndarray:
     batch = pa.RecordBatch.from_arrays([pa.array([expand(packed)], pa.binary())], names=["text"])
-    return np.concatenate([shingle_sets(b)[1] for b in text_blocks([batch])])
+    return np.concatenate([shingle_sets(b)[1] for b in text_blocks([batch], release=False)])
 
 
 def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -330,6 +330,8 @@ def _cell_pairs(rows: DataFrame) -> DataFrame:
                 at += piece.num_rows
         if held:
             yield from flush()
+            held.clear()
+        release_memory()
 
     return rows.mapInArrow(pairs, _PAIR)
 

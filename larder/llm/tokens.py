@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import keyed, staging_path
+from larder.llm.common import keyed, release_memory, staging_path
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -262,6 +262,7 @@ def write_token_pages(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
                     held, ids, size, number = [], [], 0, number + 1
         if held:
             yield page()
+        release_memory()
 
     ordered = (keyed(docs).select("doc_id", "rk", "text").repartitionByRange("doc_id", "rk")
                .sortWithinPartitions("doc_id", "rk").select("doc_id", "text"))
