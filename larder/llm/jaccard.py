@@ -421,7 +421,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  .select("doc_id", "rk", F.col("n").alias("n_shingles"),
                          F.coalesce("component_id", "uid").alias("root")), "jaccard-members")
     unstage(member, edges, parts)
-    least = rows.where("n_shingles > 0").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("low"))
+    # written, so that the join reads two plain shuffles and AQE can split a large component
+    least = stage(rows.where("n_shingles > 0").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("low")),
+                  "jaccard-least")
     return (rows.join(least, (F.col("root") == F.col("_root")) & (F.col("n_shingles") > 0), "left")
             .select("doc_id", "rk", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")))
 
@@ -444,7 +446,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
                     F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk").alias("row")))
     rows = stage(rows.groupBy("root", "row").agg(F.count("*").alias("times")), "jaccard-rows")
     unstage(member, edges, parts)
-    first = rows.groupBy("root").agg(F.min("row").alias("kept"))
+    # written, so that the joins read two plain shuffles and AQE can split a large component
+    first = stage(rows.groupBy("root").agg(F.min("row").alias("kept")), "jaccard-first")
     drop = (rows.join(first, "root").where("row != kept")
             .select(F.col("row.doc_id").alias("_id"), F.col("row.rk").alias("_rk")))
     again = (rows.join(first, "root").where("row = kept AND times > 1")
