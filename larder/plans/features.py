@@ -130,38 +130,122 @@ FROM h
 """
 
 
-def hybrid_features(mk: Marketplace):
-    """M19 on the category grid: full-window demand stats (W3), price std
-    (W6), weather streak (W7), rolling counts and shares (W8, W9), holiday
-    distances and proximity (W10-W12), price change (W13)."""
-    g = series.category_grid(mk)
+def hybrid_windows(g, windows, lags=()):
+    """Window features of the category grid ``g`` for every length in
+    ``windows``: full-window demand stats (W3), price std (W6), weather streak
+    (W7), rolling counts and shares (W8, W9), holiday distances and proximity
+    (W10-W12), price change (W13), and the demand lags (W1). No row is dropped."""
     g = fe.run_length(g, "category", ["date"], "weather_condition", "weather_streak")
     w = fe.series_window("category", "date")
     rn = F.row_number().over(w)
     wc = F.col("weather_condition")
     since, until = fe.event_distance(F.col("is_holiday") == 1, w, rn)
+    per_window = []
+    for n in windows:
+        per_window += [
+            *fe.full_window_stats("demand", n, w),
+            *fe.full_window_stats("price_mean", n, w, prefix="price", stats=("std",)),
+            fe.rolling_count(wc == "Rainy", n, w, f"rainy_days_last_{n}"),
+            fe.rolling_count(F.col("is_holiday") == 1, n, w, f"holidays_last_{n}"),
+            *[fe.rolling_share(wc == c, n, w, f"{c.lower()}_pct_last_{n}") for c in ("Rainy", "Sunny", "Cloudy")]]
     out = g.select(
         "category", "date", "demand", "price_mean", "weather_condition", "is_holiday",
-        *fe.full_window_stats("demand", 7, w),
-        fe.full_window_stats("price_mean", 7, w, prefix="price", stats=("std",))[0],
-        "weather_streak",
-        fe.rolling_count(wc == "Rainy", 7, w, "rainy_days_last_7"),
-        fe.rolling_count(F.col("is_holiday") == 1, 7, w, "holidays_last_7"),
-        fe.rolling_share(wc == "Rainy", 7, w, "rainy_pct_last_7"),
-        fe.rolling_share(wc == "Sunny", 7, w, "sunny_pct_last_7"),
-        fe.rolling_share(wc == "Cloudy", 7, w, "cloudy_pct_last_7"),
+        *fe.lag_features("demand", lags, w), *per_window, "weather_streak",
         since.alias("days_since_holiday"), until.alias("days_until_holiday"),
         fe.first_difference("price_mean", w).alias("price_change"))
     return out.withColumn("holiday_proximity",
                           fe.proximity(F.col("days_since_holiday"), F.col("days_until_holiday")))
 
 
+def hybrid_features(mk: Marketplace):
+    """The 7-row windows of the category grid, all rows kept (a part of M19;
+    ``hybrid_feature_set`` is the whole)."""
+    return hybrid_windows(series.category_grid(mk), (7,)).select(
+        "category", "date", "demand", "price_mean", "weather_condition", "is_holiday",
+        "rolling_mean_7", "rolling_std_7", "rolling_min_7", "rolling_max_7", "price_std_7", "weather_streak",
+        "rainy_days_last_7", "holidays_last_7", "rainy_pct_last_7", "sunny_pct_last_7", "cloudy_pct_last_7",
+        "days_since_holiday", "days_until_holiday", "price_change", "holiday_proximity")
+
+
 @register("category_hybrid_features",
-          covers=("M19", "W3", "W6", "W7", "W8", "W9", "W10", "W11", "W12", "W13"), sql=HYBRID_SQL)
+          covers=("W3", "W6", "W7", "W8", "W9", "W10", "W11", "W12", "W13"), sql=HYBRID_SQL)
 def category_hybrid_features(spark, sf_dir):
     return _round(hybrid_features(Marketplace(spark, sf_dir)), H_COLS)
 
 
+HYBRID_WINDOWS = (7, 14)
+HYBRID_LAGS = (1, 2, 7, 14)
+HYBRID_TIME = ["month", "week_of_year", "day_of_month", "quarter", "day_of_week_num", "is_weekend"]
+_PER_WINDOW = ("rolling_mean_{0}", "rolling_std_{0}", "rolling_min_{0}", "rolling_max_{0}", "price_std_{0}",
+               "rainy_pct_last_{0}", "sunny_pct_last_{0}", "cloudy_pct_last_{0}")
+_COUNTS = ("rainy_days_last_{0}", "holidays_last_{0}")
+HYBRID_ROUNDED = [c.format(n) for n in HYBRID_WINDOWS for c in _PER_WINDOW] + ["holiday_proximity", "price_change"]
+# inputs of the hybrid model: all features but the price itself
+HYBRID_NUMS = [*HYBRID_TIME, "is_holiday", *[f"lag_{k}" for k in HYBRID_LAGS], *HYBRID_ROUNDED,
+               *[c.format(n) for n in HYBRID_WINDOWS for c in _COUNTS],
+               "weather_streak", "days_since_holiday", "days_until_holiday"]
+
+
+def _hybrid_set_sql():
+    def per_window(n):
+        full = ", ".join(f"CASE WHEN rn > {n} THEN {f}({c}) OVER p{n} END AS {name}_{n}" for f, c, name in (
+            ("AVG", "demand", "rolling_mean"), ("STDDEV_POP", "demand", "rolling_std"), ("MIN", "demand", "rolling_min"),
+            ("MAX", "demand", "rolling_max"), ("STDDEV_POP", "price_mean", "price_std")))
+        shares = ", ".join(f"AVG(CASE WHEN weather_condition = '{c}' THEN 1.0 ELSE 0.0 END) OVER c{n} AS {c.lower()}_pct_last_{n}"
+                           for c in ("Rainy", "Sunny", "Cloudy"))
+        return (f"{full}, {shares}, COUNT(*) FILTER (WHERE weather_condition = 'Rainy') OVER c{n} AS rainy_days_last_{n}, "
+                f"SUM(is_holiday) OVER c{n} AS holidays_last_{n}")
+
+    frames = ", ".join(f"p{n} AS (PARTITION BY category ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), "
+                       f"c{n} AS (PARTITION BY category ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+                       for n in HYBRID_WINDOWS)
+    lags = ", ".join(f"LAG(demand, {k}) OVER w AS lag_{k}" for k in HYBRID_LAGS)
+    near = " , ".join(f"CASE WHEN days_{d}_holiday <= 3 THEN 1 - days_{d}_holiday / 4.0 ELSE 0.0 END" for d in ("since", "until"))
+    return series.GRID_SQL + f"""
+, g AS (
+    SELECT *, ROW_NUMBER() OVER w AS rn,
+           ROW_NUMBER() OVER w - ROW_NUMBER() OVER (PARTITION BY category, weather_condition ORDER BY date) AS isl
+    FROM grid WINDOW w AS (PARTITION BY category ORDER BY date))
+, h AS (
+    SELECT *, {lags}, {", ".join(map(per_window, HYBRID_WINDOWS))},
+           ROW_NUMBER() OVER (PARTITION BY category, weather_condition, isl ORDER BY date) AS weather_streak,
+           COALESCE(rn - MAX(CASE WHEN is_holiday = 1 THEN rn END) OVER (PARTITION BY category ORDER BY date
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 999) AS days_since_holiday,
+           COALESCE(MIN(CASE WHEN is_holiday = 1 THEN rn END) OVER (PARTITION BY category ORDER BY date
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn, 999) AS days_until_holiday,
+           COALESCE(price_mean - LAG(price_mean) OVER w, 0.0) AS price_change
+    FROM g WINDOW w AS (PARTITION BY category ORDER BY date), {frames})
+, f AS (SELECT *, GREATEST({near}) AS holiday_proximity FROM h)
+SELECT category, date, demand, price_mean, weather_condition,
+       CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week_of_year,
+       CAST(day(date) AS INTEGER) AS day_of_month, CAST(quarter(date) AS INTEGER) AS quarter,
+       CAST(isodow(date) - 1 AS INTEGER) AS day_of_week_num, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
+       {", ".join(rnd(c, 6) + " AS " + c if c in HYBRID_ROUNDED else c for c in HYBRID_NUMS if c not in HYBRID_TIME)}
+FROM f
+WHERE rn > {max(HYBRID_LAGS)}
+"""
+
+
+HYBRID_SET_SQL = _hybrid_set_sql()
+
+
+def hybrid_feature_set(g):
+    """M19 whole on the category grid ``g``: time features (F11), lags 1, 2, 7
+    and 14 (W1), every window feature over 7 and 14 rows; rows without all lags
+    are dropped (W18: the first 14 of a category). The price against the
+    category's mean (W14) is per order line, see price_vs_category_mean."""
+    out = fe.time_features(hybrid_windows(g, HYBRID_WINDOWS, HYBRID_LAGS))
+    out = out.na.drop(subset=[f"lag_{k}" for k in HYBRID_LAGS])
+    return out.select("category", "date", "demand", "price_mean", "weather_condition", *HYBRID_NUMS)
+
+
+@register("category_hybrid_feature_set",
+          covers=("M19", "F11", "W1", "W3", "W6", "W7", "W8", "W9", "W10", "W11", "W12", "W13", "W18"),
+          sql=HYBRID_SET_SQL)
+def category_hybrid_feature_set(spark, sf_dir):
+    return _round(hybrid_feature_set(series.category_grid(Marketplace(spark, sf_dir))), HYBRID_ROUNDED)
+
+
 PRICE_RATIO_SQL = with_views("b_demand") + f"""
 SELECT order_id, line_no, product_id, supplier_id, date, category, price,
        {rnd('price / AVG(price) OVER (PARTITION BY date, category) - 1', 6)} AS price_vs_cat_avg

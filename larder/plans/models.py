@@ -12,7 +12,7 @@ from larder.operators import evaluation as ev
 from larder.operators import features as fe
 from larder.operators import models as md
 from larder.plans import series
-from larder.plans.features import product_features
+from larder.plans.features import HYBRID_NUMS, hybrid_feature_set, product_features
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
 from larder.session import checkpoint_dir
@@ -206,26 +206,31 @@ def stacked_model_metrics(spark, sf_dir):
     return out
 
 
+SEASONAL_PARTS = ["trend", "weekly", "yearly"]
+
+
+def hybrid_model_rows(mk: Marketplace):
+    """Rows of the hybrid model (the M19 feature set with the seasonal
+    forecast and its parts) and the first test date."""
+    g, cut = _grid_split(mk)
+    seas = md.seasonal_regression(g.where(F.col("date") < cut), g, "category", "demand")
+    seas = seas.select("category", "date", F.col("predicted").alias("seasonal"), *SEASONAL_PARTS)
+    return hybrid_feature_set(g).join(seas, ["category", "date"]), cut
+
+
 @register("hybrid_forecast_metrics", covers=("M13", "J7", "J8"))
 def hybrid_forecast_metrics(spark, sf_dir):
     """M13 on the category grid: the seasonal regression (fitted on train
     dates only, unlike the reference which fits on all dates) predicts every
-    date; its forecast joins the series on known dates (inner merge) and,
-    with lags and a rolling mean, feeds a boosted model. Test metrics for the
-    seasonal model alone and the hybrid."""
+    date; its forecast joins the series on known dates and, with the whole
+    M19 feature set, feeds a boosted model. Test metrics for the seasonal model
+    alone and the hybrid."""
     mk = Marketplace(spark, sf_dir)
-    g, cut = _grid_split(mk)
-    seas = md.seasonal_regression(g.where(F.col("date") < cut), g, "category", "demand")
-    w = fe.series_window("category", "date")
-    parts = ["trend", "weekly", "yearly"]
-    x = (g.join(seas.select("category", "date", F.col("predicted").alias("seasonal"), *parts), ["category", "date"])
-         .select("category", "date", "demand", "is_holiday", "seasonal", *parts,
-                 *fe.lag_features("demand", [1, 7], w), *fe.rolling_features("demand", [7], w)))
+    x, cut = hybrid_model_rows(mk)
     x = _materialise(x)
-    num = ["seasonal", *parts, "lag_1", "lag_7", "rolling_mean_7", "is_holiday"]
-    train = x.where(F.col("date") < cut).na.drop(subset=num)
-    test = x.where(F.col("date") >= cut)
-    m = md.regression_pipeline(["category"], num, "demand", "gbt", maxIter=20, maxDepth=4).fit(train)
+    num = ["seasonal", *SEASONAL_PARTS, *HYBRID_NUMS]
+    train, test = x.where(F.col("date") < cut), x.where(F.col("date") >= cut)
+    m = md.regression_pipeline(["category", "weather_condition"], num, "demand", "gbt", maxIter=20, maxDepth=4).fit(train)
     p = m.transform(test)
     out = None
     for name, col in [("seasonal", "seasonal"), ("hybrid", "pred_demand")]:
