@@ -99,17 +99,24 @@ def _product_split(mk):
     return pf.where(F.col("split") == "train"), pf.where(F.col("split") == "test")
 
 
+def _boosted(rounds: int, depth: int, rate: float, min_rows: int = 1) -> dict:
+    """Parameters of a boosted model; the reference draws 0.8 of the rows and
+    of the columns everywhere."""
+    return dict(maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_rows, subsamplingRate=0.8,
+                featureSubsetStrategy="0.8")
+
+
 NUMS = ["month", "week_of_year", "day_of_month", "is_weekend", "lag_1", "lag_7", "lag_14",
         "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "price_mean", "price_change"]
 
 
 @register("ml_model_comparison", covers=("M3", "M4", "M10", "M16", "A26"))
-def ml_model_comparison(spark, sf_dir):
+def ml_model_comparison(spark, sf_dir, rounds=200, depth=4):
     mk = Marketplace(spark, sf_dir)
     train, test = _product_split(mk)
     out = None
     for name, kind, params in [("linear", "linear", {}),
-                               ("boosted", "gbt", {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1})]:
+                               ("boosted", "gbt", _boosted(rounds, depth, 0.1))]:
         m = md.regression_pipeline(["category"], NUMS, "quantity_sold", kind, **params).fit(train)
         p = m.transform(test).select(F.col("quantity_sold").alias("actual"),
                                      F.col("pred_quantity_sold").alias("predicted"))
@@ -119,10 +126,11 @@ def ml_model_comparison(spark, sf_dir):
 
 
 @register("gbt_feature_importance", covers=("M15", "L7", "M4"))
-def gbt_feature_importance(spark, sf_dir):
+def gbt_feature_importance(spark, sf_dir, rounds=500, depth=5):
     mk = Marketplace(spark, sf_dir)
     train, _ = _product_split(mk)
-    m = md.regression_pipeline(["category"], NUMS, "quantity_sold", "gbt", maxIter=20, maxDepth=4).fit(train)
+    m = md.regression_pipeline(["category"], NUMS, "quantity_sold", "gbt",
+                               **_boosted(rounds, depth, 0.05, 3)).fit(train)
     return md.feature_importances(m, train).orderBy(F.desc("importance"), "feature")
 
 
@@ -160,26 +168,44 @@ def recursive_forecast(spark, sf_dir):
     return by_cat.select("category", "date", "step", "quantity_sold", horizons.alias("horizon"))
 
 
-@register("tuned_linear_cv", covers=("M6", "W21"))
-def tuned_linear_cv(spark, sf_dir):
+def _search(spark, sf_dir, estimator, grid, draws):
+    """Cross-validated RMSE of ``draws`` parameter maps of ``grid``."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.regression import LinearRegression
-    mk = Marketplace(spark, sf_dir)
-    train, _ = _product_split(mk)
+    train, _ = _product_split(Marketplace(spark, sf_dir))
     # encode once; the cross validation refits only the estimator
     feats = md.feature_stages(["category"], NUMS).fit(train)
     train = _materialise(feats.transform(train).select("product_id", "date", "quantity_sold", "features"))
-    lr = LinearRegression(featuresCol="features", labelCol="quantity_sold", predictionCol="pred_quantity_sold")
-    cvm = md.tune(train, Pipeline(stages=[lr]), lr, {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
-                  draws=4, folds=3, label="quantity_sold")
+    cvm = md.tune(train, Pipeline(stages=[estimator]), estimator, grid, draws=draws, folds=3, label="quantity_sold")
     rows = [(str({p.name: v for p, v in pm.items()}), float(m)) for pm, m in zip(cvm.getEstimatorParamMaps(),
                                                                                cvm.avgMetrics)]
     return spark.createDataFrame(rows, "params string, cv_rmse double")
 
 
+_SEARCHED = dict(featuresCol="features", labelCol="quantity_sold", predictionCol="pred_quantity_sold")
+LINEAR_GRID = {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}
+# the reference's search space; its L1 and L2 terms have no counterpart
+BOOSTED_GRID = {"maxIter": [100, 200, 300, 500], "maxDepth": [3, 4, 6, 8, 10], "stepSize": [0.01, 0.05, 0.1, 0.2],
+                "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "all"],
+                "minInstancesPerNode": [1, 3, 5]}
+
+
+@register("tuned_linear_cv", covers=("W21",))
+def tuned_linear_cv(spark, sf_dir, draws=30):
+    """Every map of the linear grid (it has fewer than ``draws``)."""
+    from pyspark.ml.regression import LinearRegression
+    return _search(spark, sf_dir, LinearRegression(**_SEARCHED), LINEAR_GRID, draws)
+
+
+@register("tuned_boosted_cv", covers=("M6",))
+def tuned_boosted_cv(spark, sf_dir, draws=30, grid=None):
+    """M6: 30 draws of the reference's boosted search space, 3 folds."""
+    from pyspark.ml.regression import GBTRegressor
+    return _search(spark, sf_dir, GBTRegressor(seed=42, **_SEARCHED), grid or BOOSTED_GRID, draws)
+
+
 @register("stacked_model_metrics", covers=("M9", "M16", "A26"))
-def stacked_model_metrics(spark, sf_dir):
-    """M9 on product-day features: linear, ridge and small boosted base
+def stacked_model_metrics(spark, sf_dir, rounds=200, depth=4):
+    """M9 on product-day features: linear, ridge and boosted base
     models, out-of-fold over 5 hash folds, ridge meta model; test metrics
     for every base model and the stack."""
     from pyspark.ml import Pipeline
@@ -195,7 +221,7 @@ def stacked_model_metrics(spark, sf_dir):
     bases = {
         "linear": Pipeline(stages=[LinearRegression(predictionCol="p_linear", **lbl)]),
         "ridge": Pipeline(stages=[LinearRegression(predictionCol="p_ridge", regParam=1.0, **lbl)]),
-        "boosted": Pipeline(stages=[GBTRegressor(predictionCol="p_boosted", maxIter=5, maxDepth=3, seed=42, **lbl)]),
+        "boosted": Pipeline(stages=[GBTRegressor(predictionCol="p_boosted", seed=42, **_boosted(rounds, depth, 0.1), **lbl)]),
     }
     p = md.stack(train, test, bases, "quantity_sold", folds=5)
     out = None
@@ -219,7 +245,7 @@ def hybrid_model_rows(mk: Marketplace):
 
 
 @register("hybrid_forecast_metrics", covers=("M13", "J7", "J8"))
-def hybrid_forecast_metrics(spark, sf_dir):
+def hybrid_forecast_metrics(spark, sf_dir, rounds=300, depth=5):
     """M13 on the category grid: the seasonal regression (fitted on train
     dates only, unlike the reference which fits on all dates) predicts every
     date; its forecast joins the series on known dates and, with the whole
@@ -230,7 +256,8 @@ def hybrid_forecast_metrics(spark, sf_dir):
     x = _materialise(x)
     num = ["seasonal", *SEASONAL_PARTS, *HYBRID_NUMS]
     train, test = x.where(F.col("date") < cut), x.where(F.col("date") >= cut)
-    m = md.regression_pipeline(["category", "weather_condition"], num, "demand", "gbt", maxIter=20, maxDepth=4).fit(train)
+    m = md.regression_pipeline(["category", "weather_condition"], num, "demand", "gbt",
+                               **_boosted(rounds, depth, 0.05, 3)).fit(train)
     p = m.transform(test)
     out = None
     for name, col in [("seasonal", "seasonal"), ("hybrid", "pred_demand")]:
@@ -241,7 +268,7 @@ def hybrid_forecast_metrics(spark, sf_dir):
 
 
 @register("target_specific_predictions", covers=("M7", "M5", "S10"))
-def target_specific_predictions(spark, sf_dir):
+def target_specific_predictions(spark, sf_dir, rounds=200, depth=4):
     """M7: a boosted model for quantity and a linear model for price, each
     its own pipeline on the same normalised requests; predictions side by
     side for the held-out fold."""
@@ -252,7 +279,7 @@ def target_specific_predictions(spark, sf_dir):
     train, test = folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0)
     models = {
         "quantity_sold": md.regression_pipeline(CAT_COLS, ["is_holiday"], "quantity_sold", "gbt",
-                                                maxIter=20, maxDepth=4).fit(train),
+                                                **_boosted(rounds, depth, 0.1)).fit(train),
         "price": md.regression_pipeline(CAT_COLS, ["is_holiday"], "price", "linear").fit(train),
     }
     return md.predict_all(models, test, ["request_id", "quantity_sold", "price"])

@@ -1,12 +1,14 @@
 """Findings of the second review: the whole job of each query."""
 
 import datetime
+import inspect
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from larder.plans import features as pf
 from larder.plans import models as pm
+from larder.plans import registry
 from larder.sources.binding import Marketplace
 from tests.conftest import SMALL
 
@@ -42,3 +44,21 @@ def test_hybrid_model_gets_the_whole_feature_set(spark):
     assert {"lag_2", "lag_14", "rolling_max_14", "price_std_14", "rainy_pct_last_14", "holidays_last_14", "seasonal",
             "yearly"} <= set(x.columns)
     assert x.where(F.col("lag_14").isNull()).isEmpty() and cut is not None
+
+
+def test_registered_training_uses_the_references_rounds_and_draws():
+    want = {"ml_model_comparison": (200, 4), "target_specific_predictions": (200, 4), "stacked_model_metrics": (200, 4),
+            "gbt_feature_importance": (500, 5), "hybrid_forecast_metrics": (300, 5)}
+    for name, (rounds, depth) in want.items():
+        p = inspect.signature(registry.QUERIES[name]).parameters
+        assert (p["rounds"].default, p["depth"].default) == (rounds, depth)
+    for name in ("tuned_linear_cv", "tuned_boosted_cv"):
+        assert inspect.signature(registry.QUERIES[name]).parameters["draws"].default == 30
+    assert {500, 100} <= set(pm.BOOSTED_GRID["maxIter"]) and max(pm.BOOSTED_GRID["maxDepth"]) == 10
+
+
+def test_search_draws_boosted_maps_and_all_linear_ones(spark):
+    grid = pm.BOOSTED_GRID | {"maxIter": [1, 2], "maxDepth": [2]}
+    got = [r.params for r in pm.tuned_boosted_cv(spark, SMALL, draws=2, grid=grid).collect()]
+    assert len(set(got)) == 2 and all("maxIter" in p and "subsamplingRate" in p for p in got)
+    assert pm.tuned_linear_cv(spark, SMALL).count() == 6
