@@ -240,8 +240,10 @@ def hybrid_model_rows(mk: Marketplace):
     forecast and its parts) and the first test date."""
     g, cut = _grid_split(mk)
     seas = md.seasonal_regression(g.where(F.col("date") < cut), g, "category", "demand")
-    seas = seas.select("category", "date", F.col("predicted").alias("seasonal"), *SEASONAL_PARTS)
-    return hybrid_feature_set(g).join(seas, ["category", "date"]), cut
+    seas = seas.select(F.col("category").alias("_category"), F.col("date").alias("_date"),
+                       F.col("predicted").alias("seasonal"), *SEASONAL_PARTS)
+    same = F.col("category").eqNullSafe(F.col("_category")) & (F.col("date") == F.col("_date"))
+    return hybrid_feature_set(g).join(seas, same).drop("_category", "_date"), cut
 
 
 @register("hybrid_forecast_metrics", covers=("M13", "J7", "J8"))

@@ -6,6 +6,7 @@ import inspect
 import numpy as np
 from pyspark.sql import functions as F
 
+from larder.operators import models as md
 from larder.plans import features as pf
 from larder.plans import models as pm
 from larder.plans import registry
@@ -62,3 +63,40 @@ def test_search_draws_boosted_maps_and_all_linear_ones(spark):
     got = [r.params for r in pm.tuned_boosted_cv(spark, SMALL, draws=2, grid=grid).collect()]
     assert len(set(got)) == 2 and all("maxIter" in p and "subsamplingRate" in p for p in got)
     assert pm.tuned_linear_cv(spark, SMALL).count() == 6
+
+
+def _late_grid(spark):
+    """Two early series, one without a key, and one that starts after the cut (day 60)."""
+    rows = [(k, DAY + datetime.timedelta(days=i), float(i % 7 + 10), 5.0, "Sunny", int(i % 10 == 0))
+            for k, first in (("early", 0), (None, 0), ("late", 70)) for i in range(first, 100)]
+    return spark.createDataFrame(rows, "category string, date date, demand double, price_mean double, "
+                                       "weather_condition string, is_holiday int"), DAY + datetime.timedelta(days=60)
+
+
+def test_seasonal_regression_keeps_late_and_null_series(spark):
+    g, cut = _late_grid(spark)
+    out = md.seasonal_regression(g.where(F.col("date") < F.lit(cut)), g.where(F.col("date") >= F.lit(cut)), "category", "demand")
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.category, []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {"early": 40, None: 40, "late": 30}
+    assert all((r.predicted, r.trend, r.holiday, r.lower) == (0.0, 0.0, 0.0, None) for r in by["late"])
+    early = {r.date: r.predicted for r in by["early"]}
+    assert all(r.predicted is not None and abs(r.predicted - early[r.date]) < 1e-6 for r in by[None])
+
+
+def test_seasonal_regression_keeps_large_whole_keys_beside_a_null(spark):
+    big = 2**53 + 1
+    rows = [(k, DAY + datetime.timedelta(days=i), 4.0, 0) for k in (big, None) for i in range(40)]
+    g = spark.createDataFrame(rows, "k long, date date, v double, is_holiday int")
+    out = md.seasonal_regression(g, g, "k", "v").collect()
+    assert len(out) == 80 and {r.k for r in out} == {big, None} and all(abs(r.predicted - 4) < 1e-3 for r in out)
+
+
+def test_hybrid_model_rows_keep_late_and_null_series(spark, monkeypatch):
+    g, cut = _late_grid(spark)
+    monkeypatch.setattr(pm, "_grid_split", lambda mk: (g, F.lit(cut)))
+    x, _ = pm.hybrid_model_rows(None)
+    got = {r.category: (r["count"], r.n) for r in x.groupBy("category").agg(
+        F.count("*").alias("count"), F.count("seasonal").alias("n")).collect()}
+    assert got == {"early": (86, 86), None: (86, 86), "late": (16, 16)}
