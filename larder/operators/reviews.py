@@ -97,3 +97,15 @@ def latest_per_key(df: DataFrame, key: str, order_cols: list, n: int) -> DataFra
 def recent_notifications(notifications: DataFrame, n: int = 5) -> DataFrame:
     return latest_per_key(notifications, "user_id",
                           [F.desc("created_at"), F.desc("notification_id")], n)
+
+
+def public_reviews(reviews: DataFrame, page: int = 1, limit: int = 10) -> DataFrame:
+    """L1: a page of the approved platform reviews, featured ones first, then
+    the newest (then the larger id), with its position and the total."""
+    r = platform_reviews(reviews)
+    total = r.select(F.count(F.lit(1))).scalar()
+    order = [F.desc("featured"), F.desc("created_at"), F.desc("review_id")]
+    rows = r.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    w = Window.orderBy(*order)  # over the rows of one page
+    return rows.select("review_id", "user_name", "rating", "featured", "created_at",
+                       (F.row_number().over(w) + (page - 1) * limit).alias("position"), total.alias("total"))

@@ -83,7 +83,7 @@ def catalogue_unapproved_supplier(spark, sf_dir):
 PAGE_SQL = BUYER_SQL + "ORDER BY p.product_id DESC LIMIT 20 OFFSET 20\n"
 
 
-@register("catalogue_page", covers=("L2", "L1"), sql=PAGE_SQL)
+@register("catalogue_page", covers=("L2",), sql=PAGE_SQL)
 def catalogue_page(spark, sf_dir):
     return cat.page(_visible(spark, sf_dir, role="buyer"), [F.desc("product_id")], 2, 20, cat.MAX_PAGE_SIZE)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.columns import round_half_up
 from larder.operators import evaluation as ev
+from larder.operators import features as fe
 from larder.plans import series
 from larder.plans.registry import register
 from larder.plans.sqlfrag import rnd
@@ -108,13 +109,53 @@ FROM preds GROUP BY model, date
 """
 
 
-@register("forecast_daily_totals", covers=("A25", "M17", "A24"), sql=TOTALS_SQL)
+@register("forecast_daily_totals", covers=("A25", "A24"), sql=TOTALS_SQL)
 def forecast_daily_totals(spark, sf_dir):
     p = series.predictions(Marketplace(spark, sf_dir))
     t = p.groupBy("model", "date").agg(F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted"))
     return _r6(t, ["predicted"])
 
 
+ROLL_UP_SQL = series.PRODUCT_DAY_SQL + f"""
+, dates AS (SELECT DISTINCT date FROM pd)
+, cut AS (
+    SELECT date AS cut_date FROM (
+        SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS k FROM dates) t
+    WHERE i = CAST(floor(k * 0.8) AS BIGINT))
+, pp AS (
+    SELECT category, date, quantity_sold AS actual,
+           COALESCE(AVG(quantity_sold) OVER (PARTITION BY product_id ORDER BY date
+                                             ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0.0) AS moving_average,
+           COALESCE(LAG(quantity_sold, 1) OVER (PARTITION BY product_id ORDER BY date), 0.0) AS last_value,
+           COALESCE(LAG(quantity_sold, 7) OVER (PARTITION BY product_id ORDER BY date), 0.0) AS seasonal_naive
+    FROM pd)
+, u AS (
+    SELECT 'moving_average' AS model, category, date, actual, moving_average AS predicted FROM pp
+    UNION ALL SELECT 'last_value', category, date, actual, last_value FROM pp
+    UNION ALL SELECT 'seasonal_naive', category, date, actual, seasonal_naive FROM pp)
+SELECT model, category, date, SUM(actual) AS actual, {rnd('SUM(predicted)', 6)} AS predicted, COUNT(*) AS products
+FROM u, cut WHERE date >= cut_date GROUP BY model, category, date
+"""
+
+
+@register("product_forecast_rollup", covers=("M17", "J14"), sql=ROLL_UP_SQL)
+def product_forecast_rollup(spark, sf_dir):
+    """Product-level baseline predictions of the test dates summed per category
+    and date."""
+    pd_ = series.product_day(Marketplace(spark, sf_dir))
+    p = pd_.select("product_id", "date", F.col("quantity_sold").alias("actual"))
+    parts = {"moving_average": ev.moving_average_forecast(p, "product_id", ["date"], "actual", 7),
+             "last_value": ev.naive_forecast(p, "product_id", ["date"], "actual", 1),
+             "seasonal_naive": ev.naive_forecast(p, "product_id", ["date"], "actual", 7)}
+    test = fe.split_by_date_position(pd_.select("date").distinct(), 0.8).where(F.col("split") == "test")
+    cut = test.select(F.min("date")).scalar()
+    out = None
+    for name, part in parts.items():
+        part = part.where(F.col("date") >= cut).select(F.lit(name).alias("model"), "product_id", "date", "actual", "predicted")
+        out = part if out is None else out.unionByName(part)
+    return _r6(ev.roll_up(out, pd_), ["predicted"])
+
+
 BLEND_SQL = series.PREDICTIONS_SQL + f"""
 , pair AS (
     SELECT a.actual, a.predicted AS p1, b.predicted AS p2

@@ -8,15 +8,17 @@ last bit.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from larder.functions.columns import round_half_up
 from larder.operators import features as fe
+from larder.operators import models as md
 from larder.plans import series
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
 from larder.plans.sqlfrag import rnd
-from larder.sources.binding import Marketplace
+from larder.sources.binding import Marketplace, holiday_of, weather_of
 
 R6 = ["rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", "price_change"]
 
@@ -66,12 +68,56 @@ def product_features(mk: Marketplace):
                                "rolling_std_7"])
 
 
-@register("product_daily_features", covers=("M20", "M18", "F11", "W1", "W2", "W13", "W18", "A23"),
+@register("product_daily_features", covers=("F11", "W1", "W2", "W13", "W18", "A23"),
           sql=PRODUCT_FEATURES_SQL)
 def product_daily_features(spark, sf_dir):
     return _round(product_features(Marketplace(spark, sf_dir)), R6)
 
 
+STUDY_LAGS, STUDY_WINDOWS = (1, 2, 3, 7, 14, 30), (7, 14, 30)
+
+
+def study_features(pd_):
+    """M18 on product-days: time, lags and rolling features of the study, price
+    change, weather and holiday of the day; rows without any of them dropped."""
+    w = fe.series_window("product_id", "date")
+    out = fe.time_features(pd_).select(
+        "product_id", "category", "date", "quantity_sold", "price_mean", "month", "quarter", "day_of_week_num",
+        "is_weekend", weather_of(F.col("date")).alias("weather_condition"), holiday_of(F.col("date")).alias("is_holiday"),
+        *fe.lag_features("quantity_sold", STUDY_LAGS, w), *fe.rolling_features("quantity_sold", STUDY_WINDOWS, w, std="samp"),
+        fe.first_difference("price_mean", w).alias("price_change"))
+    made = [f"lag_{k}" for k in STUDY_LAGS] + [f"rolling_{s}_{n}" for s in ("mean", "std") for n in STUDY_WINDOWS]
+    return out.na.drop(subset=made)
+
+
+def encoded(df, cols):
+    """``df`` with ``cols`` replaced by one-hot vectors ``<col>_vec`` (M1): one
+    place for each level of the train rows, all zeros for a level they do not
+    have; ``<col>_column`` names the place that is set (``col_level``). A sparse
+    vector holds any number of levels."""
+    df = fe.split_by_date_position(df, 0.8)
+    stages, vecs = md.one_hot_stages(cols)
+    m = Pipeline(stages=stages).fit(df.where(F.col("split") == "train"))
+    out = m.transform(df)
+    names = []
+    for c, fitted in zip(cols, m.stages[::2], strict=True):
+        place = F.col(f"{c}_idx").cast("int")
+        names.append(F.when(place < len(fitted.labels), F.concat(F.lit(f"{c}_"), F.col(c))).alias(f"{c}_column"))
+    return out.select(*[x for x in df.columns if x not in cols], *vecs, *names)
+
+
+@register("product_features_encoded", covers=("M20", "M1"))
+def product_features_encoded(spark, sf_dir):
+    """M20 with the category one-hot."""
+    return encoded(product_features(Marketplace(spark, sf_dir)), ["category"])
+
+
+@register("study_features_encoded", covers=("M18", "M1"))
+def study_features_encoded(spark, sf_dir):
+    """M18 with category and weather one-hot."""
+    return encoded(study_features(series.product_day(Marketplace(spark, sf_dir))), ["category", "weather_condition"])
+
+
 GRID_SQL = series.GRID_SQL + """
 SELECT category, date, demand, orders_count, price_mean, weather_condition, is_holiday FROM grid
 """

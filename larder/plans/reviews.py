@@ -96,6 +96,20 @@ def platform_review_summary(spark, sf_dir):
     return op.platform_review_summary(Marketplace(spark, sf_dir).reviews, 3)
 
 
+PUBLIC_SQL = with_views("b_reviews") + f"""
+, r AS (
+    SELECT review_id, user_name, rating, featured, created_at,
+           ROW_NUMBER() OVER (ORDER BY featured DESC, created_at DESC, review_id DESC) AS position, COUNT(*) OVER () AS total
+    {_PLATFORM})
+SELECT * FROM r WHERE position <= 10
+"""
+
+
+@register("public_reviews", covers=("L1",), sql=PUBLIC_SQL)
+def public_reviews(spark, sf_dir):
+    return op.public_reviews(Marketplace(spark, sf_dir).reviews)
+
+
 UNREAD_SQL = with_views("b_notifications") + """
 SELECT user_id, COUNT(*) FILTER (WHERE NOT read) AS unread_count FROM b_notifications GROUP BY user_id
 """

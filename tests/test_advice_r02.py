@@ -6,7 +6,9 @@ import inspect
 import numpy as np
 from pyspark.sql import functions as F
 
+from larder.operators import evaluation as ev
 from larder.operators import models as md
+from larder.operators import reviews as rv
 from larder.plans import features as pf
 from larder.plans import models as pm
 from larder.plans import registry
@@ -100,3 +102,32 @@ def test_hybrid_model_rows_keep_late_and_null_series(spark, monkeypatch):
     got = {r.category: (r["count"], r.n) for r in x.groupBy("category").agg(
         F.count("*").alias("count"), F.count("seasonal").alias("n")).collect()}
     assert got == {"early": (86, 86), None: (86, 86), "late": (16, 16)}
+
+
+def test_product_predictions_roll_up_to_category_days(spark):
+    p = spark.createDataFrame([("m", 1, DAY, 5.0, 4.0), ("m", 2, DAY, 7.0, 1.0), ("m", 3, DAY, 1.0, 1.0), ("m", 9, DAY, 2.0, 3.0)],
+                              "model string, product_id long, date date, actual double, predicted double")
+    cats = spark.createDataFrame([(1, DAY, "a"), (2, DAY, "a"), (2, DAY, "a"), (3, DAY, "b")], "product_id long, date date, category string")
+    got = {r.category: (r.actual, r.predicted, r.products) for r in ev.roll_up(p, cats).collect()}
+    assert got == {"a": (12.0, 5.0, 2), "b": (1.0, 1.0, 1), None: (2.0, 3.0, 1)}
+
+
+def test_encoded_columns_of_more_levels_than_any_cap(spark):
+    rows = [(f"c{i:05d}" if d < 8 else "new" if i else None, DAY + datetime.timedelta(days=d)) for d in range(10) for i in range(1500)]
+    df = spark.createDataFrame(rows, "category string, date date")
+    out = pf.encoded(df, ["category"]).groupBy("split", "category_column").agg(F.first("category_vec").alias("v")).collect()
+    train = {r.category_column: r.v for r in out if r.split == "train"}
+    assert len(train) == 1500 and all(v.size == 1500 and v.values.tolist() == [1.0] for v in train.values())
+    assert len({int(v.indices[0]) for v in train.values()}) == 1500 and "category_c00007" in train
+    assert [(r.category_column, r.v.numNonzeros()) for r in out if r.split == "test"] == [(None, 0)]
+
+
+def test_public_reviews_are_featured_first_then_newest(spark):
+    rows = [(i, "u", 5, "approved", i % 4 == 0, datetime.datetime(2024, 1, 1 + i % 9), None) for i in range(1, 30)]
+    rows += [(90, "u", 5, "pending", True, datetime.datetime(2025, 1, 1), None), (91, "u", 5, "approved", True, datetime.datetime(2025, 1, 1), 3)]
+    df = spark.createDataFrame(rows, "review_id long, user_name string, rating int, status string, featured boolean, "
+                                     "created_at timestamp, product_id long")
+    want = [r[0] for r in sorted(rows[:29], key=lambda r: (r[4], r[5], r[0]), reverse=True)]
+    for page in (1, 3):
+        got = sorted(rv.public_reviews(df, page, 10).collect(), key=lambda r: r.position)
+        assert [r.review_id for r in got] == want[page * 10 - 10:page * 10] and {r.total for r in got} == {29}
