@@ -104,15 +104,28 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A document without words costs nothing and stays once. Rows come range
     sorted by virtual finish time of their first copy; the copies of a row
-    follow each other's epochs in the schedule, not in the file.
+    follow each other's epochs in the schedule, not in the file. Rows equal in
+    doc_id, text and source share the copies that the schedule gives their group:
+    where the budget cuts a group, its first rows get more than the others.
     """
-    s = schedule(_sizes(docs), **options).select(
-        F.col("_id").alias("_sid"), F.col("_rk").alias("_srk"), "finish",
-        F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies"))
-    s = s.where("_copies > 0").dropDuplicates(["_sid", "_srk"])
+    epochs = options.get("max_epochs", 2)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    least = [F.count_if(copies >= e) for e in range(1, epochs + 1)]
+    groups = schedule(_sizes(docs), **options).groupBy(
+        F.col("_id").alias("_sid"), F.col("_rk").alias("_srk"), F.col("source").alias("_ssource")).agg(
+        F.min("finish").alias("finish"), F.count(F.lit(1)).alias("_n"), F.array(*least).alias("_least"))
+    groups = stage(groups.where("_least[0] > 0"), "mix-groups")
     own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_mid"),
-                      F.xxhash64("doc_id", "text").alias("_mrk"))
-    kept = own.join(s, F.col("_mid").eqNullSafe(F.col("_sid")) & (F.col("_mrk") == F.col("_srk")))
+                      F.xxhash64("doc_id", "text").alias("_mrk"), F.col("source").alias("_msource"))
+    same = (F.col("_mid").eqNullSafe(F.col("_sid")) & (F.col("_mrk") == F.col("_srk"))
+            & F.col("_msource").eqNullSafe(F.col("_ssource")))
+    split = F.exists("_least", lambda x: (x > 0) & (x < F.col("_n")))
+    even = own.join(groups.where(~split), same).withColumn("_place", F.lit(1).cast("long"))
+    # a source's queue has one place at the cut for each epoch, so few groups are split by it
+    among = Window.partitionBy("_mid", "_mrk", "_msource").orderBy(F.xxhash64(F.to_json("_row")))
+    cut = own.join(F.broadcast(groups.where(split)), same).withColumn("_place", F.row_number().over(among).cast("long"))
+    taken = F.size(F.filter("_least", lambda x: x >= F.col("_place")))
+    kept = even.unionByName(cut).withColumn("_copies", taken).where("_copies > 0")
     return (kept.repartitionByRange(F.col("finish"), F.col("_mid")).sortWithinPartitions("finish", "_mid")
             .withColumn("_epoch", F.explode(F.expr("sequence(1, _copies)"))).select("_row.*"))
 
