@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, jaccard, mixing, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
+from larder.llm import decontam, jaccard, mixing, quality, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
@@ -47,6 +47,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(documents_of(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality.report(documents_of(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -58,6 +62,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE = {
