@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import decontam, jaccard, mixing, quality, repeats, secrets, token_counts, tokens, toxicity, urls, vectors
+from larder.llm import conversations, decontam, jaccard, mixing, quality, repeats, secrets, token_counts, tokens, toxicity, trie, urls, vectors
 from larder.llm.common import documents_of
 from larder.sources.tables import read_table
 
@@ -51,6 +51,14 @@ def op11_quality_rules(spark, sf_dir):
     return quality.report(documents_of(spark, sf_dir))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.report(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return trie.report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -63,6 +71,8 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
