@@ -437,3 +437,88 @@ def repair(conversations: DataFrame, piece_rows: int = PIECE_ROWS, fan: int = FA
 
 def report(conversations: DataFrame) -> DataFrame:
     return repair(conversations)
+
+
+# DuckDB has no crc32: its table comes from the polynomial, applied byte by byte. The
+# suffix search below walks rows from the last to the first with four (cost, audit) pairs.
+CRC_TABLE_SQL = """
+bits(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, beside ``tab``."""
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({text}) + 1), lambda i: "
+            f"CAST(ascii({text}[i]) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _offer(cost, letter: str, state: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a}}"
+
+
+def _step_sql() -> str:
+    """One row: deleting, keeping, re-roling; then up to two inserts before it."""
+    after = {"o": "u", "s": "u", "u": "a", "a": "u"}
+    rows, once, twice = [], [], []
+    for s, nxt in after.items():
+        offers = [_offer(2, "D", f"b.{s}")]
+        offers += [f"CASE WHEN r.fault IN ('-', 't') THEN {_offer('r.extra + 1', 'R', f'b.{nxt}')} END",
+                   f"CASE WHEN r.fault IN ('-', 't') AND r.initial = '{nxt}' THEN {_offer('r.extra', 'K', f'b.{nxt}')} END"]
+        if s == "o":
+            offers.append(f"CASE WHEN r.fault IN ('-', 't') AND r.initial = 's' THEN {_offer('r.extra', 'K', 'b.s')} END")
+        rows.append(f"list_min([{', '.join(offers)}]) AS {s}")
+        once.append(f"list_min([{s}, {_offer(5, 'I', nxt)}]) AS {s}")
+    twice = once
+    return (f"SELECT conv, i, {', '.join(twice)} FROM (SELECT conv, i, {', '.join(once)} FROM ("
+            f"SELECT r.conv, r.i, {', '.join(rows)} FROM best b JOIN faults r ON r.conv = b.conv AND r.i = b.i - 1))")
+
+
+SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+keyed AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT keyed.*, {crc_sql("k")} % 20 AS hit FROM keyed, tab),
+damaged AS (
+  SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM hit, (VALUES (0), (1)) AS c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(shown, 1) IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault FROM numbered),
+faults AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra,
+         left(lag(role) OVER (PARTITION BY conv ORDER BY i), 1) || left(role, 1) AS pair FROM judged),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv),
+best(conv, i, o, s, u, a) AS (
+  SELECT conv, n + 1, {{'c': 0, 'a': ''}}, {{'c': 10, 'a': 'II'}}, {{'c': 5, 'a': 'I'}}, {{'c': 0, 'a': ''}} FROM counts
+  UNION ALL
+  {_step_sql()}),
+answer AS (SELECT conv, o.c AS cost, o.a AS audit FROM best WHERE i = 1),
+letters AS (
+  SELECT conv, place_no, audit[place_no] AS letter, CAST(sum(CASE WHEN audit[place_no] = 'I' THEN 0 ELSE 1 END) OVER w AS BIGINT) AS i,
+         CAST(sum(CASE WHEN audit[place_no] = 'D' THEN 0 ELSE 1 END) OVER w AS BIGINT) AS place
+  FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS place_no FROM answer)
+  WINDOW w AS (PARTITION BY conv ORDER BY place_no ROWS UNBOUNDED PRECEDING)),
+kept AS (
+  SELECT l.conv, l.place_no, l.place, l.letter, r.role, r.text,
+         max(CASE WHEN l.place = 1 AND l.letter = 'K' AND left(r.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv) AS sys
+  FROM letters l LEFT JOIN faults r ON r.conv = l.conv AND r.i = l.i AND l.letter <> 'I' WHERE l.letter <> 'D'),
+lines AS (
+  SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                          || ':' || coalesce(text, ''), chr(10) ORDER BY place_no) AS body FROM kept GROUP BY conv)
+SELECT k.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+       coalesce(w.audit, '') AS audit, sha256(coalesce(l.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) k LEFT JOIN counts c USING (conv) LEFT JOIN answer w USING (conv)
+LEFT JOIN lines l USING (conv)
+"""

@@ -228,3 +228,49 @@ def report(docs: DataFrame) -> DataFrame:
     """One row per document: the counts, ``base_failed`` and ``kept``."""
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                "base_failed", "kept")
+
+
+def _sql() -> str:
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {s} * {a} // {b} AS v, {k} AS slack FROM counts WHERE n_words > 0"
+                                for m, (a, b, s, k, _) in METRICS.items())
+    levels = []
+    for tag, keys in (("s", "lang, source"), ("l", "lang"), ("a", "")):
+        by = f"{keys}, metric" if keys else "metric"
+        levels.append(f"""
+{tag}_run AS (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+  FROM (SELECT {by}, bin, sum(n) AS n FROM bins GROUP BY {by}, bin)),
+{tag}_q AS (SELECT {by}, max(total) AS n, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3
+  FROM {tag}_run GROUP BY {by})""")
+    pick = "CASE WHEN s.n >= {g} THEN s.{c} WHEN l.n >= {g} THEN l.{c} ELSE a.{c} END"
+    q1, q3 = (pick.format(g=LEAST_GROUP, c=c) for c in ("q1", "q3"))
+    lower = ", ".join(f"'{m}'" for m, v in METRICS.items() if v[4])
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+keyed AS (SELECT *, row_number() OVER () AS u FROM docs),
+runs AS (SELECT u, i, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT u, w, unnest(range(1, len(w) - 6)) AS i FROM keyed WHERE len(w) >= 8)),
+again AS (SELECT u, i FROM (SELECT u, i, count(*) OVER (PARTITION BY u, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT u, sum(least(8, coalesce(i - before, 8))) AS n
+  FROM (SELECT u, i, lag(i) OVER (PARTITION BY u ORDER BY i) AS before FROM again) GROUP BY u),
+counts AS (
+  SELECT k.u, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM keyed k LEFT JOIN covered c ON c.u = k.u),
+vals AS (SELECT x.*, c.u FROM ({values.replace("SELECT doc_id,", "SELECT u AS uu, doc_id,")}) x JOIN counts c ON c.u = x.uu),
+bins AS (SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - {KEPT_BITS}, 0)) AS BIGINT) AS bin, count(*) AS n
+  FROM vals GROUP BY ALL),{",".join(levels)},
+used AS (SELECT x.u, x.metric, x.v, x.slack, {q1} AS q1, {q3} AS q3
+  FROM vals x JOIN s_q s ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source AND s.metric = x.metric
+  JOIN l_q l ON l.lang IS NOT DISTINCT FROM x.lang AND l.metric = x.metric JOIN a_q a ON a.metric = x.metric),
+verdict AS (SELECT u, bool_and(v <= q3 + q3 // 64 + {REACH} * greatest(q3 - q1, slack)
+    AND (metric NOT IN ({lower}) OR v >= q1 - {REACH} * greatest(q3 - q1, slack))) AS inside FROM used GROUP BY u),
+base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(inside, true) AS kept
+FROM base LEFT JOIN verdict ON verdict.u = base.u
+"""
+
+
+SQL = _sql()

@@ -81,4 +81,7 @@ ORACLE = {
     "op6_url_filters": urls.SQL,
     "op8_ngram_jaccard": jaccard.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
+    "op11_quality_rules": quality.SQL,
+    "op12_conversation_repair": conversations.SQL,
+    "op13_prefix_trie": trie.SQL,
 }

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import mix64, release_memory, stage, unstage
+from larder.llm.conversations import CRC_TABLE_SQL, crc_sql
 from larder.llm.runs import batches_of, rows_of, sha256_runs, sorted_rows
 
 BLOCK = 100                    # conversations that share a base conversation
@@ -352,3 +353,36 @@ def build(conversations: DataFrame, slot: int = SLOT, shard_rows: int = SHARD_RO
 
 def report(conversations: DataFrame) -> DataFrame:
     return build(conversations)
+
+
+# A prefix is spelled by the digests of its turns here, so ancestors are its left parts.
+SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+own AS (
+  SELECT conv_id, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS t, length(coalesce(text, '')) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, {crc_sql("k")} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS k FROM own), tab),
+turns AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.t, o.size FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.pos, o.t, o.size FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h
+  UNION ALL
+  SELECT conv_id, -1, 0, '', 0 FROM convs),
+paths AS (
+  SELECT conv_id, size, row_number() OVER w - 1 AS depth, string_agg(t, '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix,
+         lead(t) OVER w IS NULL AS ends FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY prefix, depth),
+kids AS (SELECT left(prefix, length(prefix) - 32) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT left(n.prefix, 32 * CAST(a AS BIGINT)) AS prefix, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM nodes) n LEFT JOIN kids k ON k.prefix = n.prefix GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.prefix = n.prefix LEFT JOIN kids k ON k.prefix = n.prefix
+LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = left(n.prefix, length(n.prefix) - 32)
+"""
