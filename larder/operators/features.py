@@ -190,6 +190,17 @@ def expanding_folds(df: DataFrame, order: Sequence[str], k: int = 3,
     return x.withColumn("role", role).where(F.col("role").isNotNull()).drop("_pos")
 
 
+def time_blocks(df: DataFrame, order: Sequence[str], k: int = 3, date_col: str = "date", name: str = "fold") -> DataFrame:
+    """W21 as one number per row: block 0 is trained on first, block i (1 .. k)
+    is the test block of the i-th expanding fold."""
+    n = df.select(F.count(F.lit(1))).scalar()
+    size = F.floor(n / F.lit(k + 1))
+    first = n - size * k
+    place = global_position(df, order, date_col).withColumn("_pos", F.col("_pos") - 1)
+    block = F.when(F.col("_pos") < first, 0).otherwise(F.floor((F.col("_pos") - first) / size) + 1)
+    return place.withColumn(name, block.cast("int")).drop("_pos")
+
+
 def hash_folds(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Reproducible fold id pmod(xxhash64(key, seed), k); also gives a
     random-like 80/20 split via fold == 0 as test for k = 5."""

@@ -59,7 +59,12 @@ WHERE lag_1 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL
 def product_features(mk: Marketplace):
     """Time, lag and rolling features per product-day; rows without
     the required history are dropped (W18; rolling_std_14 not required)."""
-    pd_ = fe.time_features(series.product_day(mk))
+    return product_features_of(series.product_day(mk))
+
+
+def product_features_of(days):
+    """The same from the daily series of the products."""
+    pd_ = fe.time_features(days)
     w = fe.series_window("product_id", "date")
     out = pd_.select("*", *fe.lag_features("quantity_sold", [1, 7, 14], w),
                      *fe.rolling_features("quantity_sold", [7, 14], w, std="samp"),
@@ -75,6 +80,7 @@ def product_daily_features(spark, sf_dir):
 
 
 STUDY_LAGS, STUDY_WINDOWS = (1, 2, 3, 7, 14, 30), (7, 14, 30)
+STUDY_MADE = [f"lag_{k}" for k in STUDY_LAGS] + [f"rolling_{s}_{n}" for s in ("mean", "std") for n in STUDY_WINDOWS]
 
 
 def study_features(pd_):
@@ -86,8 +92,7 @@ def study_features(pd_):
         "is_weekend", weather_of(F.col("date")).alias("weather_condition"), holiday_of(F.col("date")).alias("is_holiday"),
         *fe.lag_features("quantity_sold", STUDY_LAGS, w), *fe.rolling_features("quantity_sold", STUDY_WINDOWS, w, std="samp"),
         fe.first_difference("price_mean", w).alias("price_change"))
-    made = [f"lag_{k}" for k in STUDY_LAGS] + [f"rolling_{s}_{n}" for s in ("mean", "std") for n in STUDY_WINDOWS]
-    return out.na.drop(subset=made)
+    return out.na.drop(subset=STUDY_MADE)
 
 
 def encoded(df, cols):

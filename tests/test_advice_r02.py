@@ -57,13 +57,13 @@ def test_registered_training_uses_the_references_rounds_and_draws():
         assert (p["rounds"].default, p["depth"].default) == (rounds, depth)
     for name in ("tuned_linear_cv", "tuned_boosted_cv"):
         assert inspect.signature(registry.QUERIES[name]).parameters["draws"].default == 30
-    assert {500, 100} <= set(pm.BOOSTED_GRID["maxIter"]) and max(pm.BOOSTED_GRID["maxDepth"]) == 10
+    assert {500, 100} <= set(pm.BOOSTED_GRID["rounds"]) and max(pm.BOOSTED_GRID["depth"]) == 10
 
 
 def test_search_draws_boosted_maps_and_all_linear_ones(spark):
-    grid = pm.BOOSTED_GRID | {"maxIter": [1, 2], "maxDepth": [2]}
+    grid = pm.BOOSTED_GRID | {"rounds": [1, 2], "depth": [2]}
     got = [r.params for r in pm.tuned_boosted_cv(spark, SMALL, draws=2, grid=grid).collect()]
-    assert len(set(got)) == 2 and all("maxIter" in p and "subsamplingRate" in p for p in got)
+    assert len(set(got)) == 2 and all("rounds" in p and "alpha" in p for p in got)
     assert pm.tuned_linear_cv(spark, SMALL).count() == 6
 
 
