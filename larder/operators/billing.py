@@ -120,6 +120,12 @@ def _admit_partition(batches):
             "accepted": acc, "outstanding_after": after})
 
 
+def open_balances(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """``buyer_id, start_cents``: unpaid and overdue invoices of orders other than ``orders``."""
+    return (invoices.where(F.col("status").isin(*OPEN)).join(orders.select("order_id"), "order_id", "left_anti")
+            .groupBy("buyer_id").agg(F.sum((money("amount") * 100).cast("long")).alias("start_cents")))
+
+
 def credit_admission(orders: DataFrame, buyers: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
     """K2: sequential credit check of net-30 orders per buyer.
 
@@ -139,10 +145,7 @@ def credit_admission(orders: DataFrame, buyers: DataFrame, invoices: DataFrame |
     if invoices is None:
         j = j.withColumn("start_cents", F.lit(0).cast("long"))
     else:
-        start = (invoices.where(F.col("status").isin("Unpaid", "Overdue"))
-                 .join(orders.select("order_id"), "order_id", "left_anti")
-                 .groupBy("buyer_id").agg(F.sum((money("amount") * 100).cast("long")).alias("start_cents")))
-        j = j.join(start, "buyer_id", "left").fillna({"start_cents": 0})
+        j = j.join(open_balances(invoices, orders), "buyer_id", "left").fillna({"start_cents": 0})
     n = int(j.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     srt = j.repartition(n, "buyer_id").sortWithinPartitions("buyer_id", "created_at", "order_id")
     return srt.mapInPandas(_admit_partition, ADMISSION_SCHEMA)

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import events as ev
+from larder.operators import order_state as os_
 from larder.operators.reviews import product_ratings
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
@@ -148,6 +149,82 @@ def payment_status_fold(spark, sf_dir):
     return ev.payment_fold(payment_events(mk))
 
 
+def order_events(mk: Marketplace):
+    """Supplier updates, admin overrides and payment actions in one log."""
+    cols = ["order_id", "supplier_id", "ts", "seq", "kind", "status"]
+    none = F.lit(None)
+    own = status_events(mk).withColumn("kind", F.lit("supplier"))
+    admin = overrides(mk).withColumn("kind", F.lit("admin")).withColumn("supplier_id", none.cast("long"))
+    paid = (payment_events(mk).withColumnRenamed("action", "kind").withColumn("supplier_id", none.cast("long"))
+            .withColumn("status", none.cast("string")))
+    return own.select(cols).unionByName(admin.select(cols)).unionByName(paid.select(cols))
+
+
+def order_pairs(mk: Marketplace):
+    """The suppliers of every order; those with key mod 10 = 0 have no entry at first."""
+    pairs = mk.raw("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier_id")).distinct()
+    return pairs.withColumn("initial", F.pmod("supplier_id", F.lit(10)) != 0)
+
+
+ORDER_STATE_SQL = with_views("b_orders") + _EVENTS_SQL + """
+, pairs AS (SELECT DISTINCT l_orderkey AS order_id, l_suppkey AS supplier_id, l_suppkey % 10 <> 0 AS initial FROM lineitem)
+, ev AS (
+    SELECT order_id, supplier_id, ts, seq, 0 AS k, 'supplier' AS kind, status FROM sev
+    UNION ALL
+    SELECT o_orderkey, NULL, o_orderdate + INTERVAL 400 DAY, 0, 1, 'admin', 'Cancelled'
+    FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED'
+    UNION ALL
+    SELECT o_orderkey, NULL, o_orderdate + INTERVAL 1 DAY, 0, 1, 'admin', 'Delivered'
+    FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '3-MEDIUM'
+    UNION ALL
+    SELECT l_orderkey, NULL, l_shipdate, l_linenumber, CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 3 ELSE 4 END,
+           CASE l_returnflag WHEN 'A' THEN 'approve' WHEN 'R' THEN 'reject' ELSE 'reupload' END, NULL
+    FROM lineitem WHERE l_orderkey IN (SELECT order_id FROM b_orders WHERE payment_method = 'bank'))
+, seen AS (
+    SELECT *, COUNT(*) FILTER (kind = 'supplier') OVER (PARTITION BY order_id ORDER BY ts, seq, k, COALESCE(status, '')
+                                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_before FROM ev)
+, fan AS (
+    SELECT p.order_id, p.supplier_id, p.initial, e.ts, e.seq, e.k, e.kind, e.status,
+           e.own_before = 0 AND NOT bool_or(p.initial) OVER (PARTITION BY p.order_id) AS none_yet
+    FROM pairs p JOIN seen e ON e.order_id = p.order_id
+    WHERE (e.kind = 'supplier' AND e.supplier_id = p.supplier_id) OR e.kind IN ('admin', 'approve'))
+, alive AS (
+    SELECT *, initial OR MAX(CASE WHEN kind = 'supplier' OR (kind = 'admin' AND none_yet) THEN 1 ELSE 0 END) OVER (
+                  PARTITION BY order_id, supplier_id ORDER BY ts, seq, k, COALESCE(status, '') ROWS UNBOUNDED PRECEDING) = 1 AS here FROM fan)
+, newest AS (
+    SELECT order_id, supplier_id, CASE WHEN kind = 'approve' THEN 'Pending' ELSE status END AS s,
+           ROW_NUMBER() OVER (PARTITION BY order_id, supplier_id ORDER BY ts DESC, seq DESC, k DESC, COALESCE(status, '') DESC) AS rn
+    FROM alive WHERE here)
+, entries AS (
+    SELECT p.order_id, p.supplier_id, COALESCE(n.s, 'Pending') AS s
+    FROM pairs p LEFT JOIN newest n ON n.order_id = p.order_id AND n.supplier_id = p.supplier_id AND n.rn = 1
+    WHERE n.s IS NOT NULL OR p.initial)
+, rolled AS (
+    SELECT order_id, COUNT(*) AS n_entries, COUNT(*) FILTER (s <> 'Cancelled') AS n_live, COUNT(*) FILTER (s = 'Delivered') AS done,
+           COUNT(*) FILTER (s IN ('In Transit', 'Delivered')) AS moving,
+           string_agg(supplier_id || ':' || s, ',' ORDER BY supplier_id) AS entries FROM entries GROUP BY order_id)
+, setter AS (SELECT order_id, arg_max({'kind': kind, 'status': status}, {'a': ts, 'b': seq, 'c': k, 'd': COALESCE(status, '')}) AS s
+             FROM ev WHERE kind <> 'reject' GROUP BY order_id)
+, pay AS (SELECT order_id, arg_max(kind, {'a': ts, 'b': seq, 'c': k}) AS a FROM ev WHERE kind IN ('approve', 'reject', 'reupload') GROUP BY order_id)
+SELECT o.order_id,
+       CASE WHEN w.s.kind = 'supplier' THEN CASE WHEN n_live = 0 THEN 'Cancelled' WHEN done = n_live THEN 'Delivered'
+                                                 WHEN moving > 0 THEN 'In Transit' ELSE 'Pending' END
+            WHEN w.s.kind = 'admin' THEN w.s.status WHEN w.s.kind = 'approve' THEN 'Pending'
+            WHEN w.s.kind = 'reupload' OR o.payment_method = 'bank' THEN 'Pending Payment Verification' ELSE 'Pending' END AS order_status,
+       CASE WHEN p.a = 'approve' THEN 'Approved' WHEN p.a = 'reject' THEN 'Rejected'
+            WHEN p.a = 'reupload' OR o.payment_method = 'bank' THEN 'Pending Verification' ELSE 'Approved' END AS payment_status,
+       COALESCE(r.n_entries, 0) AS n_entries, COALESCE(r.n_live, 0) AS n_live, COALESCE(r.entries, '') AS entries
+FROM b_orders o LEFT JOIN rolled r ON r.order_id = o.order_id LEFT JOIN setter w ON w.order_id = o.order_id
+LEFT JOIN pay p ON p.order_id = o.order_id
+"""
+
+
+@register("order_state", covers=("K6", "K7", "K8"), sql=ORDER_STATE_SQL)
+def order_state(spark, sf_dir):
+    mk = Marketplace(spark, sf_dir)
+    return os_.order_state(order_events(mk), order_pairs(mk), mk.orders)
+
+
 def moderation_events(mk: Marketplace):
     r = mk.reviews
     first = r.select("review_id", F.col("created_at").alias("ts"), F.lit(0).alias("seq"), "status")

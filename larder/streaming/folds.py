@@ -110,12 +110,6 @@ def windowed_counts(events: DataFrame, ts: str, width: str, watermark: str, valu
                     "n", *(["total"] if value else [])))
 
 
-def dedupe(events: DataFrame, key: list[str], ts: str, watermark: str) -> DataFrame:
-    """Drop repeated events (same key) that arrive within the watermark."""
-    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
-
-
 def stream_location(spark: SparkSession, name: str) -> str:
     """Checkpoint folder for a streaming query under the shared checkpoint
     directory named by the session (never a machine-local default)."""
@@ -132,9 +126,16 @@ def run_available(sdf: DataFrame, out_path: str, checkpoint: str, mode: str = "u
         batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
                 .parquet(os.path.join(out_path, f"batch={batch_id}"))
 
-    q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    # stateful processors need this store; a query keeps the one it starts with
+    spark, key = sdf.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def final_state(spark: SparkSession, out_path: str, key: list[str]) -> DataFrame:
