@@ -12,6 +12,8 @@ import random
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
+from larder.functions.columns import round_half_up
+from larder.operators import arima as ar
 from larder.operators import boosting as bo
 from larder.operators import evaluation as ev
 from larder.operators import features as fe
@@ -23,6 +25,7 @@ from larder.plans.features import (
 )
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
+from larder.plans.sqlfrag import rnd
 from larder.session import checkpoint_dir
 from larder.sources.binding import Marketplace
 
@@ -178,6 +181,51 @@ def ar_forecast(spark, sf_dir):
     return md.ar2_forecast(g.select("category", "date", "demand"), "category", "demand", cut)
 
 
+def _arima_sql():
+    text = (lambda a, b: f"({a} * {b})", lambda a, b: f"({a} + {b})", lambda a, b: f"({a} - {b})")
+
+    def fit(rows, x, names):
+        k = len(x)
+        sums = ", ".join([f"SUM({x[i]} * {x[j]}) AS m{i}{j}" for i in range(k) for j in range(i, k)] + [f"SUM({a} * d0) AS v{i}" for i, a in enumerate(x)])
+        det, tops = ar.cramer([[f"m{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)], [f"v{i}" for i in range(k)], text)
+        found = ", ".join(f"CASE WHEN det <> 0 THEN {t} / det END AS {n}" for t, n in zip(tops, names))
+        return f"SELECT category, {found} FROM (SELECT *, {det} AS det FROM (SELECT category, {sums} FROM {rows} GROUP BY category))"
+
+    return "WITH RECURSIVE " + series.GRID_SQL[len("WITH "):] + f"""
+, dates AS (SELECT DISTINCT date FROM grid)
+, cut AS (SELECT date AS cut_date FROM (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS k FROM dates)
+          WHERE i = CAST(floor(k * 0.8) AS BIGINT))
+, t0 AS (SELECT category, date, demand AS y, demand - LAG(demand) OVER (PARTITION BY category ORDER BY date) AS d0 FROM grid)
+, t1 AS (SELECT *, LAG(d0) OVER w AS d1, LAG(d0, 2) OVER w AS d2, LAG(d0, 3) OVER w AS d3 FROM t0 WINDOW w AS (PARTITION BY category ORDER BY date))
+, tr AS (SELECT t1.* FROM t1, cut WHERE date < cut_date)
+, full3 AS (SELECT * FROM tr WHERE d3 IS NOT NULL)
+, lng AS ({fit("full3", ["d1", "d2", "d3"], ["p1", "p2", "p3"])})
+, res AS (SELECT tr.*, d0 - (0.0 + COALESCE(p1, 0.0) * d1 + COALESCE(p2, 0.0) * d2 + COALESCE(p3, 0.0) * d3) AS e0 FROM tr LEFT JOIN lng USING (category))
+, res2 AS (SELECT *, LAG(e0) OVER w AS e1, LAG(e0, 2) OVER w AS e2 FROM res WINDOW w AS (PARTITION BY category ORDER BY date))
+, full2 AS (SELECT * FROM res2 WHERE e2 IS NOT NULL)
+, sht AS ({fit("full2", ["d1", "d2", "e1", "e2"], ["a1", "a2", "b1", "b2"])})
+, st AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY date DESC) AS rn FROM res2) WHERE rn = 1)
+, te AS (SELECT t1.category, date, y AS actual, ROW_NUMBER() OVER (PARTITION BY t1.category ORDER BY date) AS i FROM t1, cut WHERE date >= cut_date)
+, go AS (SELECT st.category, st.y, d0, d1, e0, e1, a1, a2, b1, b2,
+                COALESCE(abs(a2) < 1 AND a2 + a1 < 1 AND a2 - a1 < 1 AND e1 IS NOT NULL, FALSE) AS ok FROM st LEFT JOIN sht USING (category))
+, walk(category, i, x1, x2, u1, u2, y) AS (
+    SELECT category, CAST(0 AS BIGINT), d0, d1, e0, e1, y FROM go WHERE ok
+    UNION ALL
+    SELECT w.category, w.i + 1, a1 * x1 + a2 * x2 + b1 * u1 + b2 * u2, x1, CAST(0.0 AS DOUBLE), u1, w.y + (a1 * x1 + a2 * x2 + b1 * u1 + b2 * u2)
+    FROM walk w JOIN go USING (category) WHERE w.i < (SELECT MAX(i) FROM te WHERE te.category = w.category))
+SELECT te.category, te.date, te.actual, {rnd("COALESCE(walk.y, go.y, 0.0)", 3)} AS predicted
+FROM te LEFT JOIN go ON go.category = te.category LEFT JOIN walk ON walk.category = te.category AND walk.i = te.i
+"""
+
+
+@register("arima_forecast", covers=("M12",), sql=_arima_sql())
+def arima_forecast(spark, sf_dir):
+    """Order (2, 1, 2) on the category grid, rounded to 1e-3."""
+    g, cut = _grid_split(Marketplace(spark, sf_dir))
+    out = ar.arima_forecast(g.select("category", "date", "demand"), "category", "demand", cut)
+    return out.withColumn("predicted", round_half_up("predicted", 3))
+
+
 @register("recursive_forecast", covers=("M14", "A24", "J14"))
 def recursive_forecast(spark, sf_dir):
     """30 days forward per product (recursive MA(7)), summed by category;
