@@ -170,3 +170,33 @@ def review_eligibility(requests: DataFrame, orders: DataFrame, items: DataFrame,
                .when(F.col("_p").isNull(), "product_not_in_order")
                .when(F.col("_d").isNotNull(), "already_reviewed").otherwise("eligible"))
     return r.select("request_id", "user_id", "order_id", "product_id", outcome.alias("outcome"))
+
+
+def submit_reviews(requests: DataFrame, orders: DataFrame, items: DataFrame, existing: DataFrame) -> DataFrame:
+    """J6 over a log of submissions (request_id, user_id, order_id, product_id, rating, requested_at).
+
+    Checked in this order: rating 1 to 5, an order, the order own and delivered, the
+    product (if any) part of it, no earlier review of the product by the user, or of the
+    order if there is no product. An accepted submission is an earlier review for those
+    after it: of the submissions that pass, the first one of a thing is accepted.
+    ``existing`` has user_id, product_id and, where that is null, order_id.
+    """
+    own = orders.where(F.col("status") == "Delivered").select("order_id", F.col("buyer_id").alias("user_id"), F.lit(True).alias("_own"))
+    sold = items.select("order_id", "product_id").distinct().withColumn("_sold", F.lit(True))
+    of_product = existing.where(F.col("product_id").isNotNull()).select("user_id", "product_id").distinct().withColumn("_p", F.lit(True))
+    of_order = existing.where(F.col("product_id").isNull()).select("user_id", "order_id").distinct().withColumn("_o", F.lit(True))
+    r = (requests.join(own, ["order_id", "user_id"], "left").join(sold, ["order_id", "product_id"], "left")
+         .join(of_product, ["user_id", "product_id"], "left").join(of_order, ["user_id", "order_id"], "left"))
+    whole = F.col("product_id").isNull()
+    refused = (F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "invalid_rating").when(F.col("order_id").isNull(), "order_required")
+               .when(F.col("_own").isNull(), "order_not_delivered_or_not_own").when(~whole & F.col("_sold").isNull(), "product_not_in_order")
+               .when(~whole & F.col("_p").isNotNull(), "product_already_reviewed").when(whole & F.col("_o").isNotNull(), "order_already_reviewed"))
+    r = r.withColumn("_refused", refused).withColumn("_thing", F.when(whole, F.col("order_id")))
+    thing = ["user_id", "product_id", "_thing"]
+    first = r.where(F.col("_refused").isNull()).groupBy(*thing).agg(F.min(F.struct("requested_at", "request_id")).alias("_first"))
+    first = first.select(*[F.col(c).alias(f"_{c}") for c in thing], "_first")
+    same = (F.col("user_id") == F.col("_user_id")) & F.col("product_id").eqNullSafe(F.col("_product_id")) & F.col("_thing").eqNullSafe(F.col("__thing"))
+    r = r.join(first, same, "left")
+    late = F.struct("requested_at", "request_id") > F.col("_first")
+    again = F.when(whole, "order_already_reviewed").otherwise("product_already_reviewed")
+    return r.select(*requests.columns, F.coalesce("_refused", F.when(late, again), F.lit("accepted")).alias("outcome"))

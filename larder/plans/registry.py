@@ -34,5 +34,5 @@ def load_all() -> None:
     """Import every plan module so its queries register."""
     from larder.plans import (  # noqa: F401
         supplier, platform, billing, reviews, catalogue, features, evaluation,
-        answers, chat, events, lifecycle, models, quality, scoring,
+        answers, chat, events, lifecycle, models, quality, scoring, submissions,
     )
