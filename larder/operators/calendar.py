@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_SPINE_ROWS = 100_000  # a larger spine is left to the planner
 
 
 def bucket_spine(spark, as_of: str, n: int, days: int, label: str = "bucket") -> DataFrame:
@@ -46,13 +45,15 @@ def range_join_sum(events: DataFrame, ts_col: str, spine: DataFrame, key: str,
     missing aggregates become 0.
     """
     aggs = aggs or {"n": F.count(F.lit(1))}
+    seconds = lambda c: F.col(c).cast("timestamp").cast("long")
     sp = spine.select(key, start_col, end_col)
-    lo = sp.agg(F.min(start_col)).scalar()
-    hi = sp.agg(F.max(end_col)).scalar()
-    ev = events.where((F.col(ts_col) >= lo) & (F.col(ts_col) <= hi))
-    small = sp.limit(BROADCAST_SPINE_ROWS + 1).count() <= BROADCAST_SPINE_ROWS
-    joined = ev.join(F.broadcast(sp) if small else sp,
-                     (F.col(ts_col) >= F.col(start_col)) & (F.col(ts_col) <= F.col(end_col)))
+    bounds = sp.agg(F.min(start_col).alias("lo"), F.max(end_col).alias("hi"), F.greatest(F.max(seconds(end_col) - seconds(start_col)), F.lit(1)).alias("w"))
+    lo, hi, width = (bounds.select(c).scalar() for c in ("lo", "hi", "w"))
+    # a cell is as long as the longest bucket: a bucket meets two or three cells, an event one
+    cell = lambda c: F.floor(seconds(c) / width).cast("long")
+    sp = sp.withColumn("_cell", F.explode(F.sequence(cell(start_col), cell(end_col))))
+    ev = events.where((F.col(ts_col) >= lo) & (F.col(ts_col) <= hi)).withColumn("_cell", cell(ts_col))
+    joined = ev.join(sp, "_cell").where((F.col(ts_col) >= F.col(start_col)) & (F.col(ts_col) <= F.col(end_col)))
     per_bucket = joined.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
     out = spine.join(per_bucket, key, "left")
     for n in aggs:

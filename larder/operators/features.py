@@ -11,12 +11,14 @@ small.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+_SPREAD = 64  # parts of a date whose rows need no rank
 NO_HOLIDAY_YET = 999  # days-since value before the first holiday (fixed value)
 
 
@@ -117,9 +119,12 @@ def first_difference(value: str, w) -> Column:
     return F.coalesce(F.col(value) - F.lag(value, 1).over(w), F.lit(0.0))
 
 
-def ratio_to_group_mean(value: str, group: Sequence[str]) -> Column:
-    """Value / mean(value over the group) - 1 (e.g. category-day)."""
-    return F.col(value) / F.avg(value).over(Window.partitionBy(*group)) - 1
+def ratio_to_group_mean(df: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
+    """Value / mean(value over the group) - 1 (e.g. category-day). The means
+    are an aggregate joined back, so no task holds the rows of a group."""
+    means = df.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.avg(value).alias("_mean"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    return df.join(means, same).withColumn(name, F.col(value) / F.col("_mean") - 1).drop("_mean", *[f"_{c}" for c in group])
 
 
 def fill_forward_backward(col: str, w) -> Column:
@@ -137,27 +142,32 @@ def latest_non_null(df: DataFrame, key: str, order: str, cols: Sequence[str]) ->
     return df.groupBy(key).agg(*aggs)
 
 
-def global_position(df: DataFrame, order: Sequence[str], date_col: str = "date",
-                    name: str = "_pos") -> DataFrame:
-    """1-based position of each row in (date, tie-break) order without a
-    global single-partition sort: rows are counted per date (small
-    aggregate), a running count over the dates gives each date's offset, and
-    rows are ranked only within their own date."""
+def cut_position(df: DataFrame, order: Sequence[str], cuts: Sequence[Column], date_col: str = "date",
+                 name: str = "_pos") -> DataFrame:
+    """1-based position of each row in (date, tie-break) order, as far as it
+    matters for ``cuts`` (positions after which the rows are parted).
+
+    Rows are counted per date (small aggregate) and a running count gives the rows
+    before a date. Only rows of a date that a cut falls into are ranked; those of any
+    other date are on one side of every cut and are spread over ``_SPREAD`` parts."""
     per_date = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
     wd = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_date.select(date_col, F.coalesce(F.sum("_n").over(wd), F.lit(0)).alias("_before"))
-    return df.join(before, date_col).withColumn(
-        name, F.col("_before") + F.row_number().over(Window.partitionBy(date_col).orderBy(*order))
-    ).drop("_before")
+    before = per_date.select(date_col, "_n", F.coalesce(F.sum("_n").over(wd), F.lit(0)).alias("_before"))
+    inside = functools.reduce(lambda a, b: a | b, [(F.col("_before") < c) & (c < F.col("_before") + F.col("_n")) for c in cuts])
+    before = before.select(date_col, "_before", inside.alias("_cut"))
+    spread = F.when(F.col("_cut"), 0).otherwise(F.pmod(F.xxhash64(*order), F.lit(_SPREAD)))
+    rank = F.row_number().over(Window.partitionBy(date_col, "_part").orderBy(*order))
+    place = df.join(before, date_col).withColumn("_part", spread).withColumn("_rank", rank)
+    return place.withColumn(name, F.col("_before") + F.when(F.col("_cut"), F.col("_rank")).otherwise(1)).drop("_before", "_cut", "_part", "_rank")
 
 
 def split_by_position(df: DataFrame, order: Sequence[str], ratio: float = 0.8,
                       date_col: str = "date") -> DataFrame:
     """First floor(n * ratio) rows in (date, tie-break) order are
-    'train', the rest 'test' (positions from ``global_position``)."""
+    'train', the rest 'test' (positions from ``cut_position``)."""
     n = df.select(F.count(F.lit(1))).scalar()
     cut = F.floor(n * F.lit(ratio))
-    ranked = global_position(df, order, date_col)
+    ranked = cut_position(df, order, [cut], date_col)
     return ranked.withColumn("split", F.when(F.col("_pos") <= cut, "train").otherwise("test")) \
                  .drop("_pos")
 
@@ -181,7 +191,7 @@ def expanding_folds(df: DataFrame, order: Sequence[str], k: int = 3,
     n = df.select(F.count(F.lit(1))).scalar()
     size = F.floor(n / F.lit(k + 1))
     first = n - size * k
-    d = global_position(df, order, date_col).withColumn("_pos", F.col("_pos") - 1)
+    d = cut_position(df, order, [first + size * i for i in range(k + 1)], date_col).withColumn("_pos", F.col("_pos") - 1)
     folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
     x = d.select("*", folds)
     start = first + F.col("fold") * size
@@ -196,7 +206,7 @@ def time_blocks(df: DataFrame, order: Sequence[str], k: int = 3, date_col: str =
     n = df.select(F.count(F.lit(1))).scalar()
     size = F.floor(n / F.lit(k + 1))
     first = n - size * k
-    place = global_position(df, order, date_col).withColumn("_pos", F.col("_pos") - 1)
+    place = cut_position(df, order, [first + size * i for i in range(k + 1)], date_col).withColumn("_pos", F.col("_pos") - 1)
     block = F.when(F.col("_pos") < first, 0).otherwise(F.floor((F.col("_pos") - first) / size) + 1)
     return place.withColumn(name, block.cast("int")).drop("_pos")
 
@@ -208,6 +218,13 @@ def hash_folds(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 4
     return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
 
 
+def keyed_folds(df: DataFrame, key: Sequence[Column], k: int = 5, seed: int = 42) -> DataFrame:
+    """W22 by a digest that any engine can compute: the first 32 bits of the
+    MD5 of the key texts and the seed, modulo ``k``."""
+    digest = F.md5(F.concat_ws("|", *key, F.lit(str(seed))))
+    return df.withColumn("fold", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
+
+
 def align_dates(df: DataFrame, as_of: str, date_col: str = "date") -> DataFrame:
     """Shift all dates so the latest equals ``as_of``."""
     mx = df.select(F.max(date_col)).scalar()

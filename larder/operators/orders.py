@@ -2,8 +2,7 @@
 pricing (J3, K1).
 
 Items stay flat (one row per order line) so filters on item fields reach
-the scan; ``as_documents`` nests them per order when a document-shaped
-output is wanted (an order's items are bounded by the order itself).
+the scan.
 """
 
 from __future__ import annotations
@@ -49,19 +48,6 @@ def buyer_order_items(items: DataFrame, orders: DataFrame) -> DataFrame:
         "price", "marketplace_price")
 
 
-def as_documents(orders: DataFrame, items: DataFrame, item_cols: list[str]) -> DataFrame:
-    """Nest items per order: one row per order with an ``items`` array,
-    sorted by line number (bounded by the order's own size)."""
-    nested = (items.groupBy("order_id")
-              .agg(F.array_sort(F.collect_list(F.struct(*item_cols))).alias("items")))
-    return orders.join(nested, "order_id", "left")
-
-
-def drop_item_field(docs: DataFrame, field: str) -> DataFrame:
-    """P22 on documents: remove a field inside every item struct."""
-    return docs.withColumn("items", F.transform("items", lambda i: i.dropFields(field)))
-
-
 def access_decisions(requests: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Per request (request_id, user_id, role, order_id): not_found,
     forbidden (buyer not owner; supplier not involved or order awaiting

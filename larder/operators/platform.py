@@ -148,9 +148,11 @@ def supplier_stats(pairs: DataFrame, products: DataFrame, reviews: DataFrame,
         F.count_if(st == "Delivered").alias("delivered"),
         F.count_if(st == "Cancelled").alias("cancelled"))
     listed = products.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("listed_products"))
-    rating = (reviews.where(F.col("status") == "approved").select("product_id", "rating")
-              .join(products.select("product_id", "supplier_id"), "product_id")
-              .groupBy("supplier_id").agg(F.avg("rating").alias("avg_rating")))
+    # ratings are summed per product before they meet the products: a popular one is one row
+    rated = (reviews.where((F.col("status") == "approved") & F.col("product_id").isNotNull())
+             .groupBy("product_id").agg(F.sum("rating").alias("_s"), F.count("rating").alias("_c")))
+    rating = (rated.join(products.select("product_id", "supplier_id"), "product_id")
+              .groupBy("supplier_id").agg((F.sum("_s") / F.sum("_c")).alias("avg_rating")))
     base = suppliers.select(F.col("user_id").alias("supplier_id"))
     r = (base.join(listed, "supplier_id", "left").join(rating, "supplier_id", "left")
          .join(counts, "supplier_id", "left"))

@@ -128,11 +128,13 @@ LOGIN_REQUIRED = ["ORDER_STATUS", "NOTIFICATIONS"]
 def route(classified: DataFrame) -> DataFrame:
     """Response type per classified message; guests asking for orders
     or notifications are told to log in; order questions with an id get the
-    order details, others the recent orders."""
+    order details, others the recent orders; a price, stock or category
+    question that names none is searched for."""
     i = F.col("intent")
     rtype = F.coalesce(*[F.when(i == k, F.lit(v)) for k, v in RESPONSE_TYPES.items()])
     guest = F.col("user_id").isNull()
-    rtype = (F.when(guest & i.isin(*LOGIN_REQUIRED), "login_required")
+    lost = (i.isin("PRODUCT_PRICE", "PRODUCT_STOCK") & F.col("product_name").isNull()) | ((i == "CATEGORY_SEARCH") & F.col("category").isNull())
+    rtype = (F.when(guest & i.isin(*LOGIN_REQUIRED), "login_required").when(lost, "search_results")
              .when((i == "ORDER_STATUS") & F.col("order_id").isNull(), "recent_orders")
              .when(i == "ORDER_STATUS", "order_details").otherwise(rtype))
     return classified.select("conv_id", "turn", "user_id", "intent", rtype.alias("response_type"))

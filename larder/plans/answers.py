@@ -1,11 +1,4 @@
-"""Chat answers (T10) with requests that reach every branch of the look-ups.
-
-Derived tables (fixed rules):
-  chat products   the products, named and classed by food word (product id mod 8)
-  chat requests   click events, one message each: (event id div 3) mod 14 picks the
-                  question; users whose event id is divisible by 3 are guests; for order
-                  questions 0 and 3 the user is the buyer of the order asked about
-"""
+"""Chat answers (T10) of the derived requests, which reach every branch of the look-ups."""
 
 from __future__ import annotations
 
@@ -19,57 +12,10 @@ from larder.plans.sql_binding import VIEWS, with_views
 from larder.session import checkpoint_dir
 from larder.sources.binding import Marketplace
 
-FOOD = ["Fish", "Meat", "Vegetables", "Fruit", "Dairy", "Spices", "Seafood", "Poultry"]
-
-
-def chat_products(mk: Marketplace):
-    word = F.element_at(F.array(*[F.lit(w) for w in FOOD]), (F.pmod("product_id", F.lit(len(FOOD))) + 1).cast("int"))
-    return mk.products.withColumn("name", F.concat("name", F.lit(" "), F.lower(word))).withColumn("category", word)
-
-
-def chat_requests(mk: Marketplace):
-    e = mk.raw("events").where(F.col("event_type") == "click").withColumn("q", F.pmod(F.expr("event_id div 3"), F.lit(14)))
-    n_orders = mk.raw("orders").select(F.count(F.lit(1))).scalar()
-    n_parts = mk.raw("part").select(F.count(F.lit(1))).scalar()
-    e = e.withColumn("o", F.pmod("event_id", n_orders)).withColumn("p", F.pmod("event_id", n_parts))
-    e = (e.join(mk.orders.select(F.col("order_id").alias("o"), F.col("buyer_id")), "o", "left")
-         .join(chat_products(mk).select(F.col("product_id").alias("p"), F.col("name").alias("product")), "p", "left"))
-    name = F.coalesce("product", F.lit("anything"))
-    cat = F.element_at(F.array(*[F.lit(c) for c in op.CATEGORIES]), (F.pmod("event_id", F.lit(10)) + 1).cast("int"))
-    texts = [F.concat(F.lit("status of order "), an.display_id(F.col("o"))), F.concat(F.lit("status of order "), an.display_id(F.col("o"))),
-             F.concat(F.lit("track order "), an.display_id(F.col("o") + 1_000_000_000)),
-             F.concat(F.lit("order "), F.lpad(F.col("o").cast("string"), 8, "0")), F.lit("track my orders"), F.concat(F.lit("price of "), name),
-             F.concat(F.lit("is there any "), F.element_at(F.split(name, " "), 1)), F.lit("price of unobtainium"), F.lit("how much"),
-             F.concat(F.lit("show me "), cat, F.lit(" products")), F.lit("any unread notifications?"), F.lit("what do clients say?"), F.lit("help me"),
-             F.concat(F.lit("zzz "), F.element_at(F.split(name, " "), 1))]
-    user = F.when(F.pmod("event_id", F.lit(3)) == 0, None).when(F.col("q").isin(0, 3), F.col("buyer_id")).otherwise(F.col("user_id"))
-    return e.select(F.col("event_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), user.cast("long").alias("user_id"),
-                    F.element_at(F.array(*texts), (F.col("q") + 1).cast("int")).alias("message"))
-
-
 def _sql() -> str:
-    food = ", ".join(f"'{w}'" for w in FOOD)
-    cats = ", ".join(f"'{c}'" for c in op.CATEGORIES)
-    products = VIEWS["b_products"][1].strip()
-    chat_products_sql = (products.replace("p_name AS name", f"p_name || ' ' || lower([{food}][p_partkey % 8 + 1]) AS name")
-                         .replace("p_type AS category", f"[{food}][p_partkey % 8 + 1] AS category"))
-    requests = f"""
-SELECT event_id AS conv_id, CAST(0 AS BIGINT) AS turn,
-       CASE WHEN event_id % 3 = 0 THEN NULL WHEN q IN (0, 3) THEN o_custkey ELSE user_id END AS user_id,
-       CASE q WHEN 0 THEN 'status of order ' || lpad(CAST(o AS VARCHAR), 24, '0') WHEN 1 THEN 'status of order ' || lpad(CAST(o AS VARCHAR), 24, '0')
-              WHEN 2 THEN 'track order ' || lpad(CAST(o + 1000000000 AS VARCHAR), 24, '0') WHEN 3 THEN 'order ' || lpad(CAST(o AS VARCHAR), 8, '0')
-              WHEN 4 THEN 'track my orders' WHEN 5 THEN 'price of ' || product WHEN 6 THEN 'is there any ' || string_split(product, ' ')[1]
-              WHEN 7 THEN 'price of unobtainium' WHEN 8 THEN 'how much' WHEN 9 THEN 'show me ' || [{cats}][event_id % 10 + 1] || ' products'
-              WHEN 10 THEN 'any unread notifications?' WHEN 11 THEN 'what do clients say?' WHEN 12 THEN 'help me'
-              ELSE 'zzz ' || string_split(product, ' ')[1] END AS message
-FROM (SELECT event_id, user_id, (event_id // 3) % 14 AS q, event_id % (SELECT COUNT(*) FROM orders) AS o,
-             event_id % (SELECT COUNT(*) FROM part) AS p FROM events WHERE event_type = 'click') e
-LEFT JOIN orders ON o_orderkey = o
-LEFT JOIN (SELECT product_id, COALESCE(name, 'anything') AS product FROM ({chat_products_sql})) cp ON product_id = p"""
-    messages = VIEWS["b_messages"][1].strip()
-
     def over(sql, *more):
-        sql = sql.replace(messages, f"SELECT conv_id, turn, message FROM ({requests})").replace(products, chat_products_sql)
+        """A look-up's SQL over the requests alone."""
+        sql = sql.replace(VIEWS["b_messages"][1].strip(), "SELECT conv_id, turn, message FROM b_chat_requests")
         for a, b in more:
             assert a in sql
             sql = sql.replace(a, b)
@@ -79,10 +25,9 @@ LEFT JOIN (SELECT product_id, COALESCE(name, 'anything') AS product FROM ({chat_
                OR (i.intent = 'CATEGORY_SEARCH' AND i.category IS NULL))"""
     item = "{'name': name, 'price': price, 'stock': stock, 'category': category}"
     login = f"{{'orderFound': false, 'error': {_q(an.LOGIN_ORDERS)}, 'text': {_q(an.LOGIN_ORDERS_TEXT)}}}"
-    return with_views("b_orders", "b_buyers", "b_notifications", "b_reviews") + f"""
-, q AS ({requests})
+    return with_views("b_orders", "b_buyers", "b_notifications", "b_reviews", "b_chat_requests") + f"""
 , i0 AS ({over(intents_sql())})
-, i AS (SELECT i0.*, q.user_id FROM i0 JOIN q USING (conv_id, turn))
+, i AS (SELECT i0.*, q.user_id FROM i0 JOIN b_chat_requests q USING (conv_id, turn))
 , lk AS ({over(LOOKUP_SQL)})
 , ct AS ({over(CATEGORY_SQL)})
 , se AS ({over(SEARCH_SQL, ("WHERE i.intent = 'FALLBACK_SEARCH'", "WHERE " + lost))})
@@ -100,7 +45,7 @@ LEFT JOIN (SELECT product_id, COALESCE(name, 'anything') AS product FROM ({chat_
          OR (length(i.order_id) <> 24 AND nth.buyer_id = i.user_id AND place <= 50 AND (suffix(did, i.order_id) OR prefix(did, i.order_id)))
     WHERE i.intent = 'ORDER_STATUS' AND i.user_id IS NOT NULL AND i.order_id IS NOT NULL GROUP BY 1, 2)
 , itm AS (SELECT l_orderkey AS order_id, list({{'name': name, 'quantity': l_quantity}} ORDER BY name, l_quantity) AS l
-          FROM lineitem JOIN ({chat_products_sql}) ON product_id = l_partkey WHERE l_orderkey IN (SELECT found FROM fnd) GROUP BY 1)
+          FROM lineitem JOIN b_chat_products ON product_id = l_partkey WHERE l_orderkey IN (SELECT found FROM fnd) GROUP BY 1)
 , det AS (
     SELECT o.order_id, {{'orderId': lpad(CAST(o.order_id AS VARCHAR), 24, '0'), 'status': status, 'paymentMethod': payment_method,
             'paymentStatus': payment_status, 'total': total, 'createdAt': strftime(created_at, '%Y-%m-%d %H:%M:%S'), 'items': itm.l,
@@ -155,7 +100,7 @@ def _q(text: str) -> str:
 def classified_requests(mk: Marketplace):
     """The requests with their intents, stored once: every branch reads them."""
     checkpoint_dir(mk.spark)
-    asked = chat_requests(mk)
+    asked = mk.chat_requests
     found = op.classify(asked.select("conv_id", "turn", "message"))
     return found.join(asked.select("conv_id", "turn", "user_id"), ["conv_id", "turn"]).checkpoint(eager=True)
 
@@ -163,4 +108,4 @@ def classified_requests(mk: Marketplace):
 @register("chat_answers", covers=("T10", "T5", "T6", "T7", "T8", "T9", "U3", "J11", "F15"), sql=_sql())
 def chat_answers(spark, sf_dir):
     mk = Marketplace(spark, sf_dir)
-    return an.answers(classified_requests(mk), mk.orders, mk.order_items, chat_products(mk), mk.notifications, mk.reviews, mk.buyers)
+    return an.answers(classified_requests(mk), mk.orders, mk.order_items, mk.chat_products, mk.notifications, mk.reviews, mk.buyers)

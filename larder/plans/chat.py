@@ -130,10 +130,10 @@ def _with_intents(*views: str) -> str:
     return base + sep + "i AS (" + intents_sql() + ")\n"
 
 
-LOOKUP_SQL = _with_intents("b_products") + r"""
+LOOKUP_SQL = _with_intents("b_chat_products") + r"""
 , req AS (SELECT conv_id, turn, product_name FROM i
           WHERE intent IN ('PRODUCT_PRICE', 'PRODUCT_STOCK') AND product_name IS NOT NULL)
-, p AS (SELECT product_id, name, price, stock, category FROM b_products)
+, p AS (SELECT product_id, name, price, stock, category FROM b_chat_products)
 , exact AS (SELECT r.conv_id, r.turn, MIN(p.product_id) AS pid FROM req r
             JOIN p ON contains(lower(p.name), lower(r.product_name)) AND length(r.product_name) > 0
             GROUP BY r.conv_id, r.turn)
@@ -177,10 +177,10 @@ FROM alts a JOIN p ON p.product_id = a.alt_id
 def product_lookup(spark, sf_dir):
     msgs = _intents(spark, sf_dir).where(F.col("intent").isin("PRODUCT_PRICE", "PRODUCT_STOCK")
                                          & F.col("product_name").isNotNull())
-    return lk.product_lookup(msgs, Marketplace(spark, sf_dir).products, KEY)
+    return lk.product_lookup(msgs, Marketplace(spark, sf_dir).chat_products, KEY)
 
 
-CATEGORY_SQL = _with_intents("b_products") + """
+CATEGORY_SQL = _with_intents("b_chat_products") + """
 , req AS (SELECT conv_id, turn, lower(category) AS word FROM i WHERE intent = 'CATEGORY_SEARCH')
 , pat AS (SELECT DISTINCT word, CASE word WHEN 'veg' THEN 'Vegetables' WHEN 'vegetable' THEN 'Vegetables'
                                     WHEN 'seafood' THEN 'Fish|Seafood' WHEN 'fish' THEN 'Fish|Seafood'
@@ -188,7 +188,7 @@ CATEGORY_SQL = _with_intents("b_products") + """
 , top AS (SELECT * FROM (
             SELECT pat.word, p.product_id, p.name, p.price, p.stock, p.category,
                    ROW_NUMBER() OVER (PARTITION BY pat.word ORDER BY p.price, p.product_id) AS rank
-            FROM pat JOIN b_products p ON p.stock > 0
+            FROM pat JOIN b_chat_products p ON p.stock > 0
                  AND (regexp_matches(p.category, pat.pat, 'i') OR contains(lower(p.name), pat.word))) t
           WHERE rank <= 10)
 SELECT r.conv_id, r.turn, t.product_id, t.name, t.price, t.stock, t.category, CAST(t.rank AS INTEGER) AS rank
@@ -199,16 +199,16 @@ FROM req r JOIN top t ON t.word = r.word
 @register("category_products", covers=("T6", "P6"), sql=CATEGORY_SQL)
 def category_products(spark, sf_dir):
     msgs = _intents(spark, sf_dir).where(F.col("intent") == "CATEGORY_SEARCH")
-    return lk.category_search(msgs, Marketplace(spark, sf_dir).products, KEY)
+    return lk.category_search(msgs, Marketplace(spark, sf_dir).chat_products, KEY)
 
 
-SEARCH_SQL = _with_intents("b_products", "b_messages") + r"""
+SEARCH_SQL = _with_intents("b_chat_products", "b_messages") + r"""
 , req AS (SELECT i.conv_id, i.turn, m.message FROM i JOIN b_messages m ON m.conv_id = i.conv_id AND m.turn = i.turn
           WHERE i.intent = 'FALLBACK_SEARCH')
 , words AS (SELECT DISTINCT conv_id, turn, w FROM (
               SELECT conv_id, turn, unnest(string_split_regex(lower(message), '\s+')) AS w FROM req) t
             WHERE length(w) > 2)
-, p AS (SELECT product_id, name, price, stock, category FROM b_products WHERE stock > 0)
+, p AS (SELECT product_id, name, price, stock, category FROM b_chat_products WHERE stock > 0)
 , hits AS (SELECT DISTINCT w.conv_id, w.turn, p.product_id FROM words w
            JOIN p ON contains(lower(p.name), w.w) OR contains(lower(p.category), w.w))
 , top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY product_id) AS rank
@@ -226,7 +226,7 @@ JOIN p ON p.product_id = x.product_id
 @register("search_results", covers=("T7", "U5", "F4"), sql=SEARCH_SQL)
 def search_results(spark, sf_dir):
     msgs = _intents(spark, sf_dir).where(F.col("intent") == "FALLBACK_SEARCH")
-    return lk.search_fallback(msgs, Marketplace(spark, sf_dir).products, KEY, "message")
+    return lk.search_fallback(msgs, Marketplace(spark, sf_dir).chat_products, KEY, "message")
 
 
 TIMELINE_SQL = with_views("b_orders") + """
@@ -277,8 +277,8 @@ SELECT conv_id, turn, CASE WHEN conv_id >= 0 AND conv_id % 2 = 0 THEN conv_id EN
        CASE WHEN (conv_id < 0 OR conv_id % 2 = 1) AND intent IN ('ORDER_STATUS', 'NOTIFICATIONS') THEN 'login_required'
             WHEN intent = 'ORDER_STATUS' AND order_id IS NULL THEN 'recent_orders'
             WHEN intent = 'ORDER_STATUS' THEN 'order_details'
-            WHEN intent IN ('PRODUCT_PRICE', 'PRODUCT_STOCK') THEN 'product_info'
-            WHEN intent = 'CATEGORY_SEARCH' THEN 'category_products'
+            WHEN intent IN ('PRODUCT_PRICE', 'PRODUCT_STOCK') AND product_name IS NOT NULL THEN 'product_info'
+            WHEN intent = 'CATEGORY_SEARCH' AND category IS NOT NULL THEN 'category_products'
             WHEN intent = 'NOTIFICATIONS' THEN 'notifications'
             WHEN intent = 'REVIEWS' THEN 'reviews'
             WHEN intent = 'GENERAL_HELP' THEN 'help' ELSE 'search_results' END AS response_type
@@ -289,7 +289,7 @@ FROM i
 @register("chat_routing", covers=("T10",), sql=ROUTE_SQL)
 def chat_routing(spark, sf_dir):
     """Even conversations belong to a signed-in buyer (user = conv id); odd
-    ones and the reference cases are guests."""
+    ones and the derived requests are guests."""
     from larder.operators.quality import route
     c = _intents(spark, sf_dir)
     user = F.when((F.col("conv_id") >= 0) & (F.pmod("conv_id", F.lit(2)) == 0), F.col("conv_id"))

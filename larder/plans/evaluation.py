@@ -171,10 +171,10 @@ FROM pair, range(0, 21) t(k) GROUP BY k
 @register("forecast_blend_weights", covers=("M8",), sql=BLEND_SQL)
 def forecast_blend_weights(spark, sf_dir):
     p = series.predictions(Marketplace(spark, sf_dir))
-    a = p.where(F.col("model") == "moving_average").select("category", "date", "actual",
-                                                           F.col("predicted").alias("p1"))
-    b = p.where(F.col("model") == "seasonal_naive").select("category", "date", F.col("predicted").alias("p2"))
-    return _r6(ev.blend_weights(a.join(b, ["category", "date"]), "p1", "p2"), ["rmse"])
+    one = lambda m: F.max(F.when(F.col("model") == m, F.col("predicted")))  # noqa: E731  one row per model and day
+    both = p.groupBy("category", "date").agg(F.max("actual").alias("actual"), one("moving_average").alias("p1"),
+                                             one("seasonal_naive").alias("p2"))
+    return _r6(ev.blend_weights(both, "p1", "p2"), ["rmse"])
 
 
 HIST_SQL = series.PREDICTIONS_SQL + f"""

@@ -307,8 +307,8 @@ FROM b_demand
 @register("price_vs_category_mean", covers=("W14", "J7"), sql=PRICE_RATIO_SQL)
 def price_vs_category_mean(spark, sf_dir):
     d = Marketplace(spark, sf_dir).demand
-    out = d.select("order_id", "line_no", "product_id", "supplier_id", "date", "category", "price",
-                   fe.ratio_to_group_mean("price", ["date", "category"]).alias("price_vs_cat_avg"))
+    out = fe.ratio_to_group_mean(d.select("order_id", "line_no", "product_id", "supplier_id", "date", "category", "price"),
+                                 "price", ["date", "category"], "price_vs_cat_avg")
     return _round(out, ["price_vs_cat_avg"])
 
 
@@ -375,6 +375,18 @@ def expanding_time_folds(spark, sf_dir):
     return fe.expanding_folds(pd_, ["product_id"], 3).withColumn("fold", F.col("fold").cast("int"))
 
 
+KEYED_FOLDS_SQL = series.PRODUCT_DAY_SQL + """
+SELECT product_id, date, quantity_sold,
+       CAST(CAST('0x' || substr(md5(concat_ws('|', product_id, strftime(date, '%Y-%m-%d'), '42')), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM pd
+"""
+
+
+@register("keyed_folds", covers=("W22",), sql=KEYED_FOLDS_SQL)
+def keyed_folds(spark, sf_dir):
+    pd_ = series.product_day(Marketplace(spark, sf_dir)).select("product_id", "date", "quantity_sold")
+    return fe.keyed_folds(pd_, [F.col("product_id").cast("string"), F.date_format("date", "yyyy-MM-dd")], 5, 42)
+
+
 @register("hash_folds", covers=("W22",))
 def hash_folds(spark, sf_dir):
     pd_ = series.product_day(Marketplace(spark, sf_dir)).select("product_id", "date", "quantity_sold")

@@ -8,6 +8,9 @@ ROW_NUMBER here but a ``min(struct)`` aggregate in Spark.
 
 from __future__ import annotations
 
+_FOOD = "'Fish', 'Meat', 'Vegetables', 'Fruit', 'Dairy', 'Spices', 'Seafood', 'Poultry'"
+_CATEGORIES = "'fish', 'meat', 'vegetables', 'fruit', 'dairy', 'spices', 'seafood', 'poultry', 'greens', 'produce'"
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "b_orders": ((), """
         SELECT o_orderkey AS order_id, o_custkey AS buyer_id,
@@ -102,14 +105,31 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id AS request_id, user_id, ts AS requested_at,
                CAST(1000000.0 AS DOUBLE) + value * CAST(10000.0 AS DOUBLE) AS target
         FROM events WHERE event_type = 'error'"""),
-    "b_messages": ((), """
+    "b_chat_products": ((), f"""
+        SELECT p_partkey AS product_id, p_name || ' ' || lower([{_FOOD}][p_partkey % 8 + 1]) AS name,
+               [{_FOOD}][p_partkey % 8 + 1] AS category, p_retailprice AS price, p_retailprice AS base_price,
+               (p_size - 1) * 2 AS stock, (p_size % 10 <> 0) AS is_active,
+               p_partkey % (SELECT COUNT(*) FROM supplier) AS supplier_id, p_brand AS brand
+        FROM part"""),
+    "b_chat_requests": (("b_chat_products",), f"""
+        SELECT event_id AS conv_id, CAST(0 AS BIGINT) AS turn,
+               CASE WHEN event_id % 3 = 0 THEN NULL WHEN q IN (0, 3) THEN o_custkey ELSE user_id END AS user_id,
+               CASE q WHEN 0 THEN 'status of order ' || lpad(CAST(o AS VARCHAR), 24, '0')
+                      WHEN 1 THEN 'status of order ' || lpad(CAST(o AS VARCHAR), 24, '0')
+                      WHEN 2 THEN 'track order ' || lpad(CAST(o + 1000000000 AS VARCHAR), 24, '0')
+                      WHEN 3 THEN 'order ' || lpad(CAST(o AS VARCHAR), 8, '0') WHEN 4 THEN 'track my orders'
+                      WHEN 5 THEN 'price of ' || product WHEN 6 THEN 'is there any ' || string_split(product, ' ')[1]
+                      WHEN 7 THEN 'price of unobtainium' WHEN 8 THEN 'how much'
+                      WHEN 9 THEN 'show me ' || [{_CATEGORIES}][event_id % 10 + 1] || ' products' WHEN 10 THEN 'any unread notifications?'
+                      WHEN 11 THEN 'what do clients say?' WHEN 12 THEN 'help me' ELSE 'zzz ' || string_split(product, ' ')[1] END AS message
+        FROM (SELECT event_id, user_id, (event_id // 3) % 14 AS q, event_id % (SELECT COUNT(*) FROM orders) AS o,
+                     event_id % (SELECT COUNT(*) FROM part) AS p FROM events WHERE event_type = 'click') e
+        LEFT JOIN orders ON o_orderkey = o
+        LEFT JOIN (SELECT product_id, COALESCE(name, 'anything') AS product FROM b_chat_products) cp ON product_id = p"""),
+    "b_messages": (("b_chat_requests",), """
         SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'
         UNION ALL
-        SELECT CAST(-1 AS BIGINT), CAST(i - 1 AS BIGINT), m
-        FROM (SELECT unnest(range(1, 10)) AS i,
-                     unnest(['Hello bot', 'help me please', 'price of salmon', 'is carrot in stock?',
-                             'show me fish products', 'do I have notifications?', 'what do clients say?',
-                             'status of order 6a2da135692b83529ff7e74c', 'xyz123random']) AS m) g"""),
+        SELECT -1 - conv_id, turn, message FROM b_chat_requests"""),
 }
 
 

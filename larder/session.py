@@ -20,6 +20,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",   # a checkpoint goes with its last reference
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

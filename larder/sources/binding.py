@@ -8,7 +8,6 @@ and used everywhere (see README, "Binding"):
                   status, payment_status
   order_items     lineitem: order_id, line_no, product_id, supplier_id,
                   quantity, price, supplier_price, marketplace_price
-  supplier_status per (order, supplier) entry from its first line
   products        part: category = p_type, base price, stock, owner supplier
   suppliers       supplier rows as users with a verification status
   buyers          customer rows as users; city = nation name
@@ -26,16 +25,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.chat import CATEGORIES
 from larder.sources.tables import read_table
 
 # Fixed values of the binding.
 AS_OF = "2001-08-01"          # "now" for every relative-date operator
 DEFAULT_CREDIT_LIMIT = 100000  # used when a limit is missing or zero
+FOOD = ["Fish", "Meat", "Vegetables", "Fruit", "Dairy", "Spices", "Seafood", "Poultry"]
 SUPPLIER_PRICE_DIVISOR = 1.15  # supplier price = marketplace price / 1.15
-# The reference's chat test messages (fixed values), in their original order.
-GOLDEN_MESSAGES = ["Hello bot", "help me please", "price of salmon", "is carrot in stock?",
-                   "show me fish products", "do I have notifications?", "what do clients say?",
-                   "status of order 6a2da135692b83529ff7e74c", "xyz123random"]
 
 
 def order_status(orderstatus: Column, priority: Column) -> Column:
@@ -137,23 +134,6 @@ class Marketplace:
              .alias("entry_status"),
         )
 
-    @cached_property
-    def supplier_status(self) -> DataFrame:
-        """Per (order, supplier): the status entry taken from its first line.
-
-        ``min(struct)`` is an ordinary aggregate, so it combines map-side and
-        never sorts a group. Suppliers with key divisible by 10 carry no entry,
-        which exercises the fall-back to the order status.
-        """
-        li = self.raw("lineitem").where(F.pmod("l_suppkey", F.lit(10)) != 0)
-        first = (li.groupBy("l_orderkey", "l_suppkey")
-                 .agg(F.min(F.struct("l_linenumber", "l_linestatus", "l_returnflag")).alias("e")))
-        return first.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_suppkey").alias("supplier_id"),
-            entry_status(F.col("e.l_linestatus"), F.col("e.l_returnflag")).alias("status"),
-        )
-
     # -- catalogue and users ----------------------------------------------
     @cached_property
     def suppliers(self) -> DataFrame:
@@ -306,10 +286,36 @@ class Marketplace:
 
     @cached_property
     def messages(self) -> DataFrame:
-        """User turns of ``conversations`` plus the nine reference chat
-        cases (conv_id -1), which cover every intent."""
-        c = self.raw("conversations").where(F.col("role") == "user")
-        conv = c.select("conv_id", "turn", F.col("text").alias("message"))
-        gold = self.spark.createDataFrame(
-            [(-1, i, m) for i, m in enumerate(GOLDEN_MESSAGES)], "conv_id bigint, turn bigint, message string")
-        return conv.unionByName(gold)
+        """User turns of ``conversations``, and the chat requests under the ids -1, -2, .."""
+        c = self.raw("conversations").where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("message"))
+        return c.unionByName(self.chat_requests.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "message"))
+
+    @cached_property
+    def chat_products(self) -> DataFrame:
+        """The products, named and classed by food word (product id mod 8)."""
+        word = F.element_at(F.array(*[F.lit(w) for w in FOOD]), (F.pmod("product_id", F.lit(len(FOOD))) + 1).cast("int"))
+        return self.products.withColumn("name", F.concat("name", F.lit(" "), F.lower(word))).withColumn("category", word)
+
+    @cached_property
+    def chat_requests(self) -> DataFrame:
+        """Questions of click events: (event id div 3) mod 14 picks the question. Users
+        whose event id is divisible by 3 are guests; for the questions 0 and 3 the user
+        is the buyer of the order asked about."""
+        e = self.raw("events").where(F.col("event_type") == "click").withColumn("q", F.pmod(F.expr("event_id div 3"), F.lit(14)))
+        n_orders = self.raw("orders").select(F.count(F.lit(1))).scalar()
+        n_parts = self.raw("part").select(F.count(F.lit(1))).scalar()
+        e = e.withColumn("o", F.pmod("event_id", n_orders)).withColumn("p", F.pmod("event_id", n_parts))
+        e = (e.join(self.orders.select(F.col("order_id").alias("o"), F.col("buyer_id")), "o", "left")
+             .join(self.chat_products.select(F.col("product_id").alias("p"), F.col("name").alias("product")), "p", "left"))
+        name = F.coalesce("product", F.lit("anything"))
+        word = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.pmod("event_id", F.lit(10)) + 1).cast("int"))
+        order = lambda c, n: F.lpad(c.cast("string"), n, "0")
+        first = F.element_at(F.split(name, " "), 1)
+        texts = [F.concat(F.lit("status of order "), order(F.col("o"), 24)), F.concat(F.lit("status of order "), order(F.col("o"), 24)),
+                 F.concat(F.lit("track order "), order(F.col("o") + 1_000_000_000, 24)), F.concat(F.lit("order "), order(F.col("o"), 8)),
+                 F.lit("track my orders"), F.concat(F.lit("price of "), name), F.concat(F.lit("is there any "), first),
+                 F.lit("price of unobtainium"), F.lit("how much"), F.concat(F.lit("show me "), word, F.lit(" products")),
+                 F.lit("any unread notifications?"), F.lit("what do clients say?"), F.lit("help me"), F.concat(F.lit("zzz "), first)]
+        user = F.when(F.pmod("event_id", F.lit(3)) == 0, None).when(F.col("q").isin(0, 3), F.col("buyer_id")).otherwise(F.col("user_id"))
+        return e.select(F.col("event_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), user.cast("long").alias("user_id"),
+                        F.element_at(F.array(*texts), (F.col("q") + 1).cast("int")).alias("message"))

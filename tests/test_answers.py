@@ -10,7 +10,7 @@ from tests.conftest import MEDIUM
 
 def test_every_branch_is_reached(spark):
     rows = pa.chat_answers(spark, MEDIUM).collect()
-    asked = pa.chat_requests(Marketplace(spark, MEDIUM)).count()
+    asked = Marketplace(spark, MEDIUM).chat_requests.count()
     assert len(rows) == asked == len({(r.conv_id, r.turn) for r in rows})
     data = [(r, json.loads(r.data)) for r in rows]
     kinds = Counter(r.response_type for r in rows)
