@@ -24,7 +24,7 @@ remove the bytes.
 
 Defined results: null and empty texts are empty and keep the hash of no bytes;
 texts shorter than ``DEPTH`` keep everything; repeated rows are occurrences of
-their own; an empty table gives no rows; extra columns are ignored. Texts beyond
+their own (rows that repeat id and text are cut once, their result repeated); an empty table gives no rows; extra columns are ignored. Texts beyond
 the block size are cut into overlapping pieces.
 """
 
@@ -270,10 +270,34 @@ def _remove(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int,
     return int((b - a).sum()), len(a), kept.hexdigest()
 
 
+def _with_count(work, batches):
+    """Hands the last column (a row count) past ``work``, which keeps rows and their order."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = pa.Table.from_batches(list(work([batch.select(batch.schema.names[:-1])])))
+        yield from out.append_column("_n", batch.column(batch.num_columns - 1)).combine_chunks().to_batches()
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs``."""
-    texts = keyed(docs)
-    found = (repeated_intervals(texts).groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs``.
+
+    Rows that repeat both id and text are worked on as one text: every window of it
+    also starts in the other row, so all of it is repeated, and its result counts for
+    each of its rows.
+    """
+    base = keyed(docs)
+    copies = stage(base.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.count("*").alias("_n"))
+                   .where("_n > 1"), "repeat-copies")
+    texts, found = base, None
+    if not copies.isEmpty():
+        alike = base.join(copies, _same(), "left_semi").groupBy("doc_id", "rk").agg(F.first("text").alias("text"))
+        texts = stage(base.join(copies, _same(), "left_anti").unionByName(alike), "repeat-texts")
+        last = (F.octet_length("text") - DEPTH).cast("long")
+        found = (texts.join(copies, _same(), "left_semi")
+                 .select("doc_id", "rk", F.lit(0).cast("long").alias("first"), last.alias("last")).where("last >= 0"))
+    inside = repeated_intervals(texts)
+    found = ((inside if found is None else inside.unionAll(found)).groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"))
              .agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")))
 
     def remove(batches):
@@ -294,5 +318,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                      pa.array(d, pa.int64()), pa.array(e, pa.string())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _packed_texts(texts).join(found, _same(), "left").select("doc_id", "packed", "first", "last")
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _packed_texts(texts).join(found, _same(), "left")
+    spec = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if texts is base:
+        return joined.select("doc_id", "packed", "first", "last").mapInArrow(remove, spec)
+    joined = joined.select("doc_id", "rk", "packed", "first", "last").join(
+        copies.withColumnsRenamed({"_id": "_cid", "_rk": "_crk"}), F.col("doc_id").eqNullSafe(F.col("_cid")) & (F.col("rk") == F.col("_crk")), "left")
+    one = joined.where("_n IS NULL").select("doc_id", "packed", "first", "last").mapInArrow(remove, spec)
+    # a text of many rows is cut once and its result row repeated
+    many = joined.where("_n IS NOT NULL").select("doc_id", "packed", "first", "last", "_n").mapInArrow(
+        lambda batches: _with_count(remove, batches), spec + ", _n long")
+    many = many.select("*", F.explode(F.expr("sequence(1L, _n)"))).drop("col", "_n")
+    return one.unionByName(many)

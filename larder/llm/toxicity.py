@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of word log-odds.
 
 Learning (labels of the training folds only, at most ``sample_rows`` labelled
-documents drawn by hash order):
+texts drawn by hash order, rows that repeat id and text once):
 
 1. the units of a word are the word itself and its beginnings (compounds of one
    stem share them). Documents per unit are counted among toxic and other sample
@@ -18,7 +18,8 @@ documents drawn by hash order):
 Scoring reads each whole text once: words, their scores, and all maximal
 scoring segments in one linear pass (Ruzzo and Tompa) over the scored words; a
 segment is a passage if its expected number by chance is below ``max_expected``.
-The model (at most ``model_units`` units) is the only thing sent to tasks.
+The model (at most ``model_units`` units, those of the highest share of toxic documents
+before the z-value test) is the only thing sent to tasks.
 
 Defined results: null and empty texts have no words and get the score of a text
 without evidence; repeated rows get equal scores; a null doc_id counts as the
@@ -290,7 +291,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, model_u
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     base = keyed(docs)
-    sample = stage(base.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text"), "toxic-sample")
+    # an id may stand on many rows: the bound holds for different texts, each taken once
+    drawn = (base.select("doc_id", "rk").join(F.broadcast(known), "doc_id").groupBy("doc_id", "rk").agg(F.max("toxic").alias("toxic"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id", "rk").limit(sample_rows))
+    sample = stage(base.join(F.broadcast(drawn.withColumnsRenamed({"doc_id": "_id", "rk": "_rk"})),
+                             (F.col("doc_id") == F.col("_id")) & (F.col("rk") == F.col("_rk")))
+                   .groupBy("doc_id", "rk").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("rk"), "toxic-sample")
     model = Model(word_cost=word_cost, max_expected=max_expected)
     learn = sample.where(fold(F.col("doc_id")) != FOLDS - 1)
     counts = stage(_unit_counts(learn), "toxic-units")

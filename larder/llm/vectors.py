@@ -44,6 +44,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
+def _slices(batches, rows: int = 512):
+    """Batches of at most ``rows`` rows: an angle matrix has that many rows and one column per pivot."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _by_dim(batch: pa.RecordBatch, column: int):
     sizes = np.asarray(batch.column(column).value_lengths())
     for d in np.unique(sizes):
@@ -155,7 +162,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 4096, max
               for d in np.unique(lengths)}
 
     def homes(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for d, part, m in _by_dim(batch, 2):
                 cells, p = pivots[d]
                 angle = _angles(m, p)
@@ -170,7 +177,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 4096, max
     blocks = np.array([max(1, -(-stats.get(c, (0, 0))[1] // block_rows)) for c in range(len(drawn))])
 
     def place(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for d, part, m in _by_dim(batch, 2):
                 cells, p = pivots[d]
                 angle = _angles(m, p)
