@@ -134,18 +134,24 @@ def read_state(notifications: DataFrame, read_events: DataFrame) -> DataFrame:
     r1 = n.join(one, "notification_id", "left").where(
         F.col("read_ts").isNull() | (F.col("read_ts") >= F.col("created_at")))
     first_one = r1.groupBy("notification_id").agg(F.min("read_ts").alias("read_one"))
-    # read-all: per user, the first read-all at/after creation. An as-of
-    # lookup over one time-ordered stream per user (notifications sort before
-    # events at the same instant), not a join of all pairs.
+    # read-all: per user, the first read-all at/after creation. An as-of look-up
+    # within a user's day (notifications sort before events at the same instant);
+    # if that day has none, the first one of the user's next day that has. No task
+    # holds more of a user than a day, or one row per day.
     allr = read_events.where(F.col("action") == "read_all").select(
         "user_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
         F.lit(None).cast("bigint").alias("notification_id"))
     mine = n.select("user_id", F.col("created_at").alias("t"), F.lit(0).alias("kind"), "notification_id")
-    wf = (Window.partitionBy("user_id").orderBy("t", "kind", "notification_id")
+    both = mine.unionByName(allr).withColumn("day", F.to_date("t"))
+    wf = (Window.partitionBy("user_id", "day").orderBy("t", "kind", "notification_id")
           .rowsBetween(0, Window.unboundedFollowing))
     nxt = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(wf)
-    w = (mine.unionByName(allr).select("notification_id", "kind", nxt.alias("read_all"))
-         .where(F.col("kind") == 0).drop("kind"))
+    days = both.groupBy("user_id", "day").agg(F.min(F.when(F.col("kind") == 1, F.col("t"))).alias("_first"))
+    later = Window.partitionBy("user_id").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    days = days.select("user_id", "day", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    w = (both.select("user_id", "day", "notification_id", "kind", nxt.alias("_same_day")).where(F.col("kind") == 0)
+         .join(days, ["user_id", "day"], "left")
+         .select("notification_id", F.coalesce("_same_day", "_later").alias("read_all")))
     deleted = read_events.where(F.col("action") == "delete").select("notification_id")
     out = (n.join(first_one, "notification_id", "left").join(w, "notification_id", "left")
            .join(deleted, "notification_id", "left_anti"))

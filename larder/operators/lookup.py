@@ -42,11 +42,16 @@ def text_grams(texts: DataFrame) -> DataFrame:
 def needle_matches(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, text) for distinct needles and distinct texts (both lower
     case) where text contains needle: gram equi-join, then the exact test.
-    Work grows with distinct values, not with rows."""
-    n = needles.select("needle").where(F.length("needle") > 0).distinct() \
-               .withColumn("gram", F.substring("needle", 1, MAX_GRAM))
-    t = texts.select("text").distinct()
-    return (n.join(text_grams(t), "gram").select("needle", "text").distinct()
+    Work grows with distinct values, not with rows; a needle is looked up by
+    the rarest of its grams, so a gram of most texts is no hot key."""
+    n = needles.select("needle").where(F.length("needle") > 0).distinct()
+    size = F.least(F.length("needle"), F.lit(MAX_GRAM))
+    own = F.transform(F.sequence(F.lit(1), F.length("needle") - size + 1), lambda i: F.substring(F.col("needle"), i, size))
+    grams = text_grams(texts.select("text").distinct())
+    many = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    rare = (n.select("needle", F.explode(F.array_distinct(own)).alias("gram")).join(many, "gram", "left")
+            .groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram")))
+    return (rare.join(grams, "gram").select("needle", "text").distinct()
             .where(F.col("text").contains(F.col("needle"))))
 
 

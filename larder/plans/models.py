@@ -226,16 +226,32 @@ def arima_forecast(spark, sf_dir):
     return out.withColumn("predicted", round_half_up("predicted", 3))
 
 
-@register("recursive_forecast", covers=("M14", "A24", "J14"))
+RECURSIVE_SQL = "WITH RECURSIVE " + series.PRODUCT_DAY_SQL[len("WITH "):] + f"""
+, numbered AS (SELECT product_id, date, quantity_sold, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY date DESC) AS r FROM pd)
+, start AS (SELECT product_id, MAX(date) AS last_date, list(quantity_sold ORDER BY date) AS h FROM numbered WHERE r <= 7 GROUP BY product_id)
+, walk(product_id, last_date, step, h) AS (
+    SELECT product_id, last_date, 0, h FROM start
+    UNION ALL
+    SELECT product_id, last_date, step + 1, list_append(h, list_avg(h[-7:])) FROM walk WHERE step < 30)
+, cats AS (SELECT DISTINCT product_id, category FROM pd)
+, days AS (
+    SELECT category, CAST(last_date + to_days(step) AS DATE) AS date, step, {rnd("SUM(h[-1])", 4)} AS quantity_sold
+    FROM walk JOIN cats USING (product_id) WHERE step > 0 GROUP BY category, last_date + to_days(step), step)
+SELECT category, date, CAST(step AS INTEGER) AS step, quantity_sold, CAST(horizon AS INTEGER) AS horizon
+FROM days JOIN (VALUES (7), (14), (30)) v(horizon) ON step <= horizon
+"""
+
+
+@register("recursive_forecast", covers=("A24", "J14"), sql=RECURSIVE_SQL)
 def recursive_forecast(spark, sf_dir):
-    """30 days forward per product (recursive MA(7)), summed by category;
-    horizons 7/14/30 are prefixes of the one 30-day run."""
+    """30 days forward per product (recursive MA(7)), summed by category and
+    rounded to 1e-4; horizons 7/14/30 are prefixes of the one 30-day run."""
     mk = Marketplace(spark, sf_dir)
     pd_ = series.product_day(mk)
     fc = md.recursive_ma_forecast(pd_, "product_id", "quantity_sold", 30, 7)
     cats = pd_.select("product_id", "category").distinct()
     by_cat = fc.join(cats, "product_id").groupBy("category", "date", "step").agg(
-        F.sum("forecast").alias("quantity_sold"))
+        round_half_up(F.sum("forecast"), 4).alias("quantity_sold"))
     horizons = F.explode(F.filter(F.array(F.lit(7), F.lit(14), F.lit(30)), lambda h: F.col("step") <= h))
     return by_cat.select("category", "date", "step", "quantity_sold", horizons.alias("horizon"))
 
