@@ -1,34 +1,39 @@
 """Token counts by scanning flat, unindexed token files for separators.
 
-A flat file is a stream of little-endian uint16 values with nothing around it:
-value 0 ends a document, ``id + 1`` is token ``id``, and six control values in
-the reserved range above the vocabulary spell the doc_id at the start of each
-document. Spark's own text writer makes the files (the end value is its record
-separator), so they live in any store that Spark writes.
-
-The scan reads whole files of bounded size (``FILE_ROWS`` documents each), cuts
-them into blocks of ``BLOCK_VALUES`` values, finds the separators of a block with
-one vectorised comparison, and stitches documents that cross blocks with a prefix
-scan over the blocks' separator counts and lengths. No index, no shuffle of text
-or tokens.
+A stream is a sequence of little-endian uint16 values with nothing around it: value 0 ends
+a document, ``id + 1`` is token ``id``, and six control values in the reserved range above
+the vocabulary spell the doc_id at the start of each document. Every write task makes one
+stream and cuts it into files of ``BLOCK_BYTES``, wherever that falls: a document may
+span files. Spark's own text writer makes the files (its record separator is one more end
+value at the end of a file), so they live in any store that Spark writes.
+
+The scan takes one file as a task's unit of work, however long the documents are. It finds
+the separators of a block with vectorised comparisons, counts the documents that lie inside
+the block, and hands on the lengths of its open ends: what comes before the first and
+after the last separator. A prefix scan over the blocks of a stream (two short rows per
+block) numbers the documents that cross borders, and their open lengths add up. No index, no
+shuffle of text or tokens.
 
 Defined results: null and empty texts count 0 tokens; repeated rows are counted
 each; a null doc_id comes back as null; an empty table gives no rows; extra columns are
-ignored. The end marker's string inside a text is ordinary text.
+ignored; a text of any length is cut like the others. The end marker's string inside a text
+is ordinary text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import keyed, staging_path
+from larder.llm.common import keyed, release_memory, stage, staging_path
 from larder.llm.tokens import TOKENIZER, encoded_texts, encoder
 
 BLOCK_VALUES = 1 << 20
-FILE_ROWS = 20_000
+BLOCK_BYTES = 8 << 20          # of a file; even
 CONTROL, DIGITS, RADIX = 51_200, 6, 12       # doc_id + 2^63 in six 12-bit digits; all ones: null
 END = 0
 
@@ -53,27 +58,28 @@ def _ids_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (total ^ np.uint64(1 << 63)).view(np.int64), null
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
-    """Encode every text into flat token files under ``path``."""
+def write_flat(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block_bytes: int = BLOCK_BYTES) -> None:
+    """Encode every text into flat token files of ``block_bytes`` under ``path``."""
     schema = pa.schema([("record", pa.binary())])
 
     def encode(batches):
-        code = encoder(tokenizer, False)
+        code, stream = encoder(tokenizer, False), bytearray()
         for batch in batches:
             heads = _id_values(batch.column(0).to_pylist())
-            held, size = [], 0
             for row, ids in encoded_texts(batch, "text", code):
-                held.append(heads[row].tobytes() + (np.frombuffer(ids, "<u4") + 1).astype("<u2").tobytes())
-                size += len(held[-1])
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
+                stream += heads[row].tobytes()
+                stream += (np.frombuffer(ids, "<u4") + 1).astype("<u2").tobytes()
+                stream += b"\0\0"
+                while len(stream) >= block_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes(stream[:block_bytes])], pa.binary())], schema=schema)
+                    del stream[:block_bytes]
+        if stream:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(stream)], pa.binary())], schema=schema)
+        release_memory()
 
     (keyed(docs).select("doc_id", "text").mapInArrow(encode, "record binary")
      .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_ROWS).text(path))
+     .write.option("lineSep", "\0\0").option("maxRecordsPerFile", 1).text(path))
 
 
 def separators(values: np.ndarray, end: int = END, block: int = BLOCK_VALUES) -> tuple[np.ndarray, np.ndarray]:
@@ -89,29 +95,63 @@ def separators(values: np.ndarray, end: int = END, block: int = BLOCK_VALUES) ->
     return starts, stops
 
 
-_COUNT = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64()),
-                    ("start", pa.int64()), ("n_tokens", pa.int64())])
+NAME = re.compile(r"part-(\d+)-.*-c(\d+)")       # stream and block of a file of the writer
+DOCUMENT, LEAD, TAIL = 0, 1, 2
+_SCAN = pa.schema([("stream", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()),
+                   ("start", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int32())), ("ends", pa.bool_())])
+_SCAN_SQL = "stream long, block long, kind int, place long, doc_id long, start long, n long, head array<int>, ends boolean"
+
+
+def _scan(name: str, values: np.ndarray):
+    """The whole documents of a block, and its open ends."""
+    stream, block = (int(x) for x in NAME.search(name).groups())
+    start, stop = separators(values)
+    inside = len(start) - 1
+    if inside > 0:
+        ids, null = _ids_of(values[start[1:, None] + np.arange(DIGITS)])
+        none = pa.nulls(inside, _SCAN.field("head").type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([stream] * inside), pa.array([block] * inside), pa.array([DOCUMENT] * inside, pa.int32()), pa.array(np.arange(1, inside + 1)),
+             pa.array(ids, mask=null), pa.array(start[1:]), pa.array(stop[1:] - start[1:]), none, pa.array([True] * inside)], schema=_SCAN)
+    ends = [(LEAD, 0, int(stop[0]) if len(stop) else len(values), len(stop) > 0)]
+    if len(stop) and stop[-1] + 1 < len(values):
+        ends.append((TAIL, int(stop[-1]) + 1, len(values), False))
+    for kind, a, b, closed in ends:
+        row = [stream, block, kind, 0, None, a, b - a, values[a:min(a + DIGITS, b)].tolist(), closed]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCAN, strict=True)], schema=_SCAN)
 
 
 def count_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, doc_id, start (first token's place in the file), n_tokens."""
+    """stream, block, place (number of its end separator in that block), doc_id, n_tokens."""
 
     def scan(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                name = batch.column(0)[r].as_py().rsplit("/", 1)[-1]
-                values = np.frombuffer(batch.column(1)[r].as_buffer(), "<u2")
-                start, stop = separators(values)
-                if not len(start):
-                    continue
-                ids, null = _ids_of(values[start[:, None] + np.arange(DIGITS)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(start)), pa.array(np.arange(len(start))),
-                     pa.array(ids, mask=null), pa.array(start + DIGITS), pa.array(stop - start - DIGITS)],
-                    schema=_COUNT)
+                data = batch.column(1)[r].as_buffer()
+                if data.size > 2:                           # the last value is the writer's
+                    yield from _scan(batch.column(0)[r].as_py().rsplit("/", 1)[-1], np.frombuffer(data, "<u2")[:-1])
+        release_memory()
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(scan, "file string, ordinal long, doc_id long, start long, n_tokens long")
+    found = stage(files.mapInArrow(scan, _SCAN_SQL), "token-scan")
+    whole = found.where(F.col("kind") == DOCUMENT).select("stream", "block", "place", "doc_id", (F.col("n") - DIGITS).alias("n_tokens"))
+    # a document ends with the first lead that holds a separator: the leads closed before give its number
+    order = Window.partitionBy("stream").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ends = found.where(F.col("kind") != DOCUMENT).withColumn("number", F.coalesce(F.sum(F.col("ends").cast("long")).over(order), F.lit(0)))
+    heads = F.array_sort(F.collect_list(F.struct("block", "kind", "head")))
+    crossing = ends.groupBy("stream", "number").agg(F.max("block").alias("block"), F.sum("n").alias("n"),
+                                                    F.slice(F.flatten(F.transform(heads, lambda x: x["head"])), 1, DIGITS).alias("head"))
+
+    def identify(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, null = _ids_of(np.array(batch.column(3).to_pylist(), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int64)),
+                                                  pa.array(ids, mask=null), batch.column(2)], names=["stream", "block", "place", "doc_id", "n_tokens"])
+
+    crossed = crossing.select("stream", "block", (F.col("n") - DIGITS).alias("n_tokens"), "head").mapInArrow(
+        identify, "stream long, block long, place long, doc_id long, n_tokens long")
+    return whole.unionByName(crossed)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
