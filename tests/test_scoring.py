@@ -72,3 +72,15 @@ def test_rules_on_absent_optional_fields_and_empty_arrays_hold(spark):
                                  "supplierStatuses array<struct<supplier:string,status:string>>")
     docs = docs.withColumn("total", F.lit(1.0)).withColumn("paymentStatus", F.lit(None).cast("string"))
     assert [r.violations for r in sc.violations(docs, sc.SCHEMAS["order"]).orderBy("buyer").collect()] == ["", "status:enum"]
+
+
+def test_metrics_and_best_parameters_are_written_as_json(spark):
+    from larder.plans import models as pm
+    from larder.sources.files import write_table
+    path = tempfile.mkdtemp(prefix="larder-metrics-")
+    grid = {"rounds": [2], "depth": [2], "rate": [0.1], "alpha": [0.0, 1.0]}
+    table = pm.tuned_boosted_cv(spark, SMALL, draws=2, grid=grid)
+    write_table(table, path, "json")
+    back = spark.read.schema(table.schema).json(path)
+    assert sorted(map(tuple, back.select(table.columns).collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+    assert back.where("best").count() == 1
