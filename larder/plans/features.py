@@ -123,6 +123,47 @@ def study_features_encoded(spark, sf_dir):
     return encoded(study_features(series.product_day(Marketplace(spark, sf_dir))), ["category", "weather_condition"])
 
 
+def _study_sql() -> str:
+    lags = ", ".join(f"LAG(quantity_sold, {k}) OVER w AS lag_{k}" for k in STUDY_LAGS)
+    rolls = ", ".join(f"CASE WHEN COUNT(quantity_sold) OVER w{n} >= {max(1, n // 2)} THEN {f}(quantity_sold) OVER w{n} END AS rolling_{name}_{n}"
+                      for f, name in (("AVG", "mean"), ("STDDEV_SAMP", "std")) for n in STUDY_WINDOWS)
+    windows = ", ".join(f"w{n} AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in STUDY_WINDOWS)
+    rounded = ", ".join(f"{rnd(c, 6)} AS {c}" if c.startswith("rolling") else c for c in STUDY_MADE)
+    return series.PRODUCT_DAY_SQL + f"""
+, f AS (
+    SELECT product_id, category, date, quantity_sold, price_mean, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter,
+           CAST(isodow(date) - 1 AS INTEGER) AS day_of_week_num, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
+           CASE dayofyear(date) % 3 WHEN 0 THEN 'Sunny' WHEN 1 THEN 'Rainy' ELSE 'Cloudy' END AS weather_condition,
+           CAST(dayofyear(date) % 10 = 0 AS INTEGER) AS is_holiday, {lags}, {rolls},
+           COALESCE(price_mean - LAG(price_mean, 1) OVER w, 0.0) AS price_change
+    FROM pd WINDOW w AS (PARTITION BY product_id ORDER BY date), {windows})
+, g AS (SELECT * FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in STUDY_MADE)})
+, dates AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS k FROM (SELECT DISTINCT date FROM g))
+, cut AS (SELECT date AS cut_date FROM dates WHERE i = CAST(floor(k * 0.8) AS BIGINT))
+, cats AS (SELECT category, ROW_NUMBER() OVER (ORDER BY category) - 1 AS place FROM (SELECT DISTINCT category FROM g, cut WHERE date < cut_date))
+, wx AS (SELECT weather_condition, ROW_NUMBER() OVER (ORDER BY weather_condition) - 1 AS place
+         FROM (SELECT DISTINCT weather_condition FROM g, cut WHERE date < cut_date))
+SELECT product_id, date, quantity_sold, price_mean, month, quarter, day_of_week_num, is_weekend, is_holiday, {rounded}, {rnd("price_change", 6)} AS price_change,
+       CASE WHEN date < cut_date THEN 'train' ELSE 'test' END AS split, CAST(cats.place AS INTEGER) AS category_place, CAST(wx.place AS INTEGER) AS weather_place
+FROM g CROSS JOIN cut LEFT JOIN cats ON cats.category = g.category LEFT JOIN wx ON wx.weather_condition = g.weather_condition
+"""
+
+
+@register("study_feature_columns", covers=("M18", "M1", "F11", "W1", "W2", "W13", "W18", "W20"), sql=_study_sql())
+def study_feature_columns(spark, sf_dir):
+    """M18 in plain columns: of each one-hot vector the place that is set (null for a level the train rows lack)."""
+    rows = fe.split_by_date_position(study_features(series.product_day(Marketplace(spark, sf_dir))), 0.8)
+    stages, _ = md.one_hot_stages(["category", "weather_condition"])
+    fitted = Pipeline(stages=stages).fit(rows.where(F.col("split") == "train"))
+    out = fitted.transform(rows)
+    place = lambda c, n: F.when(F.col(f"{c}_idx") < n, F.col(f"{c}_idx").cast("int"))
+    sizes = [len(fitted.stages[i].labels) for i in (0, 2)]
+    return _round(out.select("product_id", "date", "quantity_sold", "price_mean", "month", "quarter", "day_of_week_num", "is_weekend", "is_holiday",
+                             *STUDY_MADE, "price_change", "split", place("category", sizes[0]).alias("category_place"),
+                             place("weather_condition", sizes[1]).alias("weather_place")),
+                  [*[c for c in STUDY_MADE if c.startswith("rolling")], "price_change"])
+
+
 GRID_SQL = series.GRID_SQL + """
 SELECT category, date, demand, orders_count, price_mean, weather_condition, is_holiday FROM grid
 """
