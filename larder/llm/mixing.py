@@ -10,7 +10,9 @@ time 1, whatever the order of the input.
 Defined results: null text has size 0; a null source is a source of its own
 (last in order); repeated rows are separate documents; an empty table gives an
 empty mix; a source without words has target 0 and its documents are taken 0
-words (one copy in ``mix``). Extra columns are passed through by ``mix``.
+words (one copy in ``mix``). Extra columns are passed through by ``mix``. Of a text only
+its size is used. Rows that share a doc_id (or have none) share one piece of the order, which
+one task sums.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ the matches, and only texts with a match leave the scan with more than an id.
 
 Defined results: a null text is empty; texts without spans give empty strings and
 zero counts; repeated rows give equal results; an empty table gives no rows; extra
-columns are ignored. Offsets are code points, end exclusive.
+columns are ignored. Offsets are code points, end exclusive. A text is one value of its
+row and a token of the battery one array of its symbols, so the longest of them bounds a task.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ every executor can read.
 
 Defined results: null and empty texts hold only the end id; a null doc_id sorts
 first; repeated rows are encoded each; extra columns are ignored; an empty table
-gives empty files.
+gives empty files. Texts are encoded about a million characters at a time, a longer one
+alone; a document is one run of ids of its page, whatever its length.
 """
 
 from __future__ import annotations

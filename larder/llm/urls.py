@@ -9,7 +9,9 @@ keep their bit. The scan reads only the URL column and needs no shuffle.
 
 Defined results: a null URL, or one without ``://``, has empty host and path
 and so only rules that accept the empty string fit it; of several fitting rules
-the one with the largest priority decides, the first of equal ones.
+the one with the largest priority decides, the first of equal ones. Repeated
+rows are judged each, an empty table gives no rows, extra columns are ignored; a
+URL is read once, whatever its length.
 """
 
 from __future__ import annotations
