@@ -111,3 +111,26 @@ def test_search_scores_are_those_of_single_fits(spark):
                        fold="fold", keys=pm.DAY_KEYS).valid_rmse(0) for k in range(3)]
         assert math.isclose(r["cv_rmse"], sum(rmse) / 3, rel_tol=1e-9)
     assert sum(r["best"] for r in rows) == 1
+
+
+# 30 days of one product of the daily golden table, and four of its rows
+GOLDEN_QUANTITIES = [30, 25, 18, 35, 22, 15, 20, 32, 28, 12, 28, 20, 14, 24, 32, 18, 16, 30, 22, 10, 26, 34, 18, 15, 28, 20, 12, 24, 30, 16]
+GOLDEN_ROWS = {   # day of January 2024: lag 1, 7, 14, rolling mean and deviation over 7 and 14
+    15: (24.0, 32.0, 30.0, 22.571428571428573, 7.546680127869537, 23.071428571428573, 7.01058853794399),
+    16: (32.0, 28.0, 25.0, 22.571428571428573, 7.546680127869537, 23.214285714285715, 7.180942421850636),
+    22: (26.0, 32.0, 32.0, 22.0, 7.916228058025279, 22.285714285714285, 7.436175313741823),
+    30: (30.0, 18.0, 18.0, 21.0, 6.658328118479393, 21.642857142857142, 7.291798795244535),
+}
+
+
+def test_daily_features_equal_the_golden_rows(spark):
+    from larder.plans.features import product_features_of
+    rows = [(1, "Fish", datetime.date(2024, 1, 1 + i), float(q), 1, 9.0) for i, q in enumerate(GOLDEN_QUANTITIES)]
+    days = spark.createDataFrame(rows, "product_id long, category string, date date, quantity_sold double, orders_count long, price_mean double")
+    got = {r.date.day: r for r in product_features_of(days.repartition(3)).collect()}
+    assert sorted(got) == list(range(15, 31))
+    for day, want in GOLDEN_ROWS.items():
+        r = got[day]
+        mine = (r.lag_1, r.lag_7, r.lag_14, r.rolling_mean_7, r.rolling_std_7, r.rolling_mean_14, r.rolling_std_14)
+        assert np.allclose(mine, want, rtol=1e-12), day
+        assert (r.month, r.day_of_month, r.is_weekend) == (1, day, int(r.date.weekday() >= 5))

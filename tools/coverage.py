@@ -22,7 +22,6 @@ TESTED = {
     "S8": "tests/test_units.py::test_order_history_csv_and_model_round_trip (save_model/load_model)",
 }
 OPEN = {
-    "M20": "no comparison with the reference's own 96 rows",
     "K2": "the batch fold is row-at-a-time Python for every buyer",
 }
 
