@@ -37,7 +37,7 @@ def request_bodies(mk: Marketplace):
               _body("{", [full[0], ("category", F.lit("null")), full[2], ("is_holiday", F.lit("1.7")), full[4]])]
     pick = F.pmod(F.col("order_id") + F.col("line"), F.lit(8))
     return d.select((F.col("order_id") * 1000 + F.col("line")).alias("request_id"),
-                    F.element_at(F.array(*bodies), (pick + 1).cast("int")).alias("body"))
+                    F.coalesce(*[F.when(pick == i, b) for i, b in enumerate(bodies)]).alias("body"))
 
 
 PARSE_SQL = with_views("b_demand") + r"""
