@@ -19,7 +19,7 @@ KEY = ["conv_id", "turn"]
 RECENT = 50                    # orders of a user that a short id is looked up in
 # Texts of the answers
 LOGIN_ORDERS = "Please log in to track your orders."
-LOGIN_ORDERS_TEXT = "To track your orders, please sign in to your FreshLync account."
+LOGIN_ORDERS_TEXT = "To track your orders, please sign in to your account."
 LOGIN_NOTES = "Please log in to view your recent notifications."
 NO_ORDER_ID = "Please provide a specific Order ID to track."
 NOT_FOUND, FORBIDDEN = "Order not found.", "You are not authorised to view this order."
