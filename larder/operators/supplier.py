@@ -5,7 +5,9 @@ suppliers in one job. The shared building block is ``supplier_orders``: one
 row per (order, supplier) with the supplier's item subtotal and its
 effective status. It joins items to orders on ``order_id`` first and then
 aggregates by (order_id, supplier_id): the join's hash partitioning on
-``order_id`` already clusters the aggregate, so lineitem is shuffled once.
+``order_id`` already clusters the aggregate, so lineitem is shuffled once,
+into as many parts as its rows need (``TASK_ROWS``): a task's sort and its
+table of groups do not grow with the input.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from larder.functions.columns import (cents, cents_to_money, display_id, from_cents, money,
                                       round_half_up, safe_ratio)
 
+TASK_ROWS = 1_000_000  # item rows of one task of the join and the aggregate
 FEE_RATE = 0.10  # platform commission on supplier earnings (fixed value)
 # Order / entry statuses (fixed values); entries are packed as rank*16+code
 STATUSES = ["Pending Payment Verification", "Pending", "In Transit", "Delivered", "Cancelled"]
@@ -26,6 +29,14 @@ def line_value(price="price", supplier_price="supplier_price", quantity="quantit
     return money(F.coalesce(F.col(supplier_price), F.col(price)) * F.col(quantity))
 
 
+def dealt_by(rows: DataFrame, key: str, task_rows: int | None = None) -> DataFrame:
+    """``rows`` hashed by ``key`` into parts of about ``task_rows``, when these are
+    more than the session's shuffle partitions (the count reads no column)."""
+    spark = rows.sparkSession
+    parts = -(-rows.count() // (task_rows or TASK_ROWS))
+    return rows.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def supplier_orders(items: DataFrame, orders: DataFrame,
                     statuses: DataFrame | None = None) -> DataFrame:
     """(order_id, supplier_id, subtotal, subtotal_cents, status,
@@ -47,7 +58,7 @@ def supplier_orders(items: DataFrame, orders: DataFrame,
     if per_line:
         code = F.array_position(names, F.col("entry_status"))
         cols.append(F.when(F.col("entry_status").isNotNull(), F.col("entry_rank") * 16 + code).alias("packed"))
-    j = items.select(*cols).join(o, "order_id")
+    j = dealt_by(items.select(*cols), "order_id").join(o, "order_id")
     aggs = [F.sum("line_cents").alias("subtotal_cents")]
     if per_line:
         aggs.append(F.min("packed").alias("packed"))

@@ -109,3 +109,16 @@ def test_seasonal_regression_of_a_thousand_series(spark):
     assert row[0] == 1000 and row[1] < 1.0 and row[2] >= 0
     x = out.where("k = 7").orderBy("date").first()
     assert abs(x.trend + x.weekly + x.yearly + x.holiday - x.predicted) < 1e-9
+
+
+def test_supplier_orders_part_the_lines_by_their_number(spark, monkeypatch):
+    from larder.operators import supplier as sup
+    lines = spark.createDataFrame([(i // 4 if i % 17 else None, i, i % 3, 2.0 + i % 5, None if i % 2 else 1.5, 2.0) for i in range(400)],
+                                  "order_id long, line_no int, supplier_id long, price double, supplier_price double, quantity double")
+    orders = spark.createDataFrame([(i, "Pending", "Approved", None) for i in [*range(90), 5, 6]],
+                                   "order_id long, status string, payment_status string, order_date date")
+    want = sorted(map(str, sup.supplier_orders(lines, orders).collect()))
+    monkeypatch.setattr(sup, "TASK_ROWS", 20)
+    dealt = sup.supplier_orders(lines, orders)
+    assert sorted(map(str, dealt.collect())) == want
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and sup.dealt_by(lines, "order_id").rdd.getNumPartitions() == 20
