@@ -172,10 +172,12 @@ def split_by_position(df: DataFrame, order: Sequence[str], ratio: float = 0.8,
                  .drop("_pos")
 
 
-def split_by_date_position(df: DataFrame, ratio: float = 0.8, date_col: str = "date") -> DataFrame:
+def split_by_date_position(df: DataFrame, ratio: float = 0.8, date_col: str = "date",
+                           dates: DataFrame | None = None) -> DataFrame:
     """Cut at the distinct date with index floor(k * ratio); earlier
-    dates train, the rest test."""
-    dates = df.select(date_col).distinct()
+    dates train, the rest test. ``dates`` holds the dates of ``df``, if they
+    are at hand without computing ``df``."""
+    dates = (df if dates is None else dates).select(date_col).distinct()
     k = dates.select(F.count(F.lit(1))).scalar()
     w = Window.orderBy(date_col)
     idx = dates.select(date_col, (F.row_number().over(w) - 1).alias("_i"))

@@ -18,6 +18,7 @@ from larder.plans import series
 from larder.plans.registry import register
 from larder.plans.sql_binding import with_views
 from larder.plans.sqlfrag import rnd
+from larder.session import checkpoint_dir
 from larder.sources.binding import Marketplace, holiday_of, weather_of
 
 R6 = ["rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", "price_change"]
@@ -99,10 +100,14 @@ def encoded(df, cols):
     """``df`` with ``cols`` replaced by one-hot vectors ``<col>_vec`` (M1): one
     place for each level of the train rows, all zeros for a level they do not
     have; ``<col>_column`` names the place that is set (``col_level``). A sparse
-    vector holds any number of levels."""
-    df = fe.split_by_date_position(df, 0.8)
+    vector holds any number of levels. The split and the levels come from the
+    distinct dates and levels, made once: ``df`` is computed for these and for
+    the rows, not for each."""
+    checkpoint_dir(df.sparkSession)
+    seen = df.select("date", *cols).distinct().checkpoint(eager=True)
+    df = fe.split_by_date_position(df, 0.8, dates=seen)
     stages, vecs = md.one_hot_stages(cols)
-    m = Pipeline(stages=stages).fit(df.where(F.col("split") == "train"))
+    m = Pipeline(stages=stages).fit(fe.split_by_date_position(seen, 0.8).where(F.col("split") == "train"))
     out = m.transform(df)
     names = []
     for c, fitted in zip(cols, m.stages[::2], strict=True):

@@ -122,3 +122,21 @@ def test_supplier_orders_part_the_lines_by_their_number(spark, monkeypatch):
     dealt = sup.supplier_orders(lines, orders)
     assert sorted(map(str, dealt.collect())) == want
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and sup.dealt_by(lines, "order_id").rdd.getNumPartitions() == 20
+
+
+def test_encoding_computes_its_rows_once_more_at_most(spark):
+    import datetime
+    from larder.plans import features as pf
+    rows = [(datetime.date(2020, 1, 1) + datetime.timedelta(days=i % 20), ["b", "a", None, "late"][3 if i % 20 > 17 else i % 3], i) for i in range(60)]
+    df = spark.createDataFrame(rows, "date date, category string, n int").repartition(3)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    got = pf.encoded(df.mapInArrow(count, df.schema), ["category"]).collect()
+    assert made.value == 2 * 60         # the dates and levels, and the rows
+    assert {(r["category_column"], tuple(r["category_vec"].toArray())) for r in got} == {("category_a", (1.0, 0.0)), ("category_b", (0.0, 1.0)), (None, (0.0, 0.0))}
+    assert {r["split"] for r in got if r["date"] < datetime.date(2020, 1, 17)} == {"train"} and sum(r["split"] == "test" for r in got) == 12
