@@ -26,26 +26,36 @@ MALFORMED, NO_OBJECT = "Malformed JSON", "Request is not an object"
 
 
 def parse_requests(bodies: DataFrame) -> DataFrame:
-    """``request_id``, the normalised fields (P12) and ``error`` (null if accepted) of ``body`` texts."""
-    v = F.try_parse_json(F.regexp_replace("body", "^﻿", ""))
-    rows = bodies.select("request_id", v.alias("v"))
-    get = lambda f, kind: F.try_variant_get("v", f"$.{f}", kind)
-    object_ = F.schema_of_variant("v").startswith("OBJECT")
-    missing = F.coalesce(*[F.when(get(f, "variant").isNull(), F.lit(f"Missing required feature: {f}")) for f in REQUIRED])
-    error = F.when(F.col("v").isNull(), MALFORMED).when(~object_, NO_OBJECT).otherwise(missing)
+    """``request_id``, the normalised fields (P12) and ``error`` (null if accepted) of ``body`` texts.
+
+    A step per select: what the next step uses more than once (the parsed body, a field, its
+    text, the error) is worked out once a row and kept as a column.
+    """
+    fields = [*REQUIRED, "is_holiday"]
+    get = lambda c, path, kind: F.try_variant_get(c, path, kind)
+    bare = F.when(F.col("body").startswith("\ufeff"), F.substring("body", 2, 1 << 30)).otherwise(F.col("body"))
+    rows = bodies.select("request_id", bare.alias("body"))
+    # a body that parses is an object if it opens with a brace
+    rows = rows.select("request_id", F.try_parse_json("body").alias("v"), F.ltrim("body", F.lit(" \t\r\n")).startswith("{").alias("object"))
+    rows = rows.select("request_id", "v", "object", *[get("v", f"$.{f}", "variant").alias(f) for f in fields])
+    missing = F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f"Missing required feature: {f}")) for f in REQUIRED])
+    error = F.when(F.col("v").isNull(), MALFORMED).when(~F.col("object"), NO_OBJECT).otherwise(missing)
     # a null counts as the text it prints as
-    text = lambda f: F.trim(F.coalesce(get(f, "string"), F.lit("None")))
-    cat = F.lower(text("category"))
-    kind = F.schema_of_variant(get("is_holiday", "variant"))
-    number = F.when(kind == "BOOLEAN", get("is_holiday", "boolean").cast("int")).when(
-        kind == "STRING", F.when(F.trim(get("is_holiday", "string")).rlike(r"^[+-]?\d+$"), F.trim(get("is_holiday", "string")).try_cast("long"))
-    ).otherwise(F.floor(F.abs(get("is_holiday", "double"))) * F.signum(get("is_holiday", "double")))
-    ok = error.isNull()
-    fields = {"product_name": get("product_name", "string"),
-              "category": F.coalesce(*[F.when(cat == k, F.lit(x)) for k, x in CATEGORY_SYNONYMS.items()], cat),
-              "day_of_week": capitalize(text("day_of_week")), "weather_condition": F.lower(text("weather_condition")),
-              "is_holiday": F.when(F.coalesce(number, F.lit(0)) > 0, 1).otherwise(0)}
-    return rows.select("request_id", *[F.when(ok, c).alias(n) for n, c in fields.items()], error.alias("error"))
+    text = lambda f: F.trim(F.coalesce(get(f, "$", "string"), F.lit("None")))
+    rows = rows.select("request_id", error.alias("error"), get("product_name", "$", "string").alias("product_name"),
+                       F.lower(text("category")).alias("category"), text("day_of_week").alias("day_of_week"),
+                       F.lower(text("weather_condition")).alias("weather_condition"), F.col("is_holiday").alias("flag"),
+                       F.schema_of_variant("is_holiday").alias("kind"), F.trim(get("is_holiday", "$", "string")).alias("flag_text"))
+    size = get("flag", "$", "double")
+    number = F.when(F.col("kind") == "BOOLEAN", get("flag", "$", "boolean").cast("int")).when(
+        F.col("kind") == "STRING", F.when(F.col("flag_text").rlike(r"^[+-]?\d+$"), F.col("flag_text").try_cast("long"))
+    ).otherwise(F.floor(F.abs(size)) * F.signum(size))
+    cat = F.col("category")
+    made = {"product_name": F.col("product_name"),
+            "category": F.coalesce(*[F.when(cat == k, F.lit(x)) for k, x in CATEGORY_SYNONYMS.items()], cat),
+            "day_of_week": capitalize(F.col("day_of_week")), "weather_condition": F.col("weather_condition"),
+            "is_holiday": F.when(F.coalesce(number, F.lit(0)) > 0, 1).otherwise(0)}
+    return rows.select("request_id", *[F.when(F.col("error").isNull(), c).alias(n) for n, c in made.items()], "error")
 
 
 class RequestModel:

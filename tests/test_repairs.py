@@ -140,3 +140,16 @@ def test_encoding_computes_its_rows_once_more_at_most(spark):
     assert made.value == 2 * 60         # the dates and levels, and the rows
     assert {(r["category_column"], tuple(r["category_vec"].toArray())) for r in got} == {("category_a", (1.0, 0.0)), ("category_b", (0.0, 1.0)), (None, (0.0, 0.0))}
     assert {r["split"] for r in got if r["date"] < datetime.date(2020, 1, 17)} == {"train"} and sum(r["split"] == "test" for r in got) == 12
+
+
+def test_requests_are_parsed_once_a_row(spark):
+    from larder.operators import scoring as sc
+    whole = '{"product_name": "p", "category": %s, "day_of_week": " MONDAY ", "weather_condition": null, "is_holiday": %s}'
+    bodies = [(whole % ('" Grains"', '" +2 "'), ("p", "grain", "Monday", "none", 1, None)), (whole % ("1.50", "0.5"), ("p", "1.5", "Monday", "none", 0, None)),
+              ("﻿ \t\r\n" + whole % ('"FISH"', "true"), ("p", "fish", "Monday", "none", 1, None)), (whole % ('{"a": [1]}', "{}"), ("p", '{"a":[1]}', "Monday", "none", 0, None)),
+              ("﻿﻿{}", (None,) * 5 + (sc.MALFORMED,)), (None, (None,) * 5 + (sc.MALFORMED,)), (' ["{"]', (None,) * 5 + (sc.NO_OBJECT,)),
+              ('"{"', (None,) * 5 + (sc.NO_OBJECT,)), (" {}", (None,) * 5 + ("Missing required feature: product_name",))]
+    rows = sc.parse_requests(spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "request_id long, body string"))
+    assert [tuple(r)[1:] for r in rows.orderBy("request_id").collect()] == [want for _, want in bodies]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") < 20 and plan.count("schemaOfVariant(") == 1
