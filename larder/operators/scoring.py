@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import boosting as bo
 from larder.operators.models import CATEGORY_SYNONYMS, capitalize
+from larder.session import checkpoint_dir
 
 # Request fields in the order they are checked
 REQUIRED = ["product_name", "category", "day_of_week", "weather_condition"]
@@ -72,23 +73,29 @@ class RequestModel:
 
     @classmethod
     def train(cls, rows: DataFrame, texts: list[str], numbers: list[str], targets: list[str], params: dict, part: Column) -> RequestModel:
-        """Rows of equal fields train as one row of their mean and weight, in parts by ``part``."""
+        """Rows of equal fields train as one row of their mean and weight, in parts by ``part``.
+
+        The rows are read once: the levels and the codes come from the rows of distinct fields."""
+        checkpoint_dir(rows.sparkSession)
+        few = rows.groupBy(*texts, *numbers, part.alias("_part")).agg(*[F.avg(t).alias(t) for t in targets], F.count("*").alias("_n")).checkpoint(eager=True)
         levels = {}
         for c in texts:      # the fields have few levels: categories, weekdays, weathers
-            levels[c] = [r[0] for r in rows.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
-        coded = rows.select("*", *[cls.code(c, x) for c, x in levels.items()], part.alias("_part"))
+            levels[c] = [r[0] for r in few.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
         features = [f"{c}_code" for c in texts] + numbers
-        few = coded.groupBy(*features, "_part").agg(*[F.avg(t).alias(t) for t in targets], F.count("*").alias("_n"))
-        fitted = bo.fit(few, features, targets, [{**params, "target": i} for i in range(len(targets))], weight="_n", keys=[*features, "_part"])
+        coded = few.select(*[cls.code(c, x) for c, x in levels.items()], *numbers, "_part", *targets, "_n")
+        fitted = bo.fit(coded, features, targets, [{**params, "target": i} for i in range(len(targets))], weight="_n", keys=[*features, "_part"])
         return cls(levels, numbers, targets, fitted)
 
-    def score(self, requests: DataFrame) -> DataFrame:
-        """``requests`` with one ``pred_<target>`` each; rows with an ``error`` get none."""
-        coded = requests.select("*", *[self.code(c, x) for c, x in self.levels.items()])
+    def score(self, requests: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """``columns`` of ``requests`` (else all) with one ``pred_<target>`` each; rows with an ``error`` get none."""
+        columns = columns or requests.columns
+        error = ["error"] if "error" in requests.columns else []
+        needed = dict.fromkeys([*columns, *self.levels, *self.numbers, *error])
         made = {f"pred_{t}": i for i, t in enumerate(self.targets)}
-        out = self.fitted.predict(coded, made)
-        keep = F.col("error").isNull() if "error" in requests.columns else F.lit(True)
-        return out.select(*requests.columns, *[F.when(keep, F.col(c)).alias(c) for c in made])
+        out = self.fitted.predict(requests.select(*needed), made, levels={f"{c}_code": (c, x) for c, x in self.levels.items()},
+                                  hand_on=list(dict.fromkeys([*columns, *error])))
+        keep = F.col("error").isNull() if error else F.lit(True)
+        return out.select(*columns, *[F.when(keep, F.col(c)).alias(c) for c in made])
 
     def save(self, spark: SparkSession, path: str) -> None:
         head = {"levels": self.levels, "numbers": self.numbers, "targets": self.targets, "features": self.fitted.features,

@@ -99,7 +99,7 @@ def request_model(mk: Marketplace, rounds: int = 200, depth: int = 4) -> sc.Requ
 def json_request_scores(spark, sf_dir):
     """Every JSON request: both predictions, or the reason of its refusal."""
     mk = Marketplace(spark, sf_dir)
-    scored = request_model(mk).score(sc.parse_requests(request_bodies(mk)))
+    scored = request_model(mk).score(sc.parse_requests(request_bodies(mk)), ["request_id", "error"])
     return scored.select("request_id", F.col("pred_quantity_sold").alias("quantity_sold"), F.col("pred_price").alias("price"), "error")
 
 

@@ -153,3 +153,40 @@ def test_requests_are_parsed_once_a_row(spark):
     assert [tuple(r)[1:] for r in rows.orderBy("request_id").collect()] == [want for _, want in bodies]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_variant_get") < 20 and plan.count("schemaOfVariant(") == 1
+
+
+def test_equal_rows_of_later_batches_are_not_predicted_again(monkeypatch):
+    from larder.operators import boosting as bo
+    trees = bo.Trees(1.0, 1.0)
+    trees.add({"feature": np.array([0, -1, -1]), "cut": np.array([4, 0, 0]), "left": np.array([1, -1, -1]), "value": np.array([0.0, 2.0, 3.0]), "gain": np.zeros(3)})
+    walked, walk = [], bo.Trees._walk
+    monkeypatch.setattr(bo.Trees, "_walk", lambda self, x: (walked.append(len(x)), walk(self, x))[1])
+    for width in (3, 11):
+        x, known = np.random.default_rng(width).integers(0, 9, (500, width)).astype(np.uint8), {}
+        x[:, 1:] //= 8
+        want = walk(trees, x)
+        assert np.array_equal(trees.predict(x, known), want) and np.array_equal(trees.predict(x), want)
+        walked.clear()
+        assert np.array_equal(trees.predict(x[::-1], known), want[::-1]) and not walked
+        monkeypatch.setattr(bo, "KNOWN_ROWS", 7)
+        assert np.array_equal(trees.predict(x[:5], known), want[:5]) and np.array_equal(trees.predict(x, known), want)
+        monkeypatch.undo()
+        monkeypatch.setattr(bo.Trees, "_walk", lambda self, x: (walked.append(len(x)), walk(self, x))[1])
+
+
+def test_request_model_reads_its_rows_once(spark):
+    from larder.operators import scoring as sc
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            read.add(b.num_rows)
+            yield b
+    rows = spark.range(300).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("c"), (F.col("id") % 2).cast("int").alias("n"),
+                                   (F.col("id") % 3 + F.col("id") % 2).cast("double").alias("y"), "id")
+    model = sc.RequestModel.train(rows.mapInArrow(counted, rows.schema), ["c"], ["n"], ["y"], dict(kind="boost", rounds=5, depth=2), F.col("id") % 10)
+    assert read.value == 300 and model.levels == {"c": ["c0", "c1", "c2"]}
+    asked = spark.createDataFrame([(1, "c1", 0, None), (2, None, 1, None), (3, "new", 1, None), (4, "c1", 0, "bad"), (5, "c1", 0, None)], "k int, c string, n int, error string")
+    got = [tuple(r) for r in model.score(asked, ["k"]).orderBy("k").collect()]
+    assert got[0][1] == got[4][1] and got[1][1] == got[2][1] != got[0][1] and got[3] == (4, None)
+    assert model.score(asked).columns == ["k", "c", "n", "error", "pred_y"]
