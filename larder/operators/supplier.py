@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from larder.functions.columns import (cents, cents_to_money, display_id, from_cents, money,
                                       round_half_up, safe_ratio)
 
-TASK_ROWS = 1_000_000  # item rows of one task of the join and the aggregate
+TASK_ROWS = 250_000  # item rows of one task of the join and the aggregate
 FEE_RATE = 0.10  # platform commission on supplier earnings (fixed value)
 # Order / entry statuses (fixed values); entries are packed as rank*16+code
 STATUSES = ["Pending Payment Verification", "Pending", "In Transit", "Delivered", "Cancelled"]
@@ -30,11 +30,12 @@ def line_value(price="price", supplier_price="supplier_price", quantity="quantit
 
 
 def dealt_by(rows: DataFrame, key: str, task_rows: int | None = None) -> DataFrame:
-    """``rows`` hashed by ``key`` into parts of about ``task_rows``, when these are
-    more than the session's shuffle partitions (the count reads no column)."""
-    spark = rows.sparkSession
+    """``rows`` hashed by ``key`` into parts of about ``task_rows`` (the count reads no column).
+
+    Parts of a given number are not merged to the size of a file, and an aggregate by ``key``
+    after a broadcast join holds the groups of one part, not those of a whole file split."""
     parts = -(-rows.count() // (task_rows or TASK_ROWS))
-    return rows.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+    return rows.repartition(parts, key) if parts > 1 else rows
 
 
 def supplier_orders(items: DataFrame, orders: DataFrame,

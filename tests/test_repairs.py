@@ -190,3 +190,16 @@ def test_request_model_reads_its_rows_once(spark):
     got = [tuple(r) for r in model.score(asked, ["k"]).orderBy("k").collect()]
     assert got[0][1] == got[4][1] and got[1][1] == got[2][1] != got[0][1] and got[3] == (4, None)
     assert model.score(asked).columns == ["k", "c", "n", "error", "pred_y"]
+
+
+def test_supplier_orders_part_few_lines_too(spark, monkeypatch):
+    from larder.operators import supplier as sup
+    lines = spark.range(400).select((F.col("id") % 90).alias("order_id"), F.col("id").cast("int").alias("line_no"), (F.col("id") % 3).alias("supplier_id"),
+                                    F.lit(2.0).alias("price"), F.lit(None).cast("double").alias("supplier_price"), F.lit(1.0).alias("quantity"))
+    orders = spark.range(90).select(F.col("id").alias("order_id"), F.lit("Pending").alias("status"), F.lit("Approved").alias("payment_status"),
+                                    F.lit(None).cast("date").alias("order_date"))
+    want = sorted(map(str, sup.supplier_orders(lines, orders).collect()))
+    monkeypatch.setattr(sup, "TASK_ROWS", 200)      # two parts, fewer than the session's
+    dealt = sup.supplier_orders(lines, orders)
+    assert sorted(map(str, dealt.collect())) == want and "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sup.dealt_by(lines, "order_id").rdd.getNumPartitions() == 2
