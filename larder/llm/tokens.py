@@ -26,7 +26,9 @@ alone; a document is one run of ids of its page, whatever its length.
 
 from __future__ import annotations
 
+import codecs
 import functools
+import operator
 import os
 import re
 import unicodedata
@@ -47,6 +49,7 @@ CACHE_PIECES = 400_000        # of each of two generations, about 200 bytes a pi
 LATIN = 0x250
 TOKENIZER = "byte_bpe_50k.json"
 END_TEXT = "<|endoftext|>"
+_ID = operator.attrgetter("id")
 
 
 class _Recent:
@@ -75,6 +78,12 @@ class _Recent:
 # the other bytes, in order, from U+0100 on
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LETTERS = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))     # as a table of bytes, which decodes ten times as fast
+
+
+def byte_letters(piece: str) -> str:
+    """The bytes of a piece as the vocabulary spells them."""
+    return codecs.charmap_decode(piece.encode(), "strict", _LETTERS)[0]
 
 
 def _latin_pieces():
@@ -122,8 +131,7 @@ class Encoder:
                 cut.append((codes, [(i, pieces[i]) for i in holes]))
         tokenize, known = self._tokenizer.model.tokenize, self._known.new
         for piece in self._known.missing(lack):
-            letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            known[piece] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            known[piece] = array("I", map(_ID, tokenize(byte_letters(piece)))).tobytes()
         out = []
         for codes, holes in cut:
             for i, piece in holes:

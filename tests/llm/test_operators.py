@@ -478,3 +478,9 @@ def test_empty_documents(no_docs, operator):
 def test_empty_decontamination(spark, no_docs):
     bench = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
     assert decontam.report(no_docs, bench).count() == 0
+
+
+def test_bytes_are_spelled_as_the_vocabulary_does():
+    text = "".join(map(chr, [*range(0x300), 0x20AC, 0x1F600]))
+    assert tokens.byte_letters(text) == "".join(chr(tokens._BYTE_LETTERS.get(b, b)) for b in text.encode())
+    assert tokens.byte_letters("") == "" and tokens.byte_letters(" a\n") == "ĠaĊ"
