@@ -165,11 +165,11 @@ def test_equal_rows_of_later_batches_are_not_predicted_again(monkeypatch):
         x, known = np.random.default_rng(width).integers(0, 9, (500, width)).astype(np.uint8), {}
         x[:, 1:] //= 8
         want = walk(trees, x)
-        assert np.array_equal(trees.predict(x, known), want) and np.array_equal(trees.predict(x), want)
+        assert np.array_equal(trees.predict_kept(x, known), want) and np.array_equal(trees.predict(x), want)
         walked.clear()
-        assert np.array_equal(trees.predict(x[::-1], known), want[::-1]) and not walked
+        assert np.array_equal(trees.predict_kept(x[::-1], known), want[::-1]) and not walked
         monkeypatch.setattr(bo, "KNOWN_ROWS", 7)
-        assert np.array_equal(trees.predict(x[:5], known), want[:5]) and np.array_equal(trees.predict(x, known), want)
+        assert np.array_equal(trees.predict_kept(x[:5], known), want[:5]) and np.array_equal(trees.predict_kept(x, known), want)
         monkeypatch.undo()
         monkeypatch.setattr(bo.Trees, "_walk", lambda self, x: (walked.append(len(x)), walk(self, x))[1])
 
