@@ -484,3 +484,48 @@ def test_bytes_are_spelled_as_the_vocabulary_does():
     text = "".join(map(chr, [*range(0x300), 0x20AC, 0x1F600]))
     assert tokens.byte_letters(text) == "".join(chr(tokens._BYTE_LETTERS.get(b, b)) for b in text.encode())
     assert tokens.byte_letters("") == "" and tokens.byte_letters(" a\n") == "ĠaĊ"
+
+
+def test_new_pieces_are_many_to_a_call_and_merge_as_if_alone():
+    import public_tokenizers as P
+    code = tokens.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN, True)
+    library, calls = code._tokenizer.model, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def tokenize(self, letters):
+            calls.append(letters)
+            return library.tokenize(letters)
+
+    class Holder:
+        model = Counted()
+
+    code._tokenizer = Holder()
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}'s" for i in range(k, k + 200)) for k in (0, 100)]
+    got = code.encode(texts)
+    assert len(calls) <= 10                                  # 300 different words
+    assert got == [b"".join(array("I", [t.id for t in library.tokenize(tokens.byte_letters(p))]).tobytes()
+                            for w in (t.replace(" ", "\n ").split("\n")) for p in (w[:-2], "'s")) for t in texts]
+    assert code.encode(texts) == got and len(calls) <= 10
+
+
+def test_pieces_are_cut_as_the_pattern_does():
+    import random
+
+    import public_tokenizers as P
+    import regex
+    draw = random.Random(5)
+    parts = ["a", "s", "t", "re", "ve", "ll", "'", "'s", "'re", "'rest", "'v", " ", "  ", "\n", "\xa0", "1", "²", "漢", "𝒳", "\u0301",
+             "!", "\u3000", "\x1c", "\x85", "\u200b", "\ufeff", "é", "\U0010ffff", "\x00"]
+    texts = ["", "", " ", "'", "x'", "'r", " 's"] + ["".join(draw.choice(parts) for _ in range(draw.choice([0, 1, 2, 3, 30])))
+                                                     for _ in range(3000)] + [""]
+    code = tokens.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN, False)
+    pieces, ends = code._cut(texts)
+    cut = regex.compile(P.PATTERN).findall
+    assert pieces.to_pylist() == [p.encode() for t in texts for p in cut(t)]
+    assert ends.tolist() == np.cumsum([len(cut(t)) for t in texts]).tolist()
+    assert code.encode([]) == [] and code.encode(["", ""]) == [b"", b""]
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert code._cut([points])[0].to_pylist() == [p.encode() for p in cut(points)]
